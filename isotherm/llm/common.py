@@ -45,7 +45,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: T.S
 def arrow_schema(schema: T.StructType | str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema, timezone="UTC")
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
