@@ -28,8 +28,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
-    """Apply a function from an Arrow batch to columns (a dict of lists or arrays) within each partition."""
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: T.StructType | str) -> DataFrame:
+    """Apply a function from an Arrow batch to columns (dicts of lists or arrays: one, or several by yielding) in each partition."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,8 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: T.S
         for batch in batches:
             if batch.num_rows:
                 out = work(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in to], schema=to)
+                for cols in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in to], schema=to)
 
     return df.mapInArrow(run, schema)
 

@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import tokens
+from isotherm.llm import media, tokens
 from isotherm.llm.common import table
 
 
+def op1_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.to_media(table(spark, sf_dir, "documents"))
+    read = media.probe(stored.select(F.struct("doc_id", "n_bytes").alias("id"), "media"), key="id")
+    cuts = F.array_join(F.transform(F.slice("clips", 2, F.greatest(F.size("clips"), F.lit(2)) - 1), lambda c: c["first_frame"].cast("string")), ",")
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("clips="), F.size("clips")), F.concat(F.lit("cuts="), cuts))
+    return read.select("id.doc_id", "id.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_1024")
