@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm import jaccard, lines, media, quality, tokens, warc
+from isotherm.llm import jaccard, lines, lsh, media, quality, tokens, warc
 from isotherm.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(documents, labels.where(~quality.held_out()))
