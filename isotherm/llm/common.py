@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,5 +68,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hashed(column: Column | str) -> Column:
-    return F.xxhash64(column)
+def batches_of(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow with a generator of columns (dicts of lists or arrays); work may keep state through the partition."""
+    to = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = arrow_schema(to)
+        for cols in work(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in shape], schema=shape)
+
+    return df.mapInArrow(run, to)
+
+
+#: Arrays that partitions add up are cut in slabs of so many numbers, and summed up in trees with so many branches.
+SLAB, BRANCHES = 1 << 16, 32
+
+
+def slabs(array: np.ndarray) -> Iterator[dict]:
+    """A partition's array as rows part, slab, data (float64 or int64 bytes), without slabs of zeros only."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for k in range(0, len(array), SLAB):
+        if array[k : k + SLAB].any():
+            yield {"part": [part], "slab": [k // SLAB], "data": [array[k : k + SLAB].tobytes()]}
+
+
+def tree_sum(rows: DataFrame, size: int, dtype: type) -> np.ndarray:
+    """The sum of all partitions' arrays of `size` numbers, from their rows part, slab, data.
+
+    Each level sums up to BRANCHES rows of a slab, always in the same order, until the driver gets one row for each
+    slab: as much at every input size.
+    """
+    import pandas as pd
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: np.ndarray | int = 0
+        for data in pdf.sort_values("part")["data"]:
+            out = out + np.frombuffer(data, dtype)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // BRANCHES], "slab": [int(pdf["slab"].iloc[0])], "data": [out.tobytes()]})
+
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        rows = rows.groupBy("slab", F.expr(f"part div {BRANCHES}").alias("p")).applyInPandas(total, "part int, slab int, data binary")
+        if parts <= BRANCHES:
+            break
+        parts = -(-parts // BRANCHES)
+    out = np.zeros(size, dtype)
+    for _, slab, data in rows.toLocalIterator():
+        out[slab * SLAB : slab * SLAB + SLAB] = np.frombuffer(data, dtype)
+    return out

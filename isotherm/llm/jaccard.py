@@ -14,20 +14,16 @@ The plan, in which no step makes all pairs of a group:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import key_text, materialize, type_of
+from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_sum, type_of
 from isotherm.llm.components import components
 from isotherm.llm.trie import trie_join
 
 N = 5
 CELLS = 1 << 22  # of the table of counts
-SLAB = 1 << 16  # cells in a row
 BLOCK = 256  # sets in a trie
 BLOOM = 1 << 23  # bits
 _UPPER = bytes(range(65, 91))
@@ -102,22 +98,6 @@ def ordered(members: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return members[order], level[order]
 
 
-def batches_of(df: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow with a generator over (columns as lists); work may keep state through the partition."""
-    from pyspark.sql import types as T
-
-    from isotherm.llm.common import arrow_schema
-
-    to = T._parse_datatype_string(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = arrow_schema(to)
-        for cols in work(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in shape], schema=shape)
-
-    return df.mapInArrow(run, to)
-
-
 def signatures(own: DataFrame, n: int) -> DataFrame:
     """key, n, h of each document (h null without words), and rows with slabs of the partition's counts."""
 
@@ -132,40 +112,17 @@ def signatures(own: DataFrame, n: int) -> DataFrame:
                 at, many = np.unique(cell(s), return_counts=True)
                 counts[at] = np.minimum(counts[at].astype(np.int64) + many, 255)
             k = len(out["n"])
-            yield out | {"slab": [None] * k, "counts": [None] * k}
-        for slab in range(CELLS // SLAB):
-            part = counts[slab * SLAB : (slab + 1) * SLAB]
-            if part.any():
-                yield {"key": [None], "n": [None], "h": [None], "slab": [slab], "counts": [part.tobytes()]}
+            yield out | {"part": [None] * k, "slab": [None] * k, "data": [None] * k}
+        for row in slabs(counts.astype(np.int32)):
+            yield {"key": [None], "n": [None], "h": [None]} | row
 
-    return batches_of(own, work, f"key {type_of(own, 'key')}, n long, h long, slab int, counts binary")
+    return batches_of(own, work, f"key {type_of(own, 'key')}, n long, h long, part int, slab int, data binary")
 
 
 def levels_of(parts: DataFrame) -> np.ndarray:
     """A level for each cell: the bits of its count beyond twice the mean. As large at every input size: 4 MB."""
-
-    def total(pdf):
-        import pandas as pd
-
-        out = np.zeros(SLAB, np.int64)
-        for c in pdf["counts"]:
-            out += np.frombuffer(c, np.uint8)
-        return pd.DataFrame({"slab": [int(pdf["slab"].iloc[0])], "counts": [out.astype("<u4").tobytes()]})
-
-    # partial sums first: a slab's rows, one for each partition, are dealt over 16 tasks' groups
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
-    partial = salted.groupBy("slab", "salt").applyInPandas(total, "slab int, counts binary")
-
-    def final(pdf):
-        import pandas as pd
-
-        out = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"slab": [int(pdf["slab"].iloc[0])], "counts": [out.astype("<u4").tobytes()]})
-
-    sums = np.zeros(CELLS, np.int64)
-    for slab, counts in partial.groupBy("slab").applyInPandas(final, "slab int, counts binary").toLocalIterator():  # 64 rows
-        sums[slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(counts, "<u4")
-    mean = max(16.0, 2 * sums.mean())
+    sums = tree_sum(parts, CELLS, np.int32)
+    mean = max(16.0, 2 * float(sums.mean()))
     return np.floor(np.log2(np.maximum(sums / mean, 1))).astype(np.uint8)
 
 
@@ -322,7 +279,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     own = key_text(df, key, text)
     parts = materialize(signatures(own, n), "signatures")
     documents = parts.where("slab is null").select("key", "n", "h")
-    levels = spark.sparkContext.broadcast(levels_of(parts.where("slab is not null").select("slab", "counts")))
+    levels = spark.sparkContext.broadcast(levels_of(parts.where("slab is not null").select("part", "slab", "data")))
     edges = materialize(stars(prefixes(own, levels, n)), "stars-of-ngrams")
     sets = materialize(members_of(own, edges.select("h").union(edges.select("hub")), levels, n).dropDuplicates(["h"]), "sets")
 

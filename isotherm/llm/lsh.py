@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import materialize
-from isotherm.llm.jaccard import batches_of
+from isotherm.llm.common import batches_of, materialize
 
 BLOCK = 512  # rows of candidates, and of queries, in a task's group
 BUCKET = 600  # vectors in a bucket on average, by the number of hash functions
