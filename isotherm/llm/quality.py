@@ -158,6 +158,20 @@ def score(df: DataFrame, model: Trees, key: str = "doc_id", text: str = "text")
     return per_batch(key_text(df, key, text), work, f"key {type_of(df, key)}, score double").withColumnRenamed("key", key)
 
 
+def filtered(df: DataFrame, model: Trees, least: float, text: str = "text") -> DataFrame:
+    """df's rows whose text scores at least `least`, with all their columns; the texts are scored where the rows are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                good = model.score(np.array([statistics(t) for t in texts(b, text)], float)) >= least
+                yield b.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a key belongs to the fold that labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
