@@ -119,14 +119,23 @@ def signatures(own: DataFrame, n: int) -> DataFrame:
     return batches_of(own, work, f"key {type_of(own, 'key')}, n long, h long, part int, slab int, data binary")
 
 
-def levels_of(parts: DataFrame) -> np.ndarray:
-    """A level for each cell: the bits of its count beyond twice the mean. As large at every input size: 4 MB."""
-    sums = tree_sum(parts, CELLS, np.int32)
-    mean = max(16.0, 2 * float(sums.mean()))
-    return np.floor(np.log2(np.maximum(sums / mean, 1))).astype(np.uint8)
+def levels_of(parts: DataFrame) -> tuple[np.ndarray, int]:
+    """A level for each cell, and the first level that counts as frequent. As large at every input size: 4 MB.
+
+    Most cells hold n-grams of one document each, and so counts around the mean. Levels tell counts apart by half
+    deviations of that, and beyond 30 of them by the logarithm.
+    """
+    sums = tree_sum(parts, CELLS, np.int32).astype(float)
+    mean = max(1.0, float(np.median(sums)), float(sums.mean()) / 4)
+
+    def level(x):
+        z = np.maximum((x - mean) / np.sqrt(mean), -5.0)
+        return np.minimum(np.where(z <= 30, np.round(2 * z) + 10, 70 + np.ceil(8 * np.log(np.maximum(z, 30) / 30))), 255).astype(np.uint8)
+
+    return level(sums), int(level(np.array([max(32.0, 3 * mean)]))[0])
 
 
-def prefixes(own: DataFrame, levels, n: int) -> DataFrame:
+def prefixes(own: DataFrame, levels, frequent: int, n: int) -> DataFrame:
     """token, h, hot: the first quarter of each set, of which similar sets share at least one."""
 
     def work(batches):
@@ -140,7 +149,7 @@ def prefixes(own: DataFrame, levels, n: int) -> DataFrame:
                 k = len(s) - (3 * len(s) + 3) // 4 + 1
                 token.append(members[:k].view(np.int64))
                 h.append(np.full(k, set_hash(s), np.int64))
-                hot.append(level[:k] > 0)
+                hot.append(level[:k] >= frequent)
                 size += k
                 if size > 200_000:
                     yield {"token": np.concatenate(token), "h": np.concatenate(h), "hot": np.concatenate(hot)}
@@ -279,8 +288,9 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     own = key_text(df, key, text)
     parts = materialize(signatures(own, n), "signatures")
     documents = parts.where("slab is null").select("key", "n", "h")
-    levels = spark.sparkContext.broadcast(levels_of(parts.where("slab is not null").select("part", "slab", "data")))
-    edges = materialize(stars(prefixes(own, levels, n)), "stars-of-ngrams")
+    table, frequent = levels_of(parts.where("slab is not null").select("part", "slab", "data"))
+    levels = spark.sparkContext.broadcast(table)
+    edges = materialize(stars(prefixes(own, levels, frequent, n)), "stars-of-ngrams")
     sets = materialize(members_of(own, edges.select("h").union(edges.select("hub")), levels, n).dropDuplicates(["h"]), "sets")
 
     # each set to the hub that it shares most with; a large hub in blocks, with the hub itself in each
@@ -292,7 +302,11 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     found = materialize(joined(none.join(sets, "h"), False), "links")
     roots = materialize(components(found), "roots")
 
-    # hubs whose sets are in several components: those outside the largest against all
+    # hubs whose sets are in several components: those outside the largest against all. A hub that all its sets
+    # went to, in one block, has been looked at whole
+    open_hubs = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("all")).join(best.groupBy("hub").agg(F.count(F.lit(1)).alias("came")), "hub", "left")
+    open_hubs = open_hubs.where(f"came is null or came < all or came >= {BLOCK}").select("hub")
+    edges = materialize(edges.join(open_hubs, "hub", "left_semi"), "open-stars")
     at = edges.select("hub", "h").union(edges.select("hub", F.col("hub").alias("h")).distinct())
     at = at.join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"))
     per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
