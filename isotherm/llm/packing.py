@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotherm.llm.bpe import BatchDP, PrefixBPE, byte_letters
 from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_sum, type_of
 
 LENGTH = 2048
@@ -22,29 +25,83 @@ ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u20
 
 
 class Words:
-    """A tokenizers file whose tokens never hold white space: words are encoded once and kept."""
+    """A tokenizers file of the kind with word ends: lower case, white space dropped, so words are encoded once and kept.
+
+    Texts with odd white space go to the tokenizers library whole, and words with special strings, or that composing
+    may change, one by one. All other words are split by the file's pattern, and new pieces are encoded many at a
+    time by the prefix dynamic programming of bpe.py, the word's end being a byte that UTF-8 never has.
+    """
+
+    END = b"\xff"
+    ENDINGS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, mark = byte_letters(), spec["model"]["end_of_word_suffix"]
+        ranks = {}
+        for t, k in spec["model"]["vocab"].items():
+            data = bytes(letters[c] for c in t.removesuffix(mark))
+            if self.END not in data:
+                ranks[data + self.END if t.endswith(mark) else data] = k
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.bpe = PrefixBPE(ranks, pattern)
+
+    def split(self, word: str) -> list[str] | None:
+        """The word's pieces in lower case, or None if the library has to see it."""
+        if not word.isascii():
+            if not unicodedata.is_normalized("NFC", word) or "\u03a3" in word:
+                return None
+            word = word.lower()
+            if not unicodedata.is_normalized("NFC", word):
+                return None
+        else:
+            word = word.lower()
+        if word.isalpha():
+            return [word]
+        if "<|" in word:
+            return None
+        if word[-1] in self.ENDINGS and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.bpe.find(word)
+
+    def learn(self, words: list[str]) -> None:
+        split = {w: self.split(w) for w in words}
+        new = list({p for ps in split.values() if ps for p in ps if p not in self.pieces})
+        if len(self.pieces) + len(new) > WORDS:
+            self.pieces.clear()
+            new = list({p for ps in split.values() if ps for p in ps})
+        short = [p for p in new if len(p.encode()) < BatchDP.LONGEST]
+        for k in range(0, len(short), 20_000):
+            part = short[k : k + 20_000]
+            self.pieces.update(zip(part, self.bpe.batch.encode([p.encode() + self.END for p in part]), strict=True))
+        for p in new:
+            if p not in self.pieces:
+                data = p.encode() + self.END
+                self.pieces[p] = np.array(self.bpe.ids_back(len(data), self.bpe.last_tokens(data)[0]), "<u4").tobytes()
+        for w, ps in split.items():
+            if ps is None:
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                self.known[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
 
     def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text (no special tokens added), then `end`."""
         out = []
-        for begin in range(0, len(texts), 256):
-            split = [None if ODD_SPACE.search(t) else t.split() for t in texts[begin : begin + 256]]
-            new = list({w for words in split if words for w in words if w not in self.known})
+        last = np.array([end], "<u4").tobytes()
+        for begin in range(0, len(texts), 512):
+            split = [None if ODD_SPACE.search(t) else t.split() for t in texts[begin : begin + 512]]
+            every = {w for words in split if words for w in words}
+            new = [w for w in every if w not in self.known]
             if len(self.known) + len(new) > WORDS:
                 self.known.clear()
-                new = list({w for words in split if words for w in words})
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            last = np.array([end], "<u4").tobytes()
-            for t, words in zip(texts[begin : begin + 256], split, strict=True):
+                new = list(every)
+            self.learn(new)
+            for t, words in zip(texts[begin : begin + 512], split, strict=True):
                 if words is None:
                     out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4"))
                 else:
@@ -116,19 +173,25 @@ class Shard:
             docs.append(np.full(len(t), k))
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
         self.of = terms
-        names, flat = np.unique(np.concatenate(terms), return_inverse=True)
+        self.names, flat = np.unique(np.concatenate(terms), return_inverse=True)
         order = np.argsort(flat, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
-        self.count = np.bincount(flat, minlength=len(names))
+        docs, weights, count = np.concatenate(docs)[order], np.concatenate(weights)[order], np.bincount(flat, minlength=len(self.names))
+        # postings of terms that many remainders have stand as whole rows, with zeros
+        often = count * 12 > len(ids)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        held = np.repeat(often, count)
+        self.rows = np.zeros((int(often.sum()), len(ids)), np.float32)
+        self.rows[np.repeat(self.row, count)[held], docs[held]] = weights[held]
+        self.docs, self.weights, self.count = docs[~held], weights[~held], np.where(often, 0, count)
         self.start = np.cumsum(self.count) - self.count
-        self.names = names
 
     def scores(self, k: int) -> np.ndarray:
         """Of all remainders, for the distinct terms of remainder k."""
         t = np.searchsorted(self.names, self.of[k])
         many = self.count[t]
         at = np.repeat(self.start[t] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        return np.bincount(self.docs[at], self.weights[at], len(self.of))
+        rows = self.row[t]
+        return np.bincount(self.docs[at], self.weights[at], len(self.of)) + self.rows[rows[rows >= 0]].sum(axis=0)
 
 
 def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, length: int):
