@@ -6,7 +6,8 @@ The plan, in which no step makes all pairs of a group:
    kept in a table of fixed size, hashed. They order all n-grams globally, rare before frequent.
 2. Two sets with that similarity share an n-gram among the first quarter of each. So each set gives the n-grams
    of its first quarter; of the sets with one n-gram the smallest is its hub, and all pairs meet at some hub.
-3. Each set goes to the hub that it shares most with. There a trie of the sets finds links that connect what is
+3. Each set goes to the hub that it shares most with. Sets that a bound from 4,096 parities shows to be similar to no
+   other there stay out; of the others a trie finds links that connect what is
    similar, and components are made.
 4. At all hubs whose sets are then in more than one component, the sets outside the largest are joined with all.
    No pair is left out: both of a similar pair are at one hub, connected already or looked at here.
@@ -15,17 +16,19 @@ The plan, in which no step makes all pairs of a group:
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_sum, type_of
 from isotherm.llm.components import components
-from isotherm.llm.trie import trie_join
+from isotherm.llm.trie import linked, trie_join
 
 N = 5
 CELLS = 1 << 22  # of the table of counts
 BLOCK = 256  # sets in a trie
 BLOOM = 1 << 23  # bits
+BITS = 4096  # of a set's parities
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _SPACE = np.zeros(256, bool)
@@ -87,6 +90,12 @@ def set_hash(members: np.ndarray) -> int:
         return int(mixed(np.array([np.add.reduce(mixed(members + _MIX[3])) + np.uint64(len(members))]))[0].astype(np.int64)) or 1
 
 
+def parity_bits(members: np.ndarray) -> bytes:
+    """A bit for each of BITS places: whether the set has an odd number of members there."""
+    at = ((members >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def cell(members: np.ndarray) -> np.ndarray:
     return (members >> np.uint64(42)).astype(np.int64)
 
@@ -99,24 +108,25 @@ def ordered(members: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(own: DataFrame, n: int) -> DataFrame:
-    """key, n, h of each document (h null without words), and rows with slabs of the partition's counts."""
+    """key, n, h and bits of each document (null without words), and rows with slabs of the partition's counts."""
 
     def work(batches):
         counts = np.zeros(CELLS, np.uint8)
         for b in batches:
-            out: dict[str, list] = {"key": b.column("key").to_pylist(), "n": [], "h": []}
+            out: dict[str, list] = {"key": b.column("key").to_pylist(), "n": [], "h": [], "bits": []}
             for t in b.column("text").to_pylist():
                 s = shingles(t, n)
                 out["n"].append(len(s))
                 out["h"].append(set_hash(s) if len(s) else None)
+                out["bits"].append(parity_bits(s) if len(s) else None)
                 at, many = np.unique(cell(s), return_counts=True)
                 counts[at] = np.minimum(counts[at].astype(np.int64) + many, 255)
             k = len(out["n"])
             yield out | {"part": [None] * k, "slab": [None] * k, "data": [None] * k}
         for row in slabs(counts.astype(np.int32)):
-            yield {"key": [None], "n": [None], "h": [None]} | row
+            yield {"key": [None], "n": [None], "h": [None], "bits": [None]} | row
 
-    return batches_of(own, work, f"key {type_of(own, 'key')}, n long, h long, part int, slab int, data binary")
+    return batches_of(own, work, f"key {type_of(own, 'key')}, n long, h long, bits binary, part int, slab int, data binary")
 
 
 def levels_of(parts: DataFrame) -> tuple[np.ndarray, int]:
@@ -163,34 +173,36 @@ def prefixes(own: DataFrame, levels, frequent: int, n: int) -> DataFrame:
 def stars(first: DataFrame) -> DataFrame:
     """hub, h, shared: the sets that share tokens with the smallest set that has them.
 
-    Tokens that the table of counts shows as frequent are aggregated before the shuffle and joined back, which
-    can split them; the others, whose groups are small, are sorted and read as a stream.
+    Rows are sorted by token and read as a stream. Tokens that the table of counts shows as frequent are dealt over
+    many tasks, pass the stream with equal rows made one, and get their hubs by an aggregate joined back, which
+    adaptive execution can split.
     """
 
     def work(batches):
-        last, hub, seen = None, None, None
+        last = hub = seen = salted = None
         for b in batches:
-            token, h = b.column("token").to_numpy(), b.column("h").to_numpy()
+            token, h, hot, salt = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "h", "hot", "salt"))
             if not len(token):
                 continue
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            new[0] = last is None or token[0] != last
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = last is None or token[0] != last or salt[0] != salted
             repeat = np.zeros(len(token), bool)
             repeat[1:] = ~new[1:] & (h[1:] == h[:-1])
             repeat[0] = not new[0] and h[0] == seen
             at = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             hubs = np.where(at >= 0, h[np.maximum(at, 0)], 0 if hub is None else hub)
-            last, hub, seen = token[-1], hubs[-1], h[-1]
-            keep = ~repeat & (h != hubs)
+            last, hub, seen, salted = token[-1], hubs[-1], h[-1], salt[-1]
+            keep = ~repeat & (hot | (h != hubs))
             if keep.any():
-                yield {"hub": hubs[keep], "h": h[keep]}
+                yield {"token": token[keep], "hub": pa.array(hubs[keep], mask=hot[keep]), "h": h[keep]}
 
-    cold = first.where("not hot").select("token", "h").repartition("token").sortWithinPartitions("token", "h")
-    hot = first.where("hot").select("token", "h").distinct()
-    least = hot.groupBy(F.col("token").alias("t")).agg(F.min("h").alias("hub"))
+    salted = first.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(64))).otherwise(F.lit(0)).cast("int"))
+    streamed = materialize(batches_of(salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "h"), work, "token long, hub long, h long"), "tokens")
+    hot = streamed.where("hub is null").select("token", "h")
+    least = materialize(hot.groupBy(F.col("token").alias("t")).agg(F.min("h").alias("hub")), "hubs")
     hot = hot.join(least, hot["token"] == least["t"]).where("h <> hub").select("hub", "h")
-    return batches_of(cold, work, "hub long, h long").unionByName(hot).groupBy("hub", "h").agg(F.count(F.lit(1)).alias("shared"))
+    return streamed.where("hub is not null").select("hub", "h").unionByName(hot).groupBy("hub", "h").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def members_of(own: DataFrame, wanted: DataFrame, levels, n: int) -> DataFrame:
@@ -243,37 +255,70 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
-def joined(groups: DataFrame, labelled: bool) -> DataFrame:
-    """Links a, b within each group (hub, block, part): at most two blocks' sets each, read as sorted runs of rows."""
-    columns = ["hub", "block", "part"]
+GROUP = ["hub", "block", "part"]
 
-    def links(rows):
-        sets, labels, minors = {}, {}, {}
-        for h, data, root, minor in rows:
-            if h not in sets:
-                sets[h], labels[h] = unpack(data), root
-            minors[h] = minors.get(h, False) or minor
-        names = list(sets)
-        found = trie_join([sets[x] for x in names], [labels[x] for x in names] if labelled else None, np.array([minors[x] for x in names]) if labelled else None)
-        return [(max(names[i], names[j]), min(names[i], names[j])) for i, j in found]
 
-    def work(batches):
+def by_group(groups: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """work on each group's rows (lists of the columns), read as sorted runs: at most two blocks' sets each."""
+
+    def run(batches):
         last, rows = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in (*columns, "h", "members", "root", "minor")]
-            out = []
-            for *key, h, data, root, minor in zip(*cols, strict=True):
-                if key != last:
-                    out += links(rows)
-                    last, rows = key, []
-                rows.append((h, data, root, minor))
-            if out:
-                yield {"a": [x for x, _ in out], "b": [x for _, x in out]}
-        out = links(rows)
-        if out:
-            yield {"a": [x for x, _ in out], "b": [x for _, x in out]}
-
-    return batches_of(groups.select(*columns, "h", "members", "root", "minor").repartition(*columns).sortWithinPartitions(*columns, "h"), work, "a long, b long")
+            cols = [b.column(c).to_pylist() for c in (*GROUP, *columns)]
+            for row in zip(*cols, strict=True):
+                if row[:3] != last:
+                    if rows:
+                        yield from work(last, rows)
+                    last, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield from work(last, rows)
+
+    return batches_of(groups.select(*GROUP, *columns).repartition(*GROUP).sortWithinPartitions(*GROUP, "h"), run, schema)
+
+
+def screened(groups: DataFrame, bits: DataFrame) -> DataFrame:
+    """The groups' sets that may be similar to another of their group that they are not connected with.
+
+    The places where two sets' parities differ are no more than the members that only one of them has. That bounds
+    the members they share; pairs whose bound is too low are not similar, so nothing is lost.
+    """
+
+    def work(key, rows):
+        best: dict = {}
+        for h, root, minor, n, data in rows:
+            best[h] = (root, minor or best.get(h, (0, False))[1], n, data)
+        names = list(best)
+        n = np.array([best[h][2] for h in names])
+        root, minor = np.array([best[h][0] for h in names]), np.array([best[h][1] for h in names])
+        words = np.frombuffer(b"".join([best[h][3] for h in names]), np.uint64).reshape(len(names), -1)
+        keep = np.zeros(len(names), bool)
+        for k in range(len(names)):
+            other = np.flatnonzero((root != root[k]) & (minor | minor[k]) & (100 * np.minimum(n, n[k]) >= 75 * np.maximum(n, n[k])))
+            if len(other):
+                differ = np.bitwise_count(words[other] ^ words[k]).sum(axis=1).astype(np.int64)
+                near = linked((n[other] + n[k] - differ) // 2, n[other], n[k])
+                keep[k] |= near.any()
+        if keep.any():
+            at = np.flatnonzero(keep).tolist()
+            yield {c: [v] * len(at) for c, v in zip(GROUP, key, strict=True)} | {"h": [names[k] for k in at], "root": root[at], "minor": minor[at]}
+
+    return by_group(groups.join(bits, "h"), ["h", "root", "minor", "n", "bits"], work, "hub long, block int, part int, h long, root long, minor boolean")
+
+
+def joined(groups: DataFrame) -> DataFrame:
+    """Links a, b within each group between sets of different roots, at least one of them minor, by a trie of the group's sets."""
+
+    def work(key, rows):
+        best: dict = {}
+        for h, root, minor, data in rows:
+            best[h] = (root, minor or best.get(h, (0, False))[1], data)
+        names = list(best)
+        found = trie_join([unpack(best[h][2]) for h in names], [best[h][0] for h in names], np.array([best[h][1] for h in names]))
+        if found:
+            yield {"a": [max(names[i], names[j]) for i, j in found], "b": [min(names[i], names[j]) for i, j in found]}
+
+    return by_group(groups, ["h", "root", "minor", "members"], work, "a long, b long")
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
@@ -291,15 +336,20 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     table, frequent = levels_of(parts.where("slab is not null").select("part", "slab", "data"))
     levels = spark.sparkContext.broadcast(table)
     edges = materialize(stars(prefixes(own, levels, frequent, n)), "stars-of-ngrams")
-    sets = materialize(members_of(own, edges.select("h").union(edges.select("hub")), levels, n).dropDuplicates(["h"]), "sets")
+    wanted = edges.select("h").union(edges.select("hub")).distinct()
+    bits = materialize(parts.where("h is not null").select("h", "n", "bits").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "bits")
+
+    def links_of(groups: DataFrame) -> DataFrame:
+        near = materialize(screened(groups, bits), "screened")
+        sets = members_of(own, near.select("h"), levels, n).dropDuplicates(["h"])
+        return materialize(joined(near.join(sets, "h")), "links")
 
     # each set to the hub that it shares most with; a large hub in blocks, with the hub itself in each
     best = edges.groupBy("h").agg(F.max(F.struct("shared", F.col("hub").alias("at"))).alias("b")).select(F.col("b.at").alias("hub"), "h")
     blocks = best.groupBy("hub").agg(F.floor(F.count(F.lit(1)) / BLOCK).cast("int").alias("last"))
     seats = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("h"), F.col("last") + 1).cast("int").alias("block"), "h")
     seats = seats.union(blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.col("hub").alias("h")))
-    none = seats.withColumns({"part": F.lit(0), "root": F.lit(0).cast("long"), "minor": F.lit(False)})
-    found = materialize(joined(none.join(sets, "h"), False), "links")
+    found = links_of(seats.withColumns({"part": F.lit(0), "root": F.col("h"), "minor": F.lit(True)}))
     roots = materialize(components(found), "roots")
 
     # hubs whose sets are in several components: those outside the largest against all. A hub that all its sets
@@ -312,13 +362,13 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
     per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.sum("many").alias("all"), F.max(F.struct("many", "root")).alias("top")).where("roots > 1")
     shape = per_hub.select("hub", F.col("top.root").alias("main"), F.floor((F.col("all") - 1) / BLOCK).cast("int").alias("last"), F.floor((F.col("all") - F.col("top.many") - 1) / BLOCK).cast("int").alias("parts"))
-    left = at.join(shape, "hub").withColumn("own", F.xxhash64("h"))
+    left = materialize(at.join(shape, "hub").withColumn("own", F.xxhash64("h")), "seats")
     whole = left.select("hub", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "h", "root", F.lit(False).alias("minor"))
     minors = left.where("root <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod(F.xxhash64("own"), F.col("parts") + 1).cast("int").alias("part"), "h", "root", F.lit(True).alias("minor"))
-    more = materialize(joined(whole.union(minors).join(sets, "h"), True), "links")
+    more = links_of(whole.union(minors))
 
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.join(roots, more["a"] == roots["node"], "left").select(F.coalesce("root", "a").alias("a"), "b"))
     ends = components(links) if not more.isEmpty() else roots
     named = documents.join(ends, documents["h"] == ends["node"], "left").select("key", "n", F.coalesce("root", "h").alias("root"))
-    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("key").alias("least"))
+    least = materialize(named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("key").alias("least")), "names")
     return named.join(least, named["root"] == least["r"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
