@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isotherm.llm.common import batches_of, materialize
 
-BLOCK = 512  # rows of candidates, and of queries, in a task's group
+BLOCK = 1024  # rows of candidates, and of queries, in a task's group
 BUCKET = 600  # vectors in a bucket on average, by the number of hash functions
 WIDTH = 1.35  # of a slot, in deviations of a projection
 SAMPLE = 20_000  # vectors, and 256 queries among them, that the neighbours' nearness is estimated on
@@ -111,7 +111,7 @@ def nearness(sample: np.ndarray, rows: int, k: int) -> float:
     return float(np.clip(np.quantile(kth, 0.1), 0.0, 0.98))
 
 
-def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, tables: int = 2, success: float = 0.82) -> DataFrame:
+def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, tables: int = 2, success: float = 0.7) -> DataFrame:
     """query_id, rank, vec_id, score: for each key divisible by `every` the k largest inner products with other keys' vectors, as found.
 
     Null, zero and non-finite vectors, vectors of another length than most, and null keys take no part. Equal
@@ -127,7 +127,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = np.array([r["v"] for r in own.orderBy(F.xxhash64("key"), "key", "v").limit(SAMPLE).select("v").collect()], float)
     unit = some / np.sqrt((some * some).sum(axis=1))[:, None]
-    functions = max(1, math.ceil(math.log(max(1.0, size["n"] / BUCKET)) / math.log(3)))
+    functions = max(1, round(math.log(max(1.0, size["n"] / BUCKET)) / math.log(3)))
     hashes = df.sparkSession.sparkContext.broadcast(Hashes(size["dims"], size["longest"], nearness(unit, size["n"], k), functions, tables))
     dims = size["dims"]
 
