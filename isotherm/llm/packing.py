@@ -19,11 +19,23 @@ from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_s
 LENGTH = 2048
 SHARD = 2_000_000  # tokens in a shard of the inverted index, on average
 K1, B = 1.2, 0.75
-WORDS = 500_000  # of a worker's cache; when full it starts anew, which changes no result
+WORDS = 450_000  # of a worker's cache; when full it becomes the old one, whose words are fetched as they come again
 #: White space, or what could be taken for it, other than the six ASCII ones: such texts are encoded whole.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
 
+def fetched(names: list[str], known: dict, old: dict) -> list[str]:
+    """Move the names that the old cache has to the new one; the others are returned."""
+    out = []
+    for x in names:
+        got = old.get(x)
+        if got is None:
+            out.append(x)
+        else:
+            known[x] = got
+    return out
+
+
 class Words:
     """A tokenizers file of the kind with word ends: lower case, white space dropped, so words are encoded once and kept.
 
@@ -38,7 +50,7 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.pieces, self.old, self.old_pieces = Tokenizer.from_file(path), {}, {}, {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -73,8 +85,9 @@ class Words:
         split = {w: self.split(w) for w in words}
         new = list({p for ps in split.values() if ps for p in ps if p not in self.pieces})
         if len(self.pieces) + len(new) > WORDS:
-            self.pieces.clear()
+            self.old_pieces, self.pieces = self.pieces, {}
             new = list({p for ps in split.values() if ps for p in ps})
+        new = fetched(new, self.pieces, self.old_pieces)
         short = [p for p in new if len(p.encode()) < BatchDP.LONGEST]
         for k in range(0, len(short), 20_000):
             part = short[k : k + 20_000]
@@ -98,9 +111,9 @@ class Words:
             every = {w for words in split if words for w in words}
             new = [w for w in every if w not in self.known]
             if len(self.known) + len(new) > WORDS:
-                self.known.clear()
+                self.old, self.known = self.known, {}
                 new = list(every)
-            self.learn(new)
+            self.learn(fetched(new, self.known, self.old))
             for t, words in zip(texts[begin : begin + 512], split, strict=True):
                 if words is None:
                     out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4"))
