@@ -39,7 +39,7 @@ def series(df: DataFrame, column: str, level: str = "raw", agg: str = "avg", whe
     if agg not in AGGREGATES:
         raise ValueError(f"no aggregate is called {agg}")
     out = df.where(where) if where is not None else df
-    day = F.col("date") if "date" in df.columns else ts.cast("date")
+    day = F.col("date") if "date" in df.columns or ts is None else ts.cast("date")
     out = out.where(day >= F.lit(start)) if start is not None else out
     out = out.where(day <= F.lit(end)) if end is not None else out
     return out.groupBy(bucket(ts if ts is not None else timestamp(), level).alias("ts")).agg(AGGREGATES[agg](column).alias("y")).orderBy("ts")

@@ -21,7 +21,7 @@ META_KEYS = {"regiao": "REGIAO", "uf": "UF", "nome": "ESTACAO", "station_id": "C
 
 def read_station_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each dated line of each file, with the file's metadata. Lines beyond the known fields are cut; shorter ones fail."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
     return parse_station_texts(files)
 
 
