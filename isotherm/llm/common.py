@@ -81,7 +81,7 @@ def batches_of(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 #: Arrays that partitions add up are cut in slabs of so many numbers, and summed up in trees with so many branches.
-SLAB, BRANCHES = 1 << 16, 32
+SLAB, BRANCHES = 1 << 14, 32
 
 
 def slabs(array: np.ndarray) -> Iterator[dict]:
@@ -95,7 +95,7 @@ def slabs(array: np.ndarray) -> Iterator[dict]:
 
 
 def tree_sum(rows: DataFrame, size: int, dtype: type) -> np.ndarray:
-    """The sum of all partitions' arrays of `size` numbers, from their rows part, slab, data.
+    """The sum of all partitions' arrays of `size` numbers, from their rows part, slab, data, which should be materialized.
 
     Each level sums up to BRANCHES rows of a slab, always in the same order, until the driver gets one row for each
     slab: as much at every input size.
