@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import per_batch, texts, type_of
+from isotherm.llm.common import materialize, per_batch, texts, type_of
 
 #: A repeated run counts if its lines have so many words together.
 RUN_WORDS = 50
@@ -55,8 +55,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run_wo
     A line goes if it lies in a run of lines, at least run_words words long, that stood already before: in a
     document that comes earlier by (key, th), or earlier in its own without overlap. Fingerprints that only one
     place has are dropped at once; the windows around the others extend the matches to both sides, and each
-    window's first place is found by partial aggregation. Both joins back have one row for each hash on one side,
-    so that a hot fingerprint's rows can be split between tasks.
+    window's first place is found by partial aggregation. Both aggregates are written and read again before they are
+    joined back: adaptive execution can then split a hot hash's rows between tasks, which it cannot do where a join
+    shares its shuffle with an aggregate.
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -76,9 +77,10 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run_wo
         yield rows
 
     found = per_batch(own, work, f"key {type_of(own, 'key')}, th long, fp long, windows array<struct<wh:long,s:int,e:int>>")
-    repeated = found.groupBy(F.col("fp").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("windows")).alias("w")).where("n > 1 or w > 1")
-    matches = found.join(repeated, found["fp"] == repeated["r"], "left_semi").select("key", "th", F.inline("windows"))
+    repeated = materialize(found.groupBy(F.col("fp").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("windows")).alias("w")).where("n > 1 or w > 1").select("r"), "repeated")
+    matches = materialize(found.join(repeated, found["fp"] == repeated["r"], "left_semi").select("key", "th", F.inline("windows")), "matches")
     first = matches.groupBy(F.col("wh").alias("f")).agg(F.min(F.struct("key", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "first-places")
     later = matches.join(first, matches["wh"] == first["f"])
     same = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th"))
     later = later.where(~same | (F.col("s") >= F.col("first.e")))
