@@ -162,12 +162,13 @@ def read_records(read, payloads: bool = False) -> Iterator[dict]:
 def decided(df: DataFrame, key: str, payload: str, url: str, least: int = 100) -> DataFrame:
     """key, url, payload, digest and refers_to: of payloads of at least `least` bytes that are equal, all but the smallest key's refer to it.
 
-    A digest's smallest key is found by partial aggregation; only digests with more than one row are joined
-    back, by an ordinary join whose hot digests adaptive execution splits.
+    A digest's smallest key is found by partial aggregation; only digests with more than one row are
+    written and joined back, by an ordinary join whose hot digests adaptive execution splits.
     """
     p = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2(F.col("payload"), 256))
     first = p.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("d")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    first = materialize(first, "first-records")
     joined = p.join(first, p["digest"] == first["d"], "left")
     return joined.select("key", "url", "payload", "digest", F.when((F.octet_length("payload") >= least) & ~F.col("first").eqNullSafe(F.col("key")), F.col("first")).alias("refers_to"))
 
