@@ -12,18 +12,19 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that links reach) of every node of links (a long, b long).
 
     Each round ties every node's larger neighbours, then its smaller ones, to the smallest of them. Neighbours'
-    minima are aggregated before the shuffle and joined back, so that a node with many links is no hot group.
+    minima are aggregated before the shuffle, written, and joined back, so that a node with many links is no hot group:
+    adaptive execution splits it.
     The rounds, whose number grows with the logarithm of the longest path, are cut by tables in the shared folder.
     """
 
     def star(edges: DataFrame, larger: bool) -> DataFrame:
         if larger:
             both = edges.union(edges.select("b", "a")).toDF("u", "v")
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
             out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            least = down.groupBy("u").agg(F.min("v").alias("m"))
+            least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
             out = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
         return out.where("a <> b").distinct()
 

@@ -346,7 +346,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
 
     # each set to the hub that it shares most with; a large hub in blocks, with the hub itself in each
     best = edges.groupBy("h").agg(F.max(F.struct("shared", F.col("hub").alias("at"))).alias("b")).select(F.col("b.at").alias("hub"), "h")
-    blocks = best.groupBy("hub").agg(F.floor(F.count(F.lit(1)) / BLOCK).cast("int").alias("last"))
+    best = materialize(best, "best-hubs")
+    blocks = materialize(best.groupBy("hub").agg(F.floor(F.count(F.lit(1)) / BLOCK).cast("int").alias("last")), "blocks")
     seats = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("h"), F.col("last") + 1).cast("int").alias("block"), "h")
     seats = seats.union(blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.col("hub").alias("h")))
     found = links_of(seats.withColumns({"part": F.lit(0), "root": F.col("h"), "minor": F.lit(True)}))
@@ -355,14 +356,14 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     # hubs whose sets are in several components: those outside the largest against all. A hub that all its sets
     # went to, in one block, has been looked at whole
     open_hubs = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("all")).join(best.groupBy("hub").agg(F.count(F.lit(1)).alias("came")), "hub", "left")
-    open_hubs = open_hubs.where(f"came is null or came < all or came >= {BLOCK}").select("hub")
+    open_hubs = materialize(open_hubs.where(f"came is null or came < all or came >= {BLOCK}").select("hub"), "open-hubs")
     edges = materialize(edges.join(open_hubs, "hub", "left_semi"), "open-stars")
     at = edges.select("hub", "h").union(edges.select("hub", F.col("hub").alias("h")).distinct())
     at = at.join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"))
     per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
     per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.sum("many").alias("all"), F.max(F.struct("many", "root")).alias("top")).where("roots > 1")
     shape = per_hub.select("hub", F.col("top.root").alias("main"), F.floor((F.col("all") - 1) / BLOCK).cast("int").alias("last"), F.floor((F.col("all") - F.col("top.many") - 1) / BLOCK).cast("int").alias("parts"))
-    left = materialize(at.join(shape, "hub").withColumn("own", F.xxhash64("h")), "seats")
+    left = materialize(at.join(materialize(shape, "shapes"), "hub").withColumn("own", F.xxhash64("h")), "seats")
     whole = left.select("hub", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "h", "root", F.lit(False).alias("minor"))
     minors = left.where("root <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod(F.xxhash64("own"), F.col("parts") + 1).cast("int").alias("part"), "h", "root", F.lit(True).alias("minor"))
     more = links_of(whole.union(minors))
