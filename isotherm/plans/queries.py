@@ -363,10 +363,10 @@ def grid_vs_grid(spark: SparkSession, sf: str) -> DataFrame:
 # --- aggregates and series ------------------------------------------------------------------------------------
 
 
-@query("SELECT ts::DATE AS date, event_type, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(stddev_samp(value), 4) AS spread, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT ts::DATE AS date, event_type, round(avg(value), 7) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most, round(stddev_samp(value), 7) AS spread, count(*) AS n FROM events GROUP BY ALL")
 def daily_mean(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
-    return e.groupBy(F.to_date("ts").alias("date"), "event_type").agg(r(F.avg("value")).alias("mean"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(F.stddev_samp("value")).alias("spread"), F.count("*").alias("n"))
+    return e.groupBy(F.to_date("ts").alias("date"), "event_type").agg(r(F.avg("value"), 7).alias("mean"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(F.stddev_samp("value"), 7).alias("spread"), F.count("*").alias("n"))
 
 
 @query(f"WITH {GRID_SQL} SELECT round(latitude) AS lat, round(longitude) AS lon, round(avg(temperature_2m), 4) AS mean, count(*) AS n FROM grid_obs GROUP BY 1, 2")
@@ -380,9 +380,9 @@ def topk_wet_days(spark: SparkSession, sf: str) -> DataFrame:
     return wet.where("total > 10").orderBy(F.desc("total"), "date").limit(10)
 
 
-@query("SELECT extract(year FROM o_orderdate)::INT AS year, extract(month FROM o_orderdate)::INT AS month, count(*) AS n, round(avg(o_totalprice), 3) AS mean FROM orders GROUP BY ALL")
+@query("SELECT extract(year FROM o_orderdate)::INT AS year, extract(month FROM o_orderdate)::INT AS month, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL")
 def year_month(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), r(F.avg("o_totalprice"), 3).alias("mean"))
+    return read(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), r(F.avg("o_totalprice"), 6).alias("mean"))
 
 
 @query(f"WITH {GRID_SQL} SELECT DISTINCT latitude, longitude FROM grid_obs")
@@ -509,8 +509,8 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     return ml.gate(cornered(spark, sf).withColumnRenamed("temperature_2m_bl", "bl"), ["view", "bl"])
 
 
-@query("SELECT event_type, date, round(y, 4) AS y, round(avg(y) OVER (PARTITION BY event_type ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS week FROM (SELECT event_type, ts::DATE AS date, avg(value) AS y FROM events GROUP BY ALL)")
+@query("SELECT event_type, date, round(y, 7) AS y, round(avg(y) OVER (PARTITION BY event_type ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 7) AS week FROM (SELECT event_type, ts::DATE AS date, avg(value) AS y FROM events GROUP BY ALL)")
 def moving_mean(spark: SparkSession, sf: str) -> DataFrame:
     daily = read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("value").alias("y"))
     week = F.avg("y").over(Window.partitionBy("event_type").orderBy("date").rowsBetween(-6, 0))
-    return daily.select("event_type", "date", r("y").alias("y"), r(week).alias("week"))
+    return daily.select("event_type", "date", r("y", 7).alias("y"), r(week, 7).alias("week"))
