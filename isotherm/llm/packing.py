@@ -19,7 +19,7 @@ from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_s
 LENGTH = 2048
 SHARD = 2_000_000  # tokens in a shard of the inverted index, on average
 K1, B = 1.2, 0.75
-WORDS = 450_000  # of a worker's cache; when full it becomes the old one, whose words are fetched as they come again
+WORDS = 600_000  # of a worker's cache; when full it becomes the old one, whose words are fetched as they come again
 #: White space, or what could be taken for it, other than the six ASCII ones: such texts are encoded whole.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
@@ -108,8 +108,8 @@ class Words:
         last = np.array([end], "<u4").tobytes()
         for begin in range(0, len(texts), 512):
             split = [None if ODD_SPACE.search(t) else t.split() for t in texts[begin : begin + 512]]
-            every = {w for words in split if words for w in words}
-            new = [w for w in every if w not in self.known]
+            every = set().union(*filter(None, split))
+            new = list(every - self.known.keys())
             if len(self.known) + len(new) > WORDS:
                 self.old, self.known = self.known, {}
                 new = list(every)
@@ -156,7 +156,8 @@ def cut(own: DataFrame, path: str, end: int, length: int) -> DataFrame:
             for begin in range(0, len(keys), 256):
                 out: dict[str, list] = {c: [] for c in names}
                 for key, ids in zip(keys[begin : begin + 256], coder.ids(texts[begin : begin + 256], end), strict=True):
-                    frequency[np.unique(ids)] += 1
+                    distinct = np.unique(ids)
+                    frequency[distinct] += 1
                     full = len(ids) // length * length
                     for at in range(0, full, length):
                         for c, v in zip(names, (0, key, at, length, zlib.crc32(ids[at : at + length].tobytes()), len(ids), 2 * serial + 1, 0, None, None, None, None, None, None), strict=True):
@@ -164,7 +165,7 @@ def cut(own: DataFrame, path: str, end: int, length: int) -> DataFrame:
                         serial += 1
                     if full < len(ids):
                         rest = ids[full:]
-                        near = salt[:, np.unique(rest)].min(axis=1).tolist()
+                        near = salt[:, np.unique(rest) if full else distinct].min(axis=1).tolist()
                         for c, v in zip(names, (1, key, full, len(rest), None, len(ids), None, None, rest.astype("<u2" if small else "<u4").tobytes(), *near, None, None, None), strict=True):
                             out[c].append(v)
                 yield out
