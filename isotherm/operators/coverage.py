@@ -95,3 +95,21 @@ def stats(masks: DataFrame) -> DataFrame:
 
 def stored_order(masks: DataFrame) -> DataFrame:
     return masks.repartitionByRange("date").sortWithinPartitions("date", "latitude", "longitude")
+
+
+def ensure_index(spark, data: str, index: str, version: str = "1") -> bool:
+    """Build the index anew from all data if it is missing, empty or of another version. Whether it was built; files that cannot be read are skipped."""
+    from pyspark.errors import AnalysisException
+
+    from isotherm.model import variables
+    from isotherm.sources.tables import scan
+
+    try:
+        if not scan(spark, index).where(F.col("schema_version") == version).isEmpty():
+            return False
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+            raise
+    df = scan(spark, data, union_by_name=True, skip_corrupt=True)
+    stored_order(hour_masks(df, variables(df))).withColumn("schema_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(index)
+    return True

@@ -171,3 +171,8 @@ def diff_preview(requested: DataFrame, missing: DataFrame) -> DataFrame:
     bits = lambda df, c: df.agg(F.coalesce(F.sum(F.bit_count(c).cast("long")), F.lit(0)).alias("n"))
     both = bits(requested, "requested_mask").withColumnRenamed("n", "requested").crossJoin(bits(missing, "missing_mask").withColumnRenamed("n", "missing"))  # one row each
     return both.withColumn("savings_pct", F.when(F.col("requested") > 0, F.round((1 - F.col("missing") / F.col("requested")) * 100, 2)).otherwise(F.lit(0.0)))
+
+
+def years(ranges: DataFrame) -> DataFrame:
+    """The years that ranges of dates (start, end) touch, each once."""
+    return ranges.select(F.explode(F.sequence(F.year("start"), F.year("end"))).alias("year")).distinct()

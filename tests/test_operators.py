@@ -194,3 +194,16 @@ def test_cell_ids_go_on(spark):
 def test_station_prerequisites(spark):
     with pytest.raises(ValueError, match="land"):
         stations.require_rows(era5=spark.range(1), land=spark.range(0))
+
+
+def test_index_is_built_when_it_has_to_be(spark, tmp_path):
+    data, index = str(tmp_path / "data"), str(tmp_path / "index")
+    tables.write_partitioned(grid(spark, [(1.0, 2.0, h, DAY, 1.0, None, h) for h in range(3)]).drop("seq"), data)
+    (tmp_path / "data" / "date=2024-01-01" / "part-broken.parquet").write_bytes(b"not parquet")
+    assert [coverage.ensure_index(spark, data, index, v) for v in ("1", "1", "2")] == [True, False, True]
+    assert [(r["variable"], r["mask"]) for r in spark.read.parquet(index).collect()] == [("temp", 7)]
+
+
+def test_years_of_ranges(spark):
+    df = spark.createDataFrame([(dt.date(2019, 5, 1), dt.date(2021, 1, 1)), (dt.date(2021, 5, 1), dt.date(2021, 6, 1))], "start date, end date")
+    assert sorted(r["year"] for r in requests.years(df).collect()) == [2019, 2020, 2021]
