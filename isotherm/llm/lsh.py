@@ -15,6 +15,7 @@ BUCKET = 600  # vectors in a bucket on average, by the number of hash functions
 WIDTH = 1.35  # of a slot, in deviations of a projection
 SAMPLE = 20_000  # vectors, and 256 queries among them, that the neighbours' nearness is estimated on
 TIE = 1e-9
+HELD = 400_000  # answers that a task holds before it keeps the best of each query only
 
 
 class Hashes:
@@ -119,7 +120,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     Fewer candidates than k give all of them. An empty table gives an empty one.
 
     Buckets are dealt out in blocks of candidates and of queries, so that a hot bucket is many small groups; each
-    group returns k rows a query. The hash functions are fitted on a bounded sample (SAMPLE); all rows are indexed.
+    group finds k rows a query, and a task merges those of its groups before they are shuffled. The hash functions are fitted on a bounded sample (SAMPLE); all rows are indexed.
     """
     own = taking_part(df, key, vector)
     size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"), F.max(F.size("v")).alias("dims")).first()
@@ -173,7 +174,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     def answer(keys, data, asks):
         x, q = (np.frombuffer(b"".join([d for d, a in zip(data, asks, strict=True) if a == want]), float).reshape(-1, dims) for want in (False, True))
         xk, qk = (np.array([i for i, a in zip(keys, asks, strict=True) if a == want], np.int64) for want in (False, True))
-        out = [], [], []
+        out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(x) and len(q):
             rough = q @ x.T
             rough[qk[:, None] == xk[None, :]] = -np.inf
@@ -185,9 +186,34 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
             nth = np.arange(len(i)) - np.searchsorted(i, i)
             keep = nth < k
             out = qk[i[keep]], xk[j[keep]], score[keep]
-        return dict(zip(("query_id", "vec_id", "score"), out, strict=True))
+        return out
+
+    def best(parts):
+        """The k best of each query in some groups' answers."""
+        q, v, score = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        order = np.lexsort((v, -score, q))
+        q, v, score = q[order], v[order], score[order]
+        # a vector that several tables gave stands side by side with itself, as its scores are equal
+        once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (score[1:] != score[:-1]))
+        q, v, score = q[once], v[once], score[once]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], v[keep], score[keep]
 
     def answers(batches):
+        parts, many = [], 0
+        for part in group_answers(batches):
+            parts.append(part)
+            many += len(part[0])
+            if many > HELD:
+                parts = [best(parts)]
+                many = len(parts[0][0])
+                if many > HELD // 2:
+                    yield dict(zip(("query_id", "vec_id", "score"), parts[0], strict=True))
+                    parts, many = [], 0
+        if many:
+            yield dict(zip(("query_id", "vec_id", "score"), best(parts), strict=True))
+
+    def group_answers(batches):
         last, rows = None, ([], [], [])
         for b in batches:
             cols = [b.column(c).to_pylist() for c in (*group, "key", "data", "asks")]
