@@ -17,13 +17,41 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shortest_runs(words: list[int], run_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines that have run_words words: from each line on, and up to each line.
+
+    Every line of a run with run_words words lies in one of these that is within that run: dropping lines at the run's
+    two ends as long as the words suffice leaves the shortest run from its first line on, or that up to its last.
+    """
+    out = set()
+    end, total = 0, 0
+    for start in range(len(words)):
+        while end < len(words) and total < run_words:
+            total += words[end]
+            end += 1
+        if total < run_words:
+            break
+        out.add((start, end))
+        total -= words[start]
+    start, total = 0, 0
+    for end, n in enumerate(words, 1):
+        total += n
+        while total - words[start] >= run_words:
+            total -= words[start]
+            start += 1
+        if total >= run_words:
+            out.add((start, end))
+    return sorted(out)
+
+
 def fingerprints(text: str, run_words: int) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
     """Position -> line hash and windows, of the lines that winnowing selects.
 
-    Lines without words are left out of the count. A window is the shortest run of lines from a start on that has
-    run_words words. Each window selects its smallest line hash, of equal ones the last, so two equal windows select
-    the same place and a repeated run with run_words words always shares a fingerprint. The windows that selected a
-    line, as (hash of all their lines, start, end), are what the match can extend over before and behind it.
+    Lines without words are left out of the count. The windows are the shortest runs of lines that have run_words
+    words, from each line on and up to each line. Each window selects its smallest line hash, of equal ones the last,
+    so two equal windows select the same place and a repeated run with run_words words always shares a fingerprint.
+    The windows that selected a line, as (hash of all their lines, start, end), are what the match can extend over
+    before and behind it.
     """
     hashes, words = [], []
     for line in text.split("\n"):
@@ -33,19 +61,10 @@ def fingerprints(text: str, run_words: int) -> dict[int, tuple[int, list[tuple[i
             words.append(n)
     raw = np.array(hashes, "<u8").tobytes()
     out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
-    end, total, low = 0, 0, -1
-    for start in range(len(hashes)):
-        while end < len(hashes) and total < run_words:
-            total += words[end]
-            if low < start or hashes[end] <= hashes[low]:
-                low = end if low < start and end == start or low >= start else start + min(range(end - start + 1), key=lambda k: (hashes[start + k], -k))
-            end += 1
-        if total < run_words:
-            break
-        if low < start:
-            low = start + min(range(end - start), key=lambda k: (hashes[start + k], -k))
+    for start, end in shortest_runs(words, run_words):
+        own = hashes[end - 1 : start - 1 if start else None : -1]
+        low = end - 1 - own.index(min(own))
         out.setdefault(low, (signed(hashes[low]), []))[1].append((signed(xxhash.xxh3_64_intdigest(raw[8 * start : 8 * end])), start, end))
-        total -= words[start]
     return out
 
 
@@ -77,7 +96,8 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run_wo
         yield rows
 
     found = per_batch(own, work, f"key {type_of(own, 'key')}, th long, fp long, windows array<struct<wh:long,s:int,e:int>>")
-    repeated = materialize(found.groupBy(F.col("fp").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("windows")).alias("w")).where("n > 1 or w > 1").select("r"), "repeated")
+    # windows that are equal, but not one, have their fingerprints at different places
+    repeated = materialize(found.groupBy(F.col("fp").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r"), "repeated")
     matches = materialize(found.join(repeated, found["fp"] == repeated["r"], "left_semi").select("key", "th", F.inline("windows")), "matches")
     first = matches.groupBy(F.col("wh").alias("f")).agg(F.min(F.struct("key", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = materialize(first, "first-places")

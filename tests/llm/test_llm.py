@@ -159,6 +159,33 @@ def test_line_dedup_is_brute_force(spark):
     assert lines.dedup(documents(spark, []), run_words=8).count() == 0
 
 
+def test_line_dedup_deletes_runs_to_both_ends(spark):
+    rnd = random.Random(6)
+    words = lambda n: " ".join(rnd.choice("pqrstuv") + rnd.choice("abc") for _ in range(n))
+    pool = [words(rnd.choice([1, 2, 3, 7, 9, 12])) for _ in range(12)]
+    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 16)))) for k in range(80)]
+    rows += [(k, "\n".join([*[rnd.choice(pool) for _ in range(2)], *pool[a : a + 6], rnd.choice(pool)])) for k, a in zip(range(80, 90), [0, 1, 2, 3, 4] * 2, strict=True)]
+    # lines of 60 and 10 words, and again, behind another line
+    long = words(60) + "\n" + words(10)
+    rows += [(90, long), (91, "other\n" + long + "\nend")]
+    own = {k: t.split("\n") if t else [] for k, t in rows}
+    places: dict = {}
+    for k, x in own.items():
+        for s in range(len(x)):
+            for e in range(s + 1, len(x) + 1):
+                if sum(len(y.split()) for y in x[s:e]) >= 8:
+                    places.setdefault(tuple(x[s:e]), []).append((k, s, e))
+    gone: dict = {k: set() for k in own}
+    for found in places.values():
+        for k, s, e in found:
+            if any(a < k or (a == k and c <= s) for a, _, c in found):
+                gone[k].update(range(s, e))
+    assert gone[91] == {1, 2}
+    for r in lines.dedup(documents(spark, rows), run_words=8).collect():
+        x, cut = own[r["doc_id"]], gone[r["doc_id"]]
+        assert r["n_removed"] == len(cut) and r["text"] == "\n".join(y for i, y in enumerate(x) if i not in cut)
+
+
 _hashes: dict = {}
 
 
