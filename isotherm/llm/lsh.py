@@ -14,6 +14,8 @@ BLOCK = 1024  # rows of candidates, and of queries, in a task's group
 BUCKET = 600  # vectors in a bucket on average, by the number of hash functions
 WIDTH = 1.35  # of a slot, in deviations of a projection
 SAMPLE = 20_000  # vectors, and 256 queries among them, that the neighbours' nearness is estimated on
+RATIO = math.sqrt(2)  # of the lengths in a class, which has its own scale and hash functions
+CLASSES = 24  # of lengths; the last one has all that are shorter
 TIE = 1e-9
 HELD = 400_000  # answers that a task holds before it keeps the best of each query only
 
@@ -22,12 +24,14 @@ class Hashes:
     """Tables of p-stable (Gaussian) hash functions floor((a.x + b) / width) of vectors on the unit sphere.
 
     For inner products, vectors get one more coordinate that brings all of them to the length of the longest,
-    and queries a zero: then the largest inner product is the least distance.
+    and queries a zero: then the largest inner product is the least distance. `lift` is that coordinate's mean and
+    variance, and `near` the inner product of a neighbour, as lifted, with a query.
     """
 
-    def __init__(self, dims: int, longest: float, near: float, functions: int, tables: int, seed: int = 7):
+    def __init__(self, dims: int, longest: float, near: float, functions: int, tables: int, seed: int = 7, lift: tuple[float, float] = (0.0, 0.0), kind: int = 0):
         rng = np.random.default_rng(seed)
-        self.longest, self.near, self.tables, self.functions = longest, near, tables, functions
+        self.longest, self.tables, self.functions, self.lift, self.kind = longest, tables, functions, lift, kind
+        self.near = min(near, 0.98 * math.sqrt(max(0.0, 1 - lift[0] ** 2)))
         self.a = rng.standard_normal((tables, dims + 1, functions))
         self.b = rng.uniform(0, WIDTH, (tables, functions))
 
@@ -41,17 +45,20 @@ class Hashes:
         return np.floor((self.lifted(x, False) @ self.a[table] + self.b[table]) / WIDTH).astype(np.int64)
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
-        return codes(self.slots(x, table))
+        return codes(self.slots(x, table), self.kind)
 
     def probes(self, q: np.ndarray, table: int, success: float) -> list[np.ndarray]:
         """Each query's buckets in the order of estimated success, until their sum reaches `success`.
 
-        A neighbour with inner product `near` to a query has projections around near times the query's, with
-        deviation sqrt(1 - near^2); that gives each slot a chance, and each bucket the product of its slots'.
+        A neighbour with inner product `near` to a query has projections around near times the query's plus what
+        the lifting coordinate adds, which is the same function's for all vectors; their variance is what both leave
+        of 1, and the lifting coordinate's own. That gives each slot a chance, and each bucket the product of its slots'.
         """
-        at = self.lifted(q, True) @ self.a[table]
-        middle, spread = self.near * at + self.b[table], math.sqrt(max(1e-6, 1 - self.near**2))
-        reach = math.ceil(4 * spread / WIDTH) + 1
+        at, up = self.lifted(q, True) @ self.a[table], self.a[table][-1]
+        mean, variance = self.lift
+        middle = self.near * at + mean * up + self.b[table]
+        spread = np.sqrt(np.maximum(1e-6, 1 - self.near**2 - mean**2 - variance) + up**2 * variance)[:, None]
+        reach = math.ceil(4 * spread.max(initial=0) / WIDTH) + 1
         slot = np.floor(middle / WIDTH).astype(np.int64)[:, :, None] + np.arange(-reach, reach + 1)
         edge = (np.concatenate([slot, slot[:, :, -1:] + 1], axis=2) * WIDTH - middle[:, :, None]) / spread
         chance = np.diff(normal(edge), axis=2)
@@ -70,13 +77,13 @@ class Hashes:
                 least /= 4
             order = np.argsort(-product, kind="stable")
             enough = int(np.searchsorted(np.cumsum(product[order]), success)) + 1
-            out.append(codes(code[order[:enough]]))
+            out.append(codes(code[order[:enough]], self.kind))
         return out
 
 
-def codes(slots: np.ndarray) -> np.ndarray:
-    """One number for the slots of a bucket."""
-    out = np.zeros(len(slots), np.uint64)
+def codes(slots: np.ndarray, kind: int = 0) -> np.ndarray:
+    """One number for the slots of a bucket of a class of lengths."""
+    out = np.full(len(slots), kind, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(slots.shape[1]):
             out = (out ^ slots[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -100,16 +107,47 @@ def taking_part(df: DataFrame, key: str, vector: str) -> DataFrame:
     return own.where(F.size("v") == (usual["n"] if usual else 0))
 
 
+def length_class(size: np.ndarray, longest: float) -> np.ndarray:
+    return np.clip(np.floor(np.log(longest / size) / math.log(RATIO) + 1e-9), 0, CLASSES - 1).astype(np.int64)
+
+
+class Classes:
+    """Hash functions for each class of lengths: a class is lifted to its own longest, so that its buckets tell its vectors apart."""
+
+    def __init__(self, dims: int, longest: float, counts: dict[int, int], sample: np.ndarray, k: int, tables: int):
+        size = np.sqrt((sample * sample).sum(axis=1))
+        near, kind = nearness(sample, sum(counts.values()), k), length_class(size, longest)
+        self.longest, self.of = longest, {}
+        for c, n in sorted(counts.items()):
+            most = longest / RATIO**c
+            lift = np.sqrt(np.maximum(0, 1 - (size[kind == c] / most) ** 2))
+            moments = (float(lift.mean()), float(lift.var())) if len(lift) else (0.4, 0.04)
+            functions = max(1, round(math.log(max(1.0, n / BUCKET)) / math.log(3)))
+            self.of[c] = Hashes(dims, most, float(np.clip(near / most, 0.0, 0.98)), functions, tables, lift=moments, kind=c)
+
+    def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
+        kind, out = length_class(np.sqrt((x * x).sum(axis=1)), self.longest), np.zeros(len(x), np.int64)
+        for c in np.unique(kind):
+            # a length on a border may be in a class that is counted as the next
+            out[kind == c] = self.of[min(self.of, key=lambda o: (abs(o - c), o))].buckets(x[kind == c], table)
+        return out
+
+    def probes(self, q: np.ndarray, table: int, success: float) -> list[np.ndarray]:
+        """Each query's buckets in all classes."""
+        found = [h.probes(q, table, success) for h in self.of.values()]
+        return [np.concatenate(f) for f in zip(*found, strict=True)]
+
+
 def nearness(sample: np.ndarray, rows: int, k: int) -> float:
-    """A low estimate of the k-th largest inner product with a query (both on the unit sphere) among `rows` vectors, from a sample of them."""
+    """A low estimate of the k-th largest inner product with a query of length 1 among `rows` vectors, from a sample of them."""
     if len(sample) < 3:
         return 0.0
     q = sample[: min(256, len(sample))]
-    s = q @ sample.T
+    s = (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ sample.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     place = min(len(sample) - 2, max(0, math.ceil(k * len(sample) / max(1, rows)) - 1))
     kth = -np.partition(-s, place, axis=1)[:, place]
-    return float(np.clip(np.quantile(kth, 0.1), 0.0, 0.98))
+    return max(0.0, float(np.quantile(kth, 0.1)))
 
 
 def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, tables: int = 2, success: float = 0.7) -> DataFrame:
@@ -121,15 +159,17 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
 
     Buckets are dealt out in blocks of candidates and of queries, so that a hot bucket is many small groups; each
     group finds k rows a query, and a task merges those of its groups before they are shuffled. The hash functions are fitted on a bounded sample (SAMPLE); all rows are indexed.
+    Vectors are indexed in classes of lengths (RATIO), and every query probes all classes.
     """
     own = taking_part(df, key, vector)
-    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"), F.max(F.size("v")).alias("dims")).first()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.max(F.size("v")).alias("dims")).first()
     if not size["n"]:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = np.array([r["v"] for r in own.orderBy(F.xxhash64("key"), "key", "v").limit(SAMPLE).select("v").collect()], float)
-    unit = some / np.sqrt((some * some).sum(axis=1))[:, None]
-    functions = max(1, round(math.log(max(1.0, size["n"] / BUCKET)) / math.log(3)))
-    hashes = df.sparkSession.sparkContext.broadcast(Hashes(size["dims"], size["longest"], nearness(unit, size["n"], k), functions, tables))
+    kind = F.least(F.greatest(F.floor(F.log(size["longest"] / length) / math.log(RATIO) + 1e-9), F.lit(0)), F.lit(CLASSES - 1)).cast("int")
+    counts = {r["kind"]: r["count"] for r in own.groupBy(kind.alias("kind")).count().collect()}
+    hashes = df.sparkSession.sparkContext.broadcast(Classes(size["dims"], size["longest"], counts, some, k, tables))
     dims = size["dims"]
 
     def arrays(batch) -> np.ndarray:

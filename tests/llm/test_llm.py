@@ -288,6 +288,25 @@ def test_neighbours(spark):
     assert lsh.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one long", "log-normal"])
+def test_neighbours_of_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(160, 32)), 40, axis=0) + 0.5 * rng.normal(size=(6400, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    if lengths == "one long":
+        x[77] *= 10
+    else:
+        x *= rng.lognormal(0, 0.5, size=(6400, 1))
+    found: dict = {}
+    for r in lsh.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::20] @ x.T
+    s[np.arange(320), np.arange(0, 6400, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = sum(len(found.get(20 * i, set()) & set(b.tolist())) for i, b in enumerate(best)) / best.size
+    assert recall >= 0.9
+
+
 def test_quality(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
