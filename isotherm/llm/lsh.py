@@ -17,6 +17,7 @@ SAMPLE = 20_000  # vectors, and 256 queries among them, that the neighbours' nea
 RATIO = math.sqrt(2)  # of the lengths in a class, which has its own scale and hash functions
 CLASSES = 24  # of lengths; the last one has all that are shorter
 TIE = 1e-9
+PAIRS = 1 << 18  # scored at once
 HELD = 400_000  # answers that a task holds before it keeps the best of each query only
 
 
@@ -122,7 +123,7 @@ class Classes:
             most = longest / RATIO**c
             lift = np.sqrt(np.maximum(0, 1 - (size[kind == c] / most) ** 2))
             moments = (float(lift.mean()), float(lift.var())) if len(lift) else (0.4, 0.04)
-            functions = max(1, round(math.log(max(1.0, n / BUCKET)) / math.log(3)))
+            functions = math.ceil(math.log(max(1.0, n / BUCKET)) / math.log(3))  # none where one bucket holds all
             self.of[c] = Hashes(dims, most, float(np.clip(near / most, 0.0, 0.98)), functions, tables, lift=moments, kind=c)
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -150,12 +151,14 @@ def nearness(sample: np.ndarray, rows: int, k: int) -> float:
     return max(0.0, float(np.quantile(kth, 0.1)))
 
 
-def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, tables: int = 2, success: float = 0.7) -> DataFrame:
+def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, tables: int = 2, success: float = 0.82) -> DataFrame:
     """query_id, rank, vec_id, score: for each key divisible by `every` the k largest inner products with other keys' vectors, as found.
 
     Null, zero and non-finite vectors, vectors of another length than most, and null keys take no part. Equal
     scores go by the smaller key. Rows with one key are one name: their vectors all count, the best score stands.
-    Fewer candidates than k give all of them. An empty table gives an empty one.
+    Fewer candidates than k give all of them: queries whose buckets had fewer than k, or than there are, probe again
+    with a larger success, and those that still have too few are held against all vectors, in blocks. An empty table
+    gives an empty one.
 
     Buckets are dealt out in blocks of candidates and of queries, so that a hot bucket is many small groups; each
     group finds k rows a query, and a task merges those of its groups before they are shuffled. The hash functions are fitted on a bounded sample (SAMPLE); all rows are indexed.
@@ -182,35 +185,43 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
                 for t in range(tables):
                     yield {"t": [t] * len(keys), "bucket": hashes.value.buckets(x, t), "key": keys, "data": [r.tobytes() for r in x]}
 
-    def probe(batches):
-        for b in batches:
-            x, keys = (arrays(b), b.column("key").to_pylist()) if b.num_rows else ([], [])
-            for begin in range(0, len(keys), 256):
-                part = x[begin : begin + 256]
-                for t in range(tables):
-                    found = hashes.value.probes(part, t, success)
-                    many = [len(f) for f in found]
-                    yield {"t": [t] * sum(many), "bucket": np.concatenate(found), "key": np.repeat(keys[begin : begin + 256], many)}
-
-    rows = materialize(batches_of(own, index, "t int, bucket long, key long, data binary"), "lsh-index")
-    asked = own.where(F.col("key") % every == 0)
-    wanted = materialize(batches_of(asked, probe, "t int, bucket long, key long"), "lsh-probes")
-    blocks = rows.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
-    chunks = wanted.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("parts"))
-    shape = blocks.join(chunks, ["t", "bucket"])
-    place = [F.xxhash64("key", "t").alias("own")]
-    vectors = asked.select("key", F.col("v")).join(wanted, "key")
-    candidates = rows.select("*", *place).join(shape, ["t", "bucket"]).select("t", "bucket", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "key", F.lit(False).alias("asks"), "data")
+    def probe(level):
+        def work(batches):
+            for b in batches:
+                x, keys = (arrays(b), b.column("key").to_pylist()) if b.num_rows else ([], [])
+                for begin in range(0, len(keys), 256):
+                    part = x[begin : begin + 256]
+                    for t in range(tables):
+                        found = hashes.value.probes(part, t, level)
+                        many = [len(f) for f in found]
+                        yield {"t": [t] * sum(many), "bucket": np.concatenate(found), "key": np.repeat(keys[begin : begin + 256], many)}
+
+        return work
 
     def packed(batches):
         for b in batches:
             if b.num_rows:
                 yield {c: b.column(c).to_pylist() for c in ("key", "t", "bucket")} | {"data": [r.tobytes() for r in arrays(b)]}
 
-    questions = batches_of(vectors.select("key", "t", "bucket", "v"), packed, "key long, t int, bucket long, data binary").select("*", *place).join(shape, ["t", "bucket"])
-    questions = questions.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod("own", F.col("parts") + 1).cast("int").alias("part"), "key", F.lit(True).alias("asks"), "data")
+    index_rows = materialize(batches_of(own, index, "t int, bucket long, key long, data binary"), "lsh-index")
     group = ["t", "bucket", "block", "part"]
 
+    def met(asked: DataFrame, level: float | None) -> DataFrame:
+        """Candidates and questions of each group; without a level all vectors are one bucket."""
+        if level is None:
+            rows, wanted = index_rows.where("t = 0").withColumn("bucket", F.lit(0).cast("long")), asked.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "key").distinct()
+        else:
+            rows, wanted = index_rows, materialize(batches_of(asked, probe(level), "t int, bucket long, key long"), "lsh-probes")
+        blocks = rows.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
+        chunks = wanted.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("parts"))
+        shape = blocks.join(chunks, ["t", "bucket"])
+        place = [F.xxhash64("key", "t").alias("own")]
+        vectors = asked.select("key", F.col("v")).join(wanted, "key")
+        candidates = rows.select("*", *place).join(shape, ["t", "bucket"]).select("t", "bucket", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "key", F.lit(False).alias("asks"), "data")
+        questions = batches_of(vectors.select("key", "t", "bucket", "v"), packed, "key long, t int, bucket long, data binary").select("*", *place).join(shape, ["t", "bucket"])
+        questions = questions.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod("own", F.col("parts") + 1).cast("int").alias("part"), "key", F.lit(True).alias("asks"), "data")
+        return candidates.unionByName(questions).repartition(*group).sortWithinPartitions(*group)
+
     def answer(keys, data, asks):
         x, q = (np.frombuffer(b"".join([d for d, a in zip(data, asks, strict=True) if a == want]), float).reshape(-1, dims) for want in (False, True))
         xk, qk = (np.array([i for i, a in zip(keys, asks, strict=True) if a == want], np.int64) for want in (False, True))
@@ -218,27 +229,35 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         if len(x) and len(q):
             rough = q @ x.T
             rough[qk[:, None] == xk[None, :]] = -np.inf
-            last = -np.partition(-rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            # a key with several vectors counts once among the k
+            by = np.argsort(xk, kind="stable")
+            first = np.flatnonzero(np.append(True, xk[by][1:] != xk[by][:-1]))
+            most = rough if len(first) == len(xk) else np.maximum.reduceat(rough[:, by], first, axis=1)
+            place = min(k, most.shape[1]) - 1
+            last = -np.partition(-most, place, axis=1)[:, place]
             i, j = np.nonzero((rough >= last[:, None] - TIE * max(1.0, float(np.abs(last[np.isfinite(last)]).max(initial=0)))) & np.isfinite(rough))
-            score = (q[i] * x[j]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
-            order = np.lexsort((xk[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = nth < k
-            out = qk[i[keep]], xk[j[keep]], score[keep]
+            # the same sum for equal vectors, wherever they stand
+            score = np.concatenate([(q[i[a : a + PAIRS]] * x[j[a : a + PAIRS]]).sum(axis=1) for a in range(0, len(i), PAIRS)]) if len(i) else np.empty(0)
+            out = largest(i, xk[j], score)
+            out = qk[out[0]], *out[1:]
         return out
 
-    def best(parts):
-        """The k best of each query in some groups' answers."""
-        q, v, score = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    def largest(q, v, score):
+        """The k best keys of each query, each with its best score."""
+        order = np.lexsort((-score, v, q))
+        q, v, score = q[order], v[order], score[order]
+        if len(q):
+            once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))
+            q, v, score = q[once], v[once], score[once]
         order = np.lexsort((v, -score, q))
         q, v, score = q[order], v[order], score[order]
-        # a vector that several tables gave stands side by side with itself, as its scores are equal
-        once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (score[1:] != score[:-1]))
-        q, v, score = q[once], v[once], score[once]
         keep = np.arange(len(q)) - np.searchsorted(q, q) < k
         return q[keep], v[keep], score[keep]
 
+    def best(parts):
+        """The k best of each query in some groups' answers."""
+        return largest(*(np.concatenate([p[c] for p in parts]) for c in range(3)))
+
     def answers(batches):
         parts, many = [], 0
         for part in group_answers(batches):
@@ -267,9 +286,20 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         if rows[0]:
             yield answer(*rows)
 
-    met = candidates.unionByName(questions).repartition(*group).sortWithinPartitions(*group)
-    found = batches_of(met, answers, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    enough = min(k, own.select("key").distinct().count() - 1)
+    asked, out = own.where(F.col("key") % every == 0), None
+    for level in (success, 1 - (1 - success) / 8, None):
+        found = batches_of(met(asked, level), answers, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "lsh-found")
+        if level is None:
+            break
+        whole = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+        short = materialize(asked.join(whole, F.col("key") == F.col("query_id"), "left_anti"), "lsh-short")
+        done = found.join(whole, "query_id", "left_semi")
+        out, asked = done if out is None else out.unionByName(done), short
+        if enough <= 0 or short.isEmpty():
+            return out
+    return out.unionByName(found)

@@ -307,6 +307,20 @@ def test_neighbours_of_unequal_lengths(spark, lengths):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("rows", [11, 21, 700])
+def test_neighbours_are_never_too_few(spark, rows):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(rows, 16))
+    # far from all others, and a key with many vectors
+    x[0] *= -0.001
+    more = [(1, (20 * x[1] + 0.01 * rng.normal(size=16)).tolist()) for _ in range(40)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + more, "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in lsh.search(df, every=5, success=0.01).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(range(0, rows, 5)) and all(len(v) == min(20, rows - 1) for v in found.values())
+
+
 def test_quality(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
