@@ -412,3 +412,36 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and {r["doc_id"] for r in out} <= {r["doc_id"] for r in kept.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "packing"]
+
+
+def test_near_duplicate_stage_keeps_one_row_a_group(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(60)] for _ in range(8)]
+    near = lambda k: " ".join([*base[k][:59], word()])
+    whole = lambda k: " ".join(base[k])
+    rows = [(1, whole(0)), (1, whole(0)), (2, near(0)), (None, whole(0)), (None, whole(1)), (None, near(1)), (None, whole(2)), (5, near(2)), (5, whole(3)), (6, near(3)), (6, whole(4)), (7, whole(5)), (7, whole(5)), (8, None), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    root = list(range(len(rows)))
+    for i, (k, t) in enumerate(rows):
+        for j in range(i):
+            a, b = grams(t), grams(rows[j][1])
+            if (k, t) == rows[j] or (a and len(a & b) >= 0.75 * len(a | b)):
+                root = [root[j] if r == root[i] else r for r in root]
+    # all of a group's rows with the smallest doc_id are possible
+    want = {}
+    for r in set(root):
+        own = [rows[i] for i in range(len(rows)) if root[i] == r]
+        least = min((k is None, k or 0) for k, _ in own)
+        want[r] = {x for x in own if (x[0] is None, x[0] or 0) == least}
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    got = [(r["doc_id"], r["text"]) for r in out]
+    assert tuple(out[0].asDict()) == corpus_pipeline.COLUMNS and len(got) == len(want)
+    assert all(len([x for x in got if x in w]) == 1 for w in want.values())
