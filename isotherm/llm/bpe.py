@@ -288,7 +288,8 @@ class BatchDP:
             self.powers = np.cumprod(np.full(self.LONGEST + 1, self.base, np.uint64)) * np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
             short = [(t, k) for t, k in bpe.ranks.items() if len(t) <= self.LONGEST]
             self.hashes = np.zeros(len(bpe.tokens), np.uint64)
-            self.hashes[[k for _, k in short]] = self.prefix_hashes([t for t, _ in short])[1]
+            cells = np.frombuffer(b"".join([t.ljust(self.LONGEST, b"\0") for t, _ in short]), np.uint8).reshape(len(short), self.LONGEST)
+            self.hashes[[k for _, k in short]] = self.prefix_hashes(cells)[np.arange(len(short)), [len(t) for t, _ in short]]
         ids = np.array([k for _, k in short])
         # a place of the table leads to a token, that one to the next with the same place
         self.table, self.next = np.full(1 << self.BITS, -1, np.int32), np.full(len(bpe.tokens), -1, np.int32)
@@ -302,16 +303,13 @@ class BatchDP:
         with np.errstate(over="ignore"):
             return ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)
 
-    def prefix_hashes(self, pieces: list[bytes]):
-        """Hash of every prefix, [piece, length], and of the whole pieces."""
-        size = np.array([len(p) for p in pieces])
-        width = int(size.max())
-        cells = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(len(pieces), width)
-        out = np.zeros((len(pieces), width + 1), np.uint64)
+    def prefix_hashes(self, cells: np.ndarray) -> np.ndarray:
+        """Hash of every prefix, [piece, length], of pieces whose bytes are the rows of cells, zeros behind them."""
+        out = np.zeros((len(cells), cells.shape[1] + 1), np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(width):
+            for k in range(cells.shape[1]):
                 out[:, k + 1] = out[:, k] * self.base + cells[:, k] + np.uint64(1)
-        return out, out[np.arange(len(pieces)), size]
+        return out
 
     def fit(self, a, b):
         """PrefixBPE.fits for arrays."""
@@ -340,12 +338,15 @@ class BatchDP:
             self.pair_ok[slot] = good[np.searchsorted(new, self.pair_keys[slot])]  # of two new pairs with one place the last stays
         return ok
 
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        done = [pieces[k] for k in order]
-        size = np.array([len(p) for p in done])
-        prefix, _ = self.prefix_hashes(done)
-        last, begin_of = np.full(prefix.shape, -1, np.int64), np.zeros(prefix.shape, np.int64)
+    def solved(self, cells: np.ndarray, size: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (counts: token counts at each prefix) of all pieces, how many each has, and the pieces' order there.
+
+        cells: [piece, byte], with zeros behind a piece's size, which is 1 to LONGEST.
+        """
+        order = np.argsort(-size, kind="stable")
+        cells, size = cells[order], size[order]
+        prefix = self.prefix_hashes(cells)
+        last, begin_of, tokens = np.full(prefix.shape, -1, np.int64), np.zeros(prefix.shape, np.int64), np.zeros(prefix.shape, np.uint32)
         with np.errstate(over="ignore"):
             for end in range(1, prefix.shape[1]):
                 n = int(np.searchsorted(-size, -end, side="right"))  # pieces with that many bytes
@@ -359,24 +360,32 @@ class BatchDP:
                     ok = start == 0
                     inner = np.flatnonzero(~ok)
                     ok[inner] = self.fit(last[r[inner], start[inner]], t[inner])
-                    last[r[ok], end], begin_of[r[ok], end] = t[ok], start[ok]
+                    r, t, start = r[ok], t[ok], start[ok]
+                    last[r, end], begin_of[r, end], tokens[r, end] = t, start, tokens[r, start] + 1
                     token = self.next[token]
                     on = ~real & (token >= 0)
                     row, begin, token, h = row[on], begin[on], token[on].astype(np.int64), h[on]
-        rows, at, steps = np.arange(len(done)), size.copy(), []
+        if counts:
+            return tokens[:, 1:][np.arange(1, prefix.shape[1]) <= size[:, None]], size, order
+        rows, at, many = np.arange(len(size)), size.copy(), tokens[np.arange(len(size)), size].astype(np.int64)
+        place = np.cumsum(many) - 1
+        flat = np.empty(int(many.sum()), np.uint32)
         while len(rows):
-            steps.append((rows, last[rows, at]))
+            flat[place[rows]] = last[rows, at]
+            place[rows] -= 1
             at = begin_of[rows, at]
             rows, at = rows[at > 0], at[at > 0]
-        counts = np.bincount(np.concatenate([r for r, _ in steps]), minlength=len(done))
-        ends = np.cumsum(counts)
-        flat = np.empty(int(ends[-1]), "<u4")
-        for k, (r, ids) in enumerate(steps):
-            flat[ends[r] - 1 - k] = ids
-        flat, ends = flat.tobytes(), (4 * ends).tolist()
-        out: list[bytes] = [b""] * len(done)
-        for k, begin, end in zip(order, [0, *ends], ends, strict=False):
-            out[k] = flat[begin:end]
+        return flat, many, order
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers."""
+        size = np.array([len(p) for p in pieces])
+        width = int(size.max())
+        flat, many, order = self.solved(np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(len(pieces), width), size)
+        data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(many)).tolist()
+        out: list[bytes] = [b""] * len(pieces)
+        for k, begin, end in zip(order.tolist(), [0, *ends], ends, strict=False):
+            out[k] = data[begin:end]
         return out
 
 

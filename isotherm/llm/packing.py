@@ -13,45 +13,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.bpe import BatchDP, PrefixBPE, byte_letters
+from isotherm.llm.bpe import PrefixBPE, byte_letters
 from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_sum, type_of
+from isotherm.llm.pieces import PieceCoder
 
 LENGTH = 2048
 SHARD = 2_000_000  # tokens in a shard of the inverted index, on average
 K1, B = 1.2, 0.75
-WORDS = 600_000  # of a worker's cache; when full it becomes the old one, whose words are fetched as they come again
+CELLS = 1 << 23  # numbers of a shard's frequent postings
 #: White space, or what could be taken for it, other than the six ASCII ones: such texts are encoded whole.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
 
-def fetched(names: list[str], known: dict, old: dict) -> list[str]:
-    """Move the names that the old cache has to the new one; the others are returned."""
-    out = []
-    for x in names:
-        got = old.get(x)
-        if got is None:
-            out.append(x)
-        else:
-            known[x] = got
-    return out
-
-
 class Words:
-    """A tokenizers file of the kind with word ends: lower case, white space dropped, so words are encoded once and kept.
+    """A tokenizers file of the kind with word ends: lower case, white space dropped, so each piece is encoded for itself.
 
-    Texts with odd white space go to the tokenizers library whole, and words with special strings, or that composing
-    may change, one by one. All other words are split by the file's pattern, and new pieces are encoded many at a
-    time by the prefix dynamic programming of bpe.py, the word's end being a byte that UTF-8 never has.
+    Pieces are split and looked up in numpy (pieces.py), and new ones encoded many at a time by the prefix dynamic
+    programming of bpe.py, a word's end being a byte that UTF-8 never has. Texts with odd white space go to the
+    tokenizers library whole, and words with special strings, or that composing may change, one by one.
     """
 
     END = b"\xff"
-    ENDINGS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.pieces, self.old, self.old_pieces = Tokenizer.from_file(path), {}, {}, {}, {}
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = vocabulary_size(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, mark = byte_letters(), spec["model"]["end_of_word_suffix"]
@@ -62,63 +50,25 @@ class Words:
                 ranks[data + self.END if t.endswith(mark) else data] = k
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.bpe = PrefixBPE(ranks, pattern)
-
-    def split(self, word: str) -> list[str] | None:
-        """The word's pieces in lower case, or None if the library has to see it."""
-        if not word.isascii():
-            if not unicodedata.is_normalized("NFC", word) or "\u03a3" in word:
-                return None
-            word = word.lower()
-            if not unicodedata.is_normalized("NFC", word):
-                return None
-        else:
-            word = word.lower()
-        if word.isalpha():
-            return [word]
-        if "<|" in word:
-            return None
-        if word[-1] in self.ENDINGS and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.bpe.find(word)
-
-    def learn(self, words: list[str]) -> None:
-        split = {w: self.split(w) for w in words}
-        new = list({p for ps in split.values() if ps for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(new) > WORDS:
-            self.old_pieces, self.pieces = self.pieces, {}
-            new = list({p for ps in split.values() if ps for p in ps})
-        new = fetched(new, self.pieces, self.old_pieces)
-        short = [p for p in new if len(p.encode()) < BatchDP.LONGEST]
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
-            self.pieces.update(zip(part, self.bpe.batch.encode([p.encode() + self.END for p in part]), strict=True))
-        for p in new:
-            if p not in self.pieces:
-                data = p.encode() + self.END
-                self.pieces[p] = np.array(self.bpe.ids_back(len(data), self.bpe.last_tokens(data)[0]), "<u4").tobytes()
-        for w, ps in split.items():
-            if ps is None:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                self.known[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+        self.coder = PieceCoder(self.bpe.batch, self.hard, words=True)
+
+    def hard(self, data: bytes) -> np.ndarray:
+        """Ids of a word that is not split by classes of bytes."""
+        word = data.decode("utf-8", "surrogatepass")
+        if not unicodedata.is_normalized("NFC", word) or "\u03a3" in word or "<|" in word or not unicodedata.is_normalized("NFC", word.lower()):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+        out: list[int] = []
+        for p in self.bpe.find(word.lower()):
+            piece = p.encode() + self.END
+            out += self.bpe.ids_back(len(piece), self.bpe.last_tokens(piece)[0])
+        return np.array(out, np.uint32)
 
     def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text (no special tokens added), then `end`."""
-        out = []
-        last = np.array([end], "<u4").tobytes()
-        for begin in range(0, len(texts), 512):
-            split = [None if ODD_SPACE.search(t) else t.split() for t in texts[begin : begin + 512]]
-            every = set().union(*filter(None, split))
-            new = list(every - self.known.keys())
-            if len(self.known) + len(new) > WORDS:
-                self.old, self.known = self.known, {}
-                new = list(every)
-            self.learn(fetched(new, self.known, self.old))
-            for t, words in zip(texts[begin : begin + 512], split, strict=True):
-                if words is None:
-                    out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4"))
-                else:
-                    out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)) + last, "<u4"))
+        odd = [ODD_SPACE.search(t) is not None for t in texts]
+        out, last = [], np.array([end], np.uint32)
+        for t, whole, (_, _, ids) in zip(texts, odd, self.coder.of_texts([b"" if x else t.encode("utf-8", "surrogatepass") for t, x in zip(texts, odd, strict=True)]), strict=True):
+            out.append(np.concatenate([self.tokenizer.encode(t, add_special_tokens=False).ids if whole else ids, last]).astype("<u4"))
         return out
 
 
@@ -130,6 +80,13 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids of a tokenizers file, added tokens included, without loading its coder."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+
+
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -190,8 +147,8 @@ class Shard:
         self.names, flat = np.unique(np.concatenate(terms), return_inverse=True)
         order = np.argsort(flat, kind="stable")
         docs, weights, count = np.concatenate(docs)[order], np.concatenate(weights)[order], np.bincount(flat, minlength=len(self.names))
-        # postings of terms that many remainders have stand as whole rows, with zeros
-        often = count * 12 > len(ids)
+        # postings of terms that many remainders have stand as whole rows, with zeros, in CELLS numbers at most
+        often = count > max(len(ids) / 12, np.sort(count)[-min(len(count), max(1, CELLS // len(ids)))] - 0.5)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         held = np.repeat(often, count)
         self.rows = np.zeros((int(often.sum()), len(ids)), np.float32)
@@ -259,7 +216,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
     parts = materialize(cut(own, path, end, length), "pieces")
     counted = parts.where("kind = 1").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).first()
     documents = parts.where("kind < 2 and start = 0").count()
-    size = words_of(path).vocabulary
+    size = vocabulary_size(path)
     frequency = tree_sum(parts.where("kind = 2").select("part", "slab", "data"), size, np.int64)
     idf = df.sparkSession.sparkContext.broadcast(np.log1p((documents - frequency + 0.5) / (frequency + 0.5)))  # as many numbers as the vocabulary has ids
     mean, small = (counted["tokens"] or 1) / max(1, counted["n"]), size <= 1 << 16
