@@ -14,17 +14,21 @@ import base64
 import functools
 import json
 import re
-from bisect import bisect_right
 
 import numpy as np
 import regex
 
 #: Fixed value: the white space of Unicode, as the pattern's \s means it (Python's own \s has four more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))
+#: The pattern's contractions of three letters.
+CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 #: Runs that no piece of the pattern crosses: a word with the blank before it, or white space.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Entries of a worker's cache; when full it starts anew, which changes no result.
-CACHE = 600_000
+#: The white space beyond ASCII: texts that have it are split into chunks one by one.
+ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Entries of a worker's caches; when full they start anew, which changes no result.
+CACHE = 200_000
 
 
 def read_tiktoken(path: str) -> dict[bytes, int]:
@@ -72,8 +76,7 @@ class PrefixBPE:
                     break
         self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}  # of tokens with these last three bytes, longest first
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.kept: dict[tuple[bytes, bool], np.ndarray] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two tokens can stand side by side: no merge reaches over the border between them.
@@ -132,59 +135,38 @@ class PrefixBPE:
             end -= len(self.tokens[last[end]])
         return out[::-1]
 
-    def piece(self, text: str) -> bytes:
-        """Ids (little-endian unsigned 32-bit) of one match of the pattern."""
-        data = text.encode("utf-8", "surrogatepass")
-        token = self.ranks.get(data)
-        ids = [token] if token is not None else self.ids_back(len(data), self.last_tokens(data)[0])
-        return np.array(ids, "<u4").tobytes()
-
-    def learn(self, chunks) -> None:
-        """Put the chunks that are not yet known into the cache, their new pieces being encoded together."""
-        known, pieces = self.chunks, self.pieces
-        new = [c for c in set(chunks) if c not in known]
-        if not new:
-            return
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(chunks))
-        if len(pieces) > CACHE // 2:
-            pieces.clear()
-        find, parts = self.find, {}
-        for c in new:
-            word = c[1:] if c[0] == " " else c
-            if word.isalpha():  # the pattern's letters: one piece
-                parts[c] = [c]
-            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-                parts[c] = [c[:-1], c[-1]]
-            else:
-                parts[c] = find(c)
-        fresh = list({p for ps in parts.values() for p in ps if p not in pieces})
-        short = []
-        for p in fresh:
-            token = self.ranks.get(p.encode("utf-8", "surrogatepass"))
-            if token is not None:
-                pieces[p] = token.to_bytes(4, "little")
-            elif len(p) <= BatchDP.LONGEST and len(p.encode("utf-8", "surrogatepass")) <= BatchDP.LONGEST:
-                short.append(p)
-            else:
-                pieces[p] = self.piece(p)
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
-            pieces.update(zip(part, self.batch.encode([p.encode("utf-8", "surrogatepass") for p in part]), strict=True))
-        for c, ps in parts.items():
-            known[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+    def hard(self, data: bytes, counts: bool = False) -> np.ndarray:
+        """Ids of a chunk (counts: its token counts at each of its byte prefixes), by the dynamic programming."""
+        got = self.kept.get((data, counts))
+        if got is None:
+            out: list[int] = []
+            for p in self.find(data.decode("utf-8", "surrogatepass")):
+                piece = p.encode("utf-8", "surrogatepass")
+                last, many = self.last_tokens(piece)
+                if not counts:
+                    out += self.ids_back(len(piece), last)
+                    continue
+                if len(piece) == 3 and p in CONTRACTIONS:
+                    many[2] = 2  # one that is cut is no contraction
+                before = out[-1] if out else 0
+                out += [before + n for n in many[1:]]
+            got = np.array(out, np.uint32)
+            if len(data) <= 64:
+                if len(self.kept) >= CACHE // 4:
+                    self.kept.clear()
+                self.kept[data, counts] = got
+        return got
 
     @functools.cached_property
     def batch(self) -> BatchDP:
         return BatchDP(self)
 
-    def chunk(self, text: str) -> bytes:
-        got = self.chunks.get(text)
-        if got is None:
-            self.learn([text])
-            got = self.chunks[text]
-        return got
+    @functools.cached_property
+    def coders(self) -> dict:
+        """Splitting and looking up in numpy: of ids, and of counts at prefixes."""
+        from isotherm.llm.pieces import PieceCoder
+
+        return {c: PieceCoder(self.batch, functools.partial(self.hard, counts=c), counts=c) for c in (False, True)}
 
     def segments(self, text: str):
         """(is special, string) in order."""
@@ -198,49 +180,27 @@ class PrefixBPE:
         if at < len(text):
             yield False, text[at:] if at else text
 
-    def coded(self, text: str) -> list[bytes]:
-        """The ids of a whole text's chunks and special tokens, in order."""
-        out: list[bytes] = []
-        for special, part in self.segments(text):
-            if special:
-                out.append(self.special[part].to_bytes(4, "little"))
-            else:
-                chunks = CHUNK.findall(part)
-                if len(chunks) <= CACHE:
-                    self.learn(chunks)
-                    out += map(self.chunks.__getitem__, chunks)
-                else:
-                    out += map(self.chunk, chunks)
-        return out
+    def spread(self, texts: list[str], counts: bool = False):
+        """begin and end (in UTF-8) of each text's pieces, and their ids, or counts: token counts at each byte prefix of a piece."""
+        plain = [not ODD_SPACE.search(t) and not ("<" in t and self.at_special and self.at_special.search(t)) for t in texts]
+        easy = self.coders[counts].of_texts([t.encode("utf-8", "surrogatepass") if x else b"" for t, x in zip(texts, plain, strict=True)])
+        for t, x, got in zip(texts, plain, easy, strict=True):
+            yield got if x else self.chunked(t, counts)
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.coded(text))
-
-    def coded_all(self, texts: list[str]):
-        """coded() of each text. New chunks of some megabytes of texts at a time are learnt together."""
-        begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size < 2_000_000):
-                size += len(texts[end])
-                end += 1
-            split = [[(s, [p] if s else CHUNK.findall(p)) for s, p in self.segments(t)] for t in texts[begin:end]]
-            self.learn({c for parts in split for s, chunks in parts if not s for c in chunks})
-            for parts in split:
-                out: list[bytes] = []
-                for special, chunks in parts:
-                    if special:
-                        out.append(self.special[chunks[0]].to_bytes(4, "little"))
-                    elif len(self.chunks) <= CACHE:
-                        out += map(self.chunks.__getitem__, chunks)
-                    else:
-                        out += map(self.chunk, chunks)
-                yield parts, out
-            begin = end
+    def chunked(self, text: str, counts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """spread() of one text, chunk by chunk."""
+        sizes, values = [], [np.empty(0, np.uint32)]
+        for special, part in self.segments(text):
+            for c in [part] if special else CHUNK.findall(part):
+                data = c.encode("utf-8", "surrogatepass")
+                sizes.append(len(data))
+                values.append(self.hard(data, counts) if not special else np.ones(len(data), np.uint32) if counts else np.array([self.special[part]], np.uint32))
+        end = np.cumsum(np.array(sizes, np.int64))
+        return end - np.array(sizes, np.int64), end, np.concatenate(values)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        [(_, _, ids)] = self.spread([text])
+        return ids.tolist()
 
     def decode(self, ids) -> bytes:
         names = {v: k.encode() for k, v in self.special.items()}
@@ -258,7 +218,7 @@ class PrefixBPE:
         table = PrefixCounts(self, text)
         begin = table.safe_before(max(0, at - 1))
         new = text[:at] + inserted + text[at + removed :]
-        shift, old_ends = len(inserted) - removed, set(table.char_ends)
+        shift, old_ends = len(inserted) - removed, set(table.char_ends.tolist())
         stop, pos = len(new), begin
         for m in CHUNK.finditer(new, begin):
             pos = m.end()
@@ -267,7 +227,7 @@ class PrefixBPE:
                 stop = pos
                 break
         head, tail = table.before(begin), table.before(stop - shift) if stop < len(new) else len(ids)
-        middle = np.frombuffer(self.encode_bytes(new[begin:stop]), "<u4")
+        middle = np.array(self.encode(new[begin:stop]), "<u4")
         return new, np.concatenate([ids[:head], middle, ids[tail:]]), stop - begin
 
 
@@ -390,64 +350,118 @@ class BatchDP:
 
 
 class PrefixCounts:
-    """Exact token counts at every prefix of one text: sums at chunk ends, dynamic programming inside a chunk."""
-
-    def __init__(self, bpe: PrefixBPE, text: str, parts=None, coded: list[bytes] | None = None):
-        """parts, coded: what bpe.coded_all() gives for this text, if it has been asked."""
-        self.bpe, self.text = bpe, text
-        if parts is None:
-            [(parts, coded)] = bpe.coded_all([text])
-        sizes = [len(c) for _, chunks in parts for c in chunks]
-        self.sizes, self.counts = np.array(sizes, np.int64), np.array(list(map(len, coded)), np.int64) // 4
-        self.total = int(self.counts.sum())
-        self.special_ends, at = set(), 0
-        for special, chunks in parts if bpe.special else ():
-            at += sum(map(len, chunks)) if len(parts) > 1 else 0
-            if special:
-                self.special_ends.add(at or len(text))
+    """Exact token counts at every prefix of one text, read from what the dynamic programming stored at each byte.
+
+    A prefix is split as the whole text is, but for the white space that it ends with, which is one piece there: for
+    such runs the counts of all their prefixes are made, once.
+    """
+
+    def __init__(self, bpe: PrefixBPE, text: str, spread: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """spread: what bpe.spread(counts=True) gives for this text, if it has been asked."""
+        self.bpe, self.text, self.runs = bpe, text, {}
+        self.begin, self.end, self.inner = spread if spread is not None else next(iter(bpe.spread([text], counts=True)))
+        self.each = self.inner[self.end - 1].astype(np.int64) if len(self.end) else np.zeros(0, np.int64)
+        self.sums = np.cumsum(self.each)
+        self.total = int(self.sums[-1]) if len(self.sums) else 0
 
     @functools.cached_property
-    def char_ends(self) -> list[int]:
-        return np.cumsum(self.sizes).tolist()
+    def bytes_at(self) -> np.ndarray:
+        """Bytes of the first 0, 1, ... characters."""
+        data = np.frombuffer(self.text.encode("utf-8", "surrogatepass"), np.uint8)
+        return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
     @functools.cached_property
-    def sums(self) -> list[int]:
-        """Tokens before the end of each chunk."""
-        return np.cumsum(self.counts).tolist()
+    def char_ends(self) -> np.ndarray:
+        return np.searchsorted(self.bytes_at, self.end)
+
+    @functools.cached_property
+    def special_spans(self) -> list[tuple[int, int]]:
+        return [m.span() for m in self.bpe.at_special.finditer(self.text)] if self.bpe.at_special and "<" in self.text else []
 
     def before(self, chars: int) -> int:
-        k = bisect_right(self.char_ends, chars)
-        return self.sums[k - 1] if k else 0
+        """Tokens of all pieces that end at or before that place."""
+        k = int(np.searchsorted(self.char_ends, chars, side="right"))
+        return int(self.sums[k - 1]) if k else 0
+
+    def run(self, chars: int) -> tuple[int, int]:
+        """The run of white space that ends at that place, up to a special string: where it begins, and how far it goes on."""
+        low, high = max([0, *(b for _, b in self.special_spans if b <= chars)]), min([len(self.text), *(a for a, _ in self.special_spans if a >= chars)])
+        begin = chars
+        while begin > low and self.text[begin - 1] in WHITE:
+            begin -= 1
+        if begin not in self.runs:
+            end = chars
+            while end < high and self.text[end] in WHITE:
+                end += 1
+            data = self.text[begin:end].encode("utf-8", "surrogatepass")
+            self.runs[begin] = end, self.bpe.last_tokens(data)[1] if data else [0]
+        return begin, self.runs[begin][0]
 
     def safe_before(self, chars: int) -> int:
-        """The last border of chunks at or before `chars`, before any white space there, from which a cut text is split as the whole is."""
-        k = bisect_right(self.char_ends, chars)
-        while k and not self.text[self.char_ends[k - 1] - 1 : self.char_ends[k - 1]].strip() and self.char_ends[k - 1] not in self.special_ends:
-            k -= 1
-        return self.char_ends[k - 1] if k else 0
+        """The last border of pieces at or before `chars`, before any white space there, from which a cut text is split as the whole is."""
+        ends = self.char_ends
+        k = int(np.searchsorted(ends, chars, side="right"))
+        if not k:
+            return 0
+        begin, _ = self.run(int(ends[k - 1]))
+        k = int(np.searchsorted(ends, begin, side="right"))
+        return int(ends[k - 1]) if k else 0
 
     def at(self, chars: int) -> int:
-        """Tokens of text[:chars], as encoding that prefix alone would give; only its last chunks are split again."""
+        """Tokens of text[:chars], as encoding that prefix alone would give."""
         if chars >= len(self.text):
             return self.total
-        begin = self.safe_before(chars)
-        return self.before(begin) + sum(len(self.bpe.chunk(c)) // 4 for c in CHUNK.findall(self.text[begin:chars]))
+        if chars <= 0:
+            return 0
+        for a, b in self.special_spans:
+            if a < chars < b:  # a special string that is cut is plain text
+                begin = self.safe_before(a)
+                k = int(np.searchsorted(self.char_ends, begin))
+                if begin and begin not in [z for _, z in self.special_spans]:  # its signs may go with the piece before
+                    begin = int(np.searchsorted(self.bytes_at, self.begin[k]))
+                return self.before(begin) + sum(len(self.bpe.hard(c.encode("utf-8", "surrogatepass"))) for c in CHUNK.findall(self.text[begin:chars]))
+        if self.text[chars - 1] in WHITE and not any(b == chars for _, b in self.special_spans):
+            begin, _ = self.run(chars)
+            return self.before(begin) + self.runs[begin][1][int(self.bytes_at[chars] - self.bytes_at[begin])]
+        at = int(self.bytes_at[chars])
+        k = int(np.searchsorted(self.begin, at - 1, side="right")) - 1
+        return int(self.sums[k] - self.each[k] + self.inner[at - 1])
+
+    def every(self) -> np.ndarray:
+        """Token counts of text[:0], text[:1], ... and of the whole text."""
+        out = np.zeros(len(self.text) + 1, np.int64)
+        out[1:] = (np.repeat(self.sums - self.each, self.end - self.begin) + self.inner)[self.bytes_at[1:] - 1] if len(self.text) else 0
+        for m in re.finditer(f"[{SPACE}]+", self.text):
+            for c in range(m.start() + 1, m.end() + 1):
+                out[c] = self.at(c)
+        for a, b in self.special_spans:
+            for c in range(a + 1, b + 1):
+                out[c] = self.at(c)
+        return out
 
     def fits(self, budget: int) -> bool:
         return self.total <= budget
 
     def cut(self, budget: int) -> int:
-        """The most characters (at a border of chunks, or inside the next chunk) whose prefix has at most `budget` tokens."""
+        """The most characters whose prefix has at most `budget` tokens.
+
+        They end in the first piece with which the tokens are more than that, in the white space there, or before.
+        """
         if self.total <= budget:
             return len(self.text)
-        k = bisect_right(self.sums, budget)
-        at = self.char_ends[k - 1] if k else 0
-        end = self.char_ends[k]
-        best = at if self.at(at) <= budget else self.safe_before(at)
-        for c in range(best + 1, end):
-            if self.at(c) <= budget:
-                best = c
-        return best
+        k = int(np.searchsorted(self.sums, budget, side="right"))
+        first, last = int(np.searchsorted(self.bytes_at, self.begin[k])), int(self.char_ends[k])
+        last = max(last, self.run(last)[1]) if self.text[last - 1] in WHITE else last - 1
+        low, high = self.bytes_at[first + 1 : last + 1], int(self.end[k])
+        plain = low <= high
+        good = np.zeros(len(low), bool)
+        good[plain] = self.sums[k] - self.each[k] + self.inner[low[plain] - 1] <= budget
+        special = any(a <= first < b for a, b in self.special_spans)
+        for c in range(last, first, -1):
+            odd = special or self.text[c - 1] in WHITE
+            if self.at(c) <= budget if odd else good[c - first - 1]:
+                return c
+        return first if self.at(first) <= budget else self.safe_before(first)
 
 
 @functools.lru_cache(maxsize=4)

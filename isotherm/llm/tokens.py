@@ -16,23 +16,24 @@ def token_counts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     """Exact token counts of every text, from the counts stored at its prefixes.
 
     Returns key, n_bytes, n_tokens, for each budget b `cut_b` (the most characters, as a prefix, that have at
-    most b tokens), and with prefixes=True the arrays char_ends and sums (tokens before each of these ends).
+    most b tokens), and with prefixes=True the array counts: the tokens of the first 0, 1, ... and of all characters.
     A null or empty text has 0 bytes and tokens. Rows are neither added nor lost: repeated and null keys,
-    and equal texts, each give a row. Columns other than key and text are ignored.
+    and equal texts, each give a row. Columns other than key and text are ignored. Very long texts, and very long
+    runs without white space, take time in proportion to their length.
     """
-    schema = f"key {type_of(df, key)}, n_bytes long, n_tokens long" + "".join(f", cut_{b} long" for b in budgets) + ", char_ends array<long>, sums array<long>" * prefixes
+    schema = f"key {type_of(df, key)}, n_bytes long, n_tokens long" + "".join(f", cut_{b} long" for b in budgets) + ", counts array<long>" * prefixes
 
     def work(batch):
         bpe, rows = load(path, pattern), texts(batch)
-        out = {"key": batch.column("key"), "n_bytes": [len(t.encode()) for t in rows], "n_tokens": []} | {f"cut_{b}": [] for b in budgets} | {"char_ends": [], "sums": []}
-        for t, (parts, coded) in zip(rows, bpe.coded_all(rows), strict=True):
-            counts = PrefixCounts(bpe, t, parts, coded)
+        out = {"key": batch.column("key"), "n_bytes": [], "n_tokens": []} | {f"cut_{b}": [] for b in budgets} | {"counts": []}
+        for t, spread in zip(rows, bpe.spread(rows, counts=True), strict=True):
+            counts = PrefixCounts(bpe, t, spread)
+            out["n_bytes"].append(len(counts.inner))
             out["n_tokens"].append(counts.total)
             for b in budgets:
                 out[f"cut_{b}"].append(counts.cut(b))
             if prefixes:
-                out["char_ends"].append(counts.char_ends)
-                out["sums"].append(counts.sums)
+                out["counts"].append(counts.every())
         return out
 
     return per_batch(key_text(df, key, text), work, schema).withColumnRenamed("key", key)
@@ -46,8 +47,8 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
     def work(batch):
         rows, ids = texts(batch), []
-        for _, coded in load(path, pattern).coded_all(rows):
-            ids.append(b"".join(coded))
+        for _, _, found in load(path, pattern).spread(rows):
+            ids.append(found.astype("<u4").tobytes())
         return {"key": batch.column("key"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     return per_batch(key_text(df, key, text), work, f"key {type_of(df, key)}, n_tokens long, ids binary").withColumnRenamed("key", key)
@@ -69,11 +70,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
     def work(batch):
         bpe = load(path, pattern)
         out = {"key": batch.column("key"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for _, coded in bpe.coded_all(texts(batch)):
-            ids = b"".join(coded)
-            out["n_tokens"].append(len(ids) // 4)
-            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
+        for _, _, ids in bpe.spread(texts(batch)):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
         return out
 
     return per_batch(key_text(df, key, text), work, f"key {type_of(df, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

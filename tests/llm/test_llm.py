@@ -100,12 +100,56 @@ def test_token_counts(spark, awkward):
     out = tokens.token_counts(awkward, P.path("byte_bpe_50k.json"), P.PATTERN, budgets=(5,), prefixes=True).collect()
     want = sorted((str(k), len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for k, t in everything(awkward))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in out) == want
-    assert all((r["sums"] or [0])[-1] == r["n_tokens"] for r in out)
-    coder = bpe.load(P.path("byte_bpe_50k.json"), P.PATTERN)
-    for text in ("foo   bar\n\n baz's <|endoftext|>  x", "日本 語 'rex"):
-        counts = bpe.PrefixCounts(coder, text)
-        assert [counts.at(k) for k in range(len(text) + 1)] == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-        assert counts.at(counts.cut(3)) <= 3
+    assert all(r["counts"][-1] == r["n_tokens"] for r in out)
+
+
+def test_counts_at_every_prefix():
+    from tokenizers import Tokenizer
+
+    lib, coder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.load(P.path("byte_bpe_50k.json"), P.PATTERN)
+    rnd = random.Random(5)
+    rows = ["", "a", "  ", "foo   bar\n\n baz's <|endoftext|>  x", "日本 語 'rex", "'ll they'r we're", " \n <|endoftext|> <|endoftext|>a  "]
+    rows += ["".join(rnd.choice("ab cdé'stÉ×12.,<| \n日ΣİJ̌̊\xa0Zß  \t　rel") for _ in range(rnd.randrange(50))) for _ in range(200)]
+    rows += ["".join(rnd.choice("ab \n\t  '<|endoftext|>") for _ in range(rnd.randrange(20))) + "<|endoftext|>" * rnd.randrange(2) for _ in range(100)]
+    for text, spread in zip(rows, coder.spread(rows, counts=True), strict=True):
+        counts = bpe.PrefixCounts(coder, text, spread)
+        want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert [counts.at(k) for k in range(len(text) + 1)] == counts.every().tolist() == want
+        for budget in (0, 1, 3, 8):
+            assert counts.cut(budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+@pytest.mark.parametrize("unit", ["abcdefghij", "日本語天地"])
+def test_counts_of_a_long_run_without_white_space(unit):
+    from tokenizers import Tokenizer
+
+    lib, coder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.load(P.path("byte_bpe_50k.json"), P.PATTERN)
+    text = unit * (1_000_000 // len(unit))
+    counts = bpe.PrefixCounts(coder, text)
+    n = counts.cut(1024)
+    assert counts.at(n) <= 1024 < counts.at(n + 1)
+    for k in (1, 17, n, n + 1, 4000):
+        assert counts.at(k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
+    assert not coder.kept.get((text.encode(), True))
+
+
+def test_pieces_are_the_libraries():
+    """Words split by classes of bytes, and hard ones, with a small cache that is begun anew again and again."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(1)
+    rows = ["", "it's DON'T l'homme ''re 's 'S x'y'll", "É È × ÷ ÀÉÎ ŒUVRE ΟΔΟΣ İ J̌ ﬁ é Å ÿŸ", "<|endoftext|> a<|b <| x", "12 3a4 b5_c--d!! $%^ 日本語", "a\x1cb", "longword" * 30 + " " + "x" * 40 + " " + "y" * 39, "-" * 60 + "'s", "ªµ º ² ½ ſ ßSS ẞ", "﻿abc\x00"]
+    rows += ["".join(rnd.choice("ab cdé'stÉ×12.,<| \n日ΣİJ̌̊\xa0Zß") for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    rows.append(" ".join(rows) * 20)
+    path = P.path("word_bpe_49k.json")
+    lib, words = Tokenizer.from_file(path), packing.Words(path)
+    words.coder.cache.PLACES, words.coder.cache.ARENA = 8, 3000
+    words.coder.cache.clear()
+    assert [x.tolist() for x in words.ids(rows, 1)] == [[*lib.encode(t, add_special_tokens=False).ids, 1] for t in rows]
+    coder = bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    assert [ids.tolist() for _, _, ids in coder.spread(rows)] == [lib.encode_ordinary(t) for t in rows]
 
 
 def test_encoding_decoding_and_edits(spark, awkward):
