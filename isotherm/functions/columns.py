@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,38 @@ def enclosing(c: Column | str, resolution: float, decimals: int) -> tuple[Column
     return F.round(k * F.lit(resolution), decimals), F.round((k + 1) * F.lit(resolution), decimals)
 
 
+def corner_edges(lat: Column | str = "latitude", lon: Column | str = "longitude", grids: dict[str, tuple[float, int]] | None = None) -> dict[str, Column]:
+    """The four edges of the cell around a place for each grid (resolution, decimals), as 32-bit floats; null without coordinates."""
+    out = {}
+    for name, (resolution, decimals) in (grids or {"era5": (0.25, 2), "era5_land": (0.1, 1)}).items():
+        for c, low, high in ((lat, "lat_bottom", "lat_top"), (lon, "lon_left", "lon_right")):
+            below = F.round(F.floor(col(c).cast("double") / resolution) * resolution, decimals)
+            out[f"{name}_{low}"], out[f"{name}_{high}"] = below.cast("float"), F.round(below + resolution, decimals).cast("float")
+    return out
+
+
 def enclosing_axis(c: Column | str, axis: Column | str) -> tuple[Column, Column]:
     """The axis's largest value at or below a coordinate, and its smallest above; null beyond its ends. axis: an array."""
     x = col(c)
     return F.array_max(F.filter(axis, lambda v: v <= x)), F.array_min(F.filter(axis, lambda v: v > x))
 
 
+#: Vertices of a ring up to which its edges are unrolled.
+UNROLLED = 64
+
+
 def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
     """Whether a point is inside a ring of (lat, lon) vertices: the parity of the edges that a ray crosses. Outside for fewer than three."""
     if len(ring) < 3:
         return F.lit(False)
     lats, lons = [p[0] for p in ring], [p[1] for p in ring]
     n = len(ring)
+    box = lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons))
+    if n <= UNROLLED:
+        # each edge is a condition of its own, which is compiled; level edges are never crossed
+        edges = [(a, b) for a, b in zip(ring, [ring[-1], *ring[:-1]], strict=True) if a[0] != b[0]]
+        crossed = [((F.lit(ya) > lat) != (F.lit(yb) > lat)) & (lon < F.lit(xb - xa) * (lat - F.lit(ya)) / F.lit(yb - ya) + F.lit(xa)) for (ya, xa), (yb, xb) in [(tuple(map(float, a)), tuple(map(float, b))) for a, b in edges]]
+        return box & reduce(lambda p, c: p != c, crossed, F.lit(False))
     y, x = (F.array(*map(F.lit, map(float, v))) for v in (lats, lons))
 
     def crosses(i: Column) -> Column:
@@ -67,7 +88,7 @@ def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Col
         return span & (lon < (xj - xi) * (lat - yi) / F.when(yj == yi, F.lit(1e-30)).otherwise(yj - yi) + xi)
 
     parity = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(False), lambda a, i: a != crosses(i))
-    return lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons)) & parity
+    return box & parity
 
 
 # --- ingest ---------------------------------------------------------------------------------------------------
@@ -115,8 +136,7 @@ def split_time(df: DataFrame) -> DataFrame:
 
 def station_number(c: Column | str) -> Column:
     """A number with a decimal comma, perhaps without a leading zero; empty and -9999 are null."""
-    plain = F.regexp_replace(F.replace(F.trim(col(c)), F.lit(","), F.lit(".")), r"^(-?)\.", r"$10.")
-    return F.nullif(plain.try_cast("double"), F.lit(-9999.0)).cast("float")
+    return F.nullif(F.replace(F.trim(col(c)), F.lit(","), F.lit(".")).try_cast("double"), F.lit(-9999.0)).cast("float")
 
 
 def station_date(c: Column | str) -> Column:
@@ -164,9 +184,11 @@ def bilinear(wx: Column, wy: Column, q11: Column, q21: Column, q12: Column, q22:
     return (1 - wx) * (1 - wy) * q11 + wx * (1 - wy) * q21 + (1 - wx) * wy * q12 + wx * wy * q22
 
 
+#: The name and the parameters are fixed values: users' statements call it.
 BILINEAR_SQL = """CREATE OR REPLACE TEMPORARY FUNCTION bilinear_weights(wx DOUBLE, wy DOUBLE, q11 DOUBLE, q21 DOUBLE, q12 DOUBLE, q22 DOUBLE)
 RETURNS DOUBLE RETURN (1 - wx) * (1 - wy) * q11 + wx * (1 - wy) * q21 + (1 - wx) * wy * q12 + wx * wy * q22"""
 
+#: Conversions that users choose by name.
 PRESETS = {"k_to_c": "x - 273.15", "c_to_k": "x + 273.15", "k_to_f": "(x - 273.15) * 9 / 5 + 32", "c_to_f": "x * 9 / 5 + 32"}
 
 
@@ -214,11 +236,11 @@ class _Number:
 def convert(c: Column | str, formula: str) -> Column:
     """A preset, or arithmetic in x. Null stays null, and a value whose result is not finite stays as it was."""
     text = PRESETS.get(formula, formula).replace(" ", "")
-    if not re.fullmatch(r"[x0-9.+\-*/()]+", text) or "**" in text or "//" in text:
+    if not re.fullmatch(r"(?:[x+\-*/()]|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)+", text, re.IGNORECASE) or "**" in text or "//" in text:
         raise ValueError("a formula holds x, numbers, + - * / and parentheses only")
     x = col(c).cast("double")
     try:
         out = _Number._of(eval(text, {"__builtins__": {}}, {"x": _Number(x)}))  # noqa: S307  nothing but arithmetic passes the pattern
-    except (SyntaxError, TypeError, ZeroDivisionError) as e:
+    except (SyntaxError, TypeError, NameError, ZeroDivisionError) as e:
         raise ValueError(f"not a formula: {formula}") from e
     return F.when(x.isNull(), x).when(out.isNull() | F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)

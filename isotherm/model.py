@@ -32,7 +32,7 @@ DATASETS = {d.name: d for d in (Dataset("era5", 0.25), Dataset("era5-land", 0.1)
 #: Columns that are never variables.
 GRID_RESERVED = ("latitude", "longitude", "hour_utc", "date")
 STATION_META = ("station_id", "latitude", "longitude", "altitude", "uf", "regiao", "nome", "data_fundacao")
-CORNERS = tuple(f"{axis}_{side}_{grid}" for grid in ("era5", "era5_land") for axis, side in (("lat", "top"), ("lat", "bottom"), ("lon", "left"), ("lon", "right")))
+CORNERS = tuple(f"{grid}_{axis}_{side}" for grid in ("era5", "era5_land") for axis, side in (("lat", "top"), ("lat", "bottom"), ("lon", "left"), ("lon", "right")))
 STATION_RESERVED = (*STATION_META, "date", "hour_utc", "year", *CORNERS)
 
 

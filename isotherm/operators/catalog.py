@@ -90,6 +90,41 @@ def safe_sql(spark: SparkSession, text: str, limit: int | None = None) -> DataFr
     return df.limit(limit) if limit else df
 
 
+def with_total(df: DataFrame, limit: int) -> tuple[DataFrame, int, bool]:
+    """At most `limit` rows, how many there are in truth, and whether some are left out."""
+    total = df.count()
+    return df.limit(limit), total, total > limit
+
+
+#: The statements that define objects, as users type them.
+DDL = re.compile(r"(?is)create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(view|macro|function)\s+(?:if\s+not\s+exists\s+)?[`\"]?([a-z_]\w*)[`\"]?\s*(.*)")
+
+
+def run_text(spark: SparkSession, objects: DataFrame, text: str, created: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a query box runs: a SELECT, or one CREATE VIEW, MACRO or FUNCTION, which is made and kept. (result, objects).
+
+    A macro is written as its parameters with types, AS and an expression, or as a function's RETURNS and RETURN. What
+    cannot be made is an error and is not kept; one of the same name is replaced.
+    """
+    body = re.sub(r"(?s)^(?:\s+|--[^\n]*\n|/\*.*?\*/)+", "", text).strip().rstrip(";")
+    found = DDL.fullmatch(body)
+    if not found:
+        return safe_sql(spark, text, limit), objects
+    kind, name, rest = ("view" if found[1].lower() == "view" else "macro"), found[2], found[3]
+    validate(name, kind)
+    if ";" in rest:
+        raise ValueError("only one statement is run")
+    if kind == "view":
+        rest = re.sub(r"(?i)^as\b\s*", "", rest)
+    elif macro := re.fullmatch(r"(?is)(\([^()]*\))\s*as\s+(.*)", rest):
+        rest = f"{macro[1]} RETURN {macro[2]}"
+    if error := make(spark, name, kind, rest):
+        raise ValueError(error)
+    there = not objects.where(F.lower("name") == name.lower()).isEmpty()
+    status = spark.createDataFrame([(kind.upper(), name, "replaced" if there else "created")], "object string, name string, status string")
+    return status, upsert(objects, name, kind, rest, created)
+
+
 def visual_query(df: DataFrame, columns: list[str] | None = None, where: dict | None = None, group_by: list[str] | None = None, aggregates: list[tuple[str, str, str]] | None = None, order: tuple[str, bool] | None = None, limit: int | None = None) -> DataFrame:
     """where: {"op": "and" or "or", "items": [conditions (column, operator, value) or such groups]}; aggregates: (function, column, name)."""
     out = df.where(_condition(where)) if where else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.functions.columns import hour_bit, in_polygon, mask_to_hours
+from isotherm.functions.columns import UNROLLED, hour_bit, in_polygon, mask_to_hours
+from isotherm.operators.numbering import numbered
 
 
 def hour_masks(df: DataFrame, names: list[str], keys: tuple[str, ...] = ("latitude", "longitude", "date")) -> DataFrame:
@@ -29,13 +30,11 @@ def merged(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("latitude",
 
 
 def cell_ids(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """known (cell_id, latitude, longitude) and numbers after its largest for new places, in their order. A grid's places fit one task."""
-    from pyspark.sql import Window
-
+    """known (cell_id, latitude, longitude) and numbers after its largest for new places, in their order."""
     new = seen.select("latitude", "longitude").distinct().join(known, ["latitude", "longitude"], "left_anti")
     top = known.agg(F.coalesce(F.max("cell_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("k", F.row_number().over(Window.orderBy("latitude", "longitude"))).join(F.broadcast(top)).select((F.col("k") + F.col("top")).cast("int").alias("cell_id"), "latitude", "longitude")
-    return known.select("cell_id", "latitude", "longitude").unionByName(numbered)
+    ids = numbered(new, [F.col("latitude"), F.col("longitude")]).join(F.broadcast(top)).select((F.col("k") + F.col("top")).cast("int").alias("cell_id"), "latitude", "longitude")
+    return known.select("cell_id", "latitude", "longitude").unionByName(ids)
 
 
 def filtered(masks: DataFrame, start=None, end=None, names: list[str] | None = None, hours_mask: int | None = None) -> DataFrame:
@@ -58,10 +57,11 @@ def cell_detail(masks: DataFrame, latitude: float, longitude: float) -> DataFram
 
 
 def inside(masks: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """The cells within a polygon of (lat, lon): the test runs once a cell."""
-    cells = masks.select("latitude", "longitude").distinct()
-    keep = cells.where(in_polygon(F.col("latitude").cast("double"), F.col("longitude").cast("double"), ring))
-    return masks.join(keep, ["latitude", "longitude"], "left_semi")
+    """The cells within a polygon of (lat, lon). A small ring is a compiled condition on each row; a large one is tested once a cell."""
+    within = in_polygon(F.col("latitude").cast("double"), F.col("longitude").cast("double"), ring)
+    if len(ring) <= UNROLLED:
+        return masks.where(within)
+    return masks.join(masks.select("latitude", "longitude").distinct().where(within), ["latitude", "longitude"], "left_semi")
 
 
 def region_summary(masks: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,23 +69,32 @@ def band_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], b
 CORNER = {"bl": (0, 0), "br": (0, 1), "tl": (1, 0), "tr": (1, 1)}
 
 
-def corner_join(stations: DataFrame, grid: DataFrame, resolution: float, names: list[str], keys: list[str]) -> DataFrame:
-    """Each station row with the grid's values at its four enclosing nodes: columns name_bl, name_br, name_tl, name_tr; wx and wy.
+def corner_join_grids(stations: DataFrame, grids: dict[str, tuple[DataFrame, float]], names: list[str]) -> DataFrame:
+    """Each station row with the values of several grids (table, resolution) at its four enclosing nodes in each.
 
-    One equi-join on date, hour and the integer indexes of the node: the station rows stand four times in it, and the
-    grid, the large side, once. keys identify a station row. Corners that the grid lacks are null.
+    Columns name_corner_grid (bl, br, tl, tr), wx_grid and wy_grid follow the station's own. One equi-join on grid, date,
+    hour and the node's integer indexes: the station rows stand four times for each grid in it, and the grids, the
+    large side, once; one aggregate brings a station row together again. Corners that a grid lacks are null, and so
+    are all of a row without a place or a time. Equal station rows stay as many as they are. A grid has one row a node
+    and hour, as last_values() gives them.
     """
-    i, j = F.floor(F.col("latitude") / resolution).cast("int"), F.floor(F.col("longitude") / resolution).cast("int")
-    own = stations.withColumns({"__i": i, "__j": j})
-    own = own.withColumns({"wx": F.col("longitude") / resolution - F.col("__j"), "wy": F.col("latitude") / resolution - F.col("__i")})
-    corners = F.explode(F.array(*[F.struct(F.lit(n).alias("corner"), F.lit(a).alias("di"), F.lit(b).alias("dj")) for n, (a, b) in CORNER.items()]))
-    wanted = own.select(*keys, "date", "hour_utc", "__i", "__j", corners.alias("c")).select(*keys, "date", "hour_utc", (F.col("__i") + F.col("c.di")).alias("__i"), (F.col("__j") + F.col("c.dj")).alias("__j"), F.col("c.corner").alias("corner"))
-    nodes = grid.select("date", "hour_utc", cell_index("latitude", resolution).alias("__i"), cell_index("longitude", resolution).alias("__j"), *names)
-    met = wanted.join(nodes, ["date", "hour_utc", "__i", "__j"])
-    group = list(dict.fromkeys([*keys, "date", "hour_utc"]))
-    wide = met.groupBy(*group).pivot("corner", list(CORNER)).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
-    wide = wide.select(*group, *[F.col(f"{n}_{c}" if len(names) > 1 else n).alias(f"{c}_{n}") for n in CORNER for c in names])
-    return own.drop("__i", "__j").join(wide, group, "left")
+    own = stations.columns
+    part = lambda c, res: F.floor(F.col(c) / res).cast("int")
+    asked = [F.struct(F.lit(g).alias("grid"), F.lit(n).alias("corner"), (part("latitude", res) + a).alias("i"), (part("longitude", res) + b).alias("j")) for g, (_, res) in grids.items() for n, (a, b) in CORNER.items()]
+    wanted = stations.select("*", F.explode(F.array(*asked)).alias("__c"))
+    nodes = reduce(DataFrame.unionByName, [df.select(F.lit(g).alias("__g"), F.col("date").alias("__d"), F.col("hour_utc").alias("__h"), cell_index("latitude", res).alias("__i"), cell_index("longitude", res).alias("__j"), *[F.col(c).alias(f"__v{k}") for k, c in enumerate(names)]) for g, (df, res) in grids.items()])
+    on = (F.col("__c.grid") == F.col("__g")) & (F.col("date") == F.col("__d")) & (F.col("hour_utc") == F.col("__h")) & (F.col("__c.i") == F.col("__i")) & (F.col("__c.j") == F.col("__j"))
+    met = wanted.join(nodes, on, "left")
+    value = lambda g, n, k: F.max(F.when((F.col("__c.grid") == g) & (F.col("__c.corner") == n), F.col(f"__v{k}")))
+    wide = met.groupBy(*own).agg(*[value(g, n, k).alias(f"{c}_{n}_{g}") for g in grids for n in CORNER for k, c in enumerate(names)], F.count(F.lit(1)).alias("__n"))
+    out = wide.withColumn("__n", F.explode(F.sequence(F.lit(1), F.floor(F.col("__n") / len(asked)).cast("int")))).drop("__n")
+    return out.withColumns({f"{w}_{g}": F.col(c) / res - part(c, res) for g, (_, res) in grids.items() for w, c in (("wx", "longitude"), ("wy", "latitude"))})
+
+
+def corner_join(stations: DataFrame, grid: DataFrame, resolution: float, names: list[str]) -> DataFrame:
+    """corner_join_grids() for one grid: columns name_bl, name_br, name_tl, name_tr; wx and wy."""
+    out = corner_join_grids(stations, {"g": (grid, resolution)}, names)
+    return out.withColumnsRenamed({c: c[:-2] for c in out.columns if c not in stations.columns})
 
 
 def interpolated(cornered: DataFrame, names: list[str]) -> DataFrame:
@@ -92,6 +102,11 @@ def interpolated(cornered: DataFrame, names: list[str]) -> DataFrame:
     return cornered.withColumns({f"{c}_grid": bilinear(F.col("wx"), F.col("wy"), *[F.col(f"{c}_{n}") for n in ("bl", "br", "tl", "tr")]) for c in names})
 
 
+def interpolated_grids(cornered: DataFrame, grids: list[str], names: list[str]) -> DataFrame:
+    """interpolated() for the columns of corner_join_grids(): adds name_grid for each name and grid."""
+    return cornered.withColumns({f"{c}_{g}": bilinear(F.col(f"wx_{g}"), F.col(f"wy_{g}"), *[F.col(f"{c}_{n}_{g}") for n in ("bl", "br", "tl", "tr")]) for g in grids for c in names})
+
+
 def near_station(grid: DataFrame, stations: DataFrame, start, end, margin: float) -> DataFrame:
     """The part of a grid that some stations' interpolation needs: days, and the stations' box with a margin (one row, broadcast)."""
     box = stations.agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e"))

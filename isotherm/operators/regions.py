@@ -54,6 +54,16 @@ def counts(members: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     return every.join(n, ["dataset", "region"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
+def listing(boxes: DataFrame, kind: str) -> DataFrame:
+    """The regions of a kind with their boxes, by name and state."""
+    return boxes.where(F.col("kind") == kind).select("name", "uf", "north", "west", "south", "east").orderBy("name", "uf")
+
+
+def available(members: DataFrame, dataset: str) -> DataFrame:
+    """The regions that a dataset has nodes in, by name."""
+    return members.where(F.col("dataset") == dataset).select("region").distinct().orderBy("region")
+
+
 def lookup_box(boxes: DataFrame, name: str, uf: str | None = None) -> dict:
     """The box of the region with a name, whatever its case. An unknown name, or one that several states have, is an error."""
     found = boxes.where(F.lower("name") == name.lower())

@@ -13,16 +13,18 @@ def axis(low: Column, high: Column, resolution: float, align: str = "node") -> C
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.round(low + first + k * resolution, 6))
 
 
-def expand(requests: DataFrame, resolution: float, align: str = "node") -> DataFrame:
-    """(north, west, south, east, start, end, variables, hours) -> latitude, longitude, date, variable, requested_mask. Lazy: nothing is held."""
+def expand(requests: DataFrame, resolution: float, align: str = "node", disjoint: bool = False) -> DataFrame:
+    """(north, west, south, east, start, end, variables, hours) -> latitude, longitude, date, variable, requested_mask. Lazy: nothing is held. disjoint:
+    no two of the requests share a cell, and nothing is shuffled; else masks of shared cells are joined.
+    """
     from isotherm.functions.columns import hours_to_mask
 
     out = requests.withColumn("requested_mask", hours_to_mask("hours"))
     out = out.withColumn("date", F.explode(F.sequence("start", "end"))).withColumn("variable", F.explode("variables"))
     out = out.withColumn("latitude", F.explode(axis(F.col("south"), F.col("north"), resolution, align)))
     out = out.withColumn("longitude", F.explode(axis(F.col("west"), F.col("east"), resolution, align)))
-    cells = out.groupBy("latitude", "longitude", "date", "variable").agg(F.bit_or("requested_mask").alias("requested_mask"))
-    return cells
+    cell = ["latitude", "longitude", "date", "variable"]
+    return out.select(*cell, "requested_mask") if disjoint else out.groupBy(*cell).agg(F.bit_or("requested_mask").alias("requested_mask"))
 
 
 def cell_count(resolution: float) -> Column:
@@ -50,6 +52,16 @@ def estimate(requests: DataFrame, resolution: float, most_bytes: int = 300 << 20
     return out.withColumn("too_large", (F.col("bytes") > most_bytes) | (F.col("fields") > most_fields))
 
 
+def estimate_totals(estimated: DataFrame) -> DataFrame:
+    """One row for a whole plan: requests, those beyond a limit, fields and bytes."""
+    return estimated.agg(F.count("*").alias("requests"), F.count_if("too_large").alias("too_large"), F.coalesce(F.sum("fields"), F.lit(0)).alias("fields"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def by_variable(requests: DataFrame) -> DataFrame:
+    """A row for each variable of a request: variables (array) becomes variable. Requests without one have no row."""
+    return requests.withColumn("variable", F.explode("variables")).drop("variables")
+
+
 def days_a_block(most_bytes: int = 300 << 20, most_fields: int = 12_000) -> Column:
     """Days of equal weight that fit a budget, one at least."""
     a_day = F.col("n_variables") * F.col("n_hours")
@@ -89,11 +101,27 @@ def intersect(a: str, b: str) -> dict[str, Column]:
     return {"north": F.least(c(a, "north"), c(b, "north")), "south": F.greatest(c(a, "south"), c(b, "south")), "west": F.greatest(c(a, "west"), c(b, "west")), "east": F.least(c(a, "east"), c(b, "east"))}
 
 
+#: Degrees of longitude of a band. Boxes meet others of their band only, and a key's bands are groups of their own.
+BAND = 1.0
+
+
+def banded(boxes: DataFrame) -> DataFrame:
+    """Boxes cut at the borders of bands; a box of no width has no part."""
+    k = F.explode(F.sequence(F.floor(F.col("west") / BAND), F.greatest(F.ceil(F.col("east") / BAND) - 1, F.floor(F.col("west") / BAND))))
+    cut = boxes.withColumn("band", k)
+    return cut.withColumns({"west": F.greatest("west", F.col("band") * BAND), "east": F.least("east", (F.col("band") + 1) * BAND)}).where("east > west")
+
+
+def spans_of(boxes: DataFrame, *group: str) -> DataFrame:
+    """The strips between all western and eastern edges of a group's boxes: group, x0, x1."""
+    edges = boxes.select(*group, F.explode(F.array("west", "east")).alias("x0")).distinct()
+    return edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(*group).orderBy("x0"))).where("x1 is not null")
+
+
 def strips(boxes: DataFrame, key: str) -> DataFrame:
     """Each key's boxes cut at all their western and eastern edges, and merged within each strip where they touch: key, x0, x1, south, north."""
-    edges = boxes.select(key, F.explode(F.array("west", "east")).alias("x0")).distinct()
-    spans = edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(key).orderBy("x0"))).where("x1 is not null")
-    held = spans.join(boxes, key).where("west <= x0 and east >= x1")
+    parts = banded(boxes.select(key, "north", "west", "south", "east"))
+    held = spans_of(parts, key, "band").join(parts, [key, "band"]).where("west <= x0 and east >= x1")
     order = Window.partitionBy(key, "x0").orderBy("south", "north")
     before = F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = held.withColumn("new", F.when(before >= F.col("south"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -111,16 +139,16 @@ def residual(targets: DataFrame, holes: DataFrame, key: str) -> DataFrame:
     """
     t, h = targets.alias("t"), holes.alias("h")
     cut = t.join(h, key).select(key, *[v.alias(k) for k, v in intersect("t", "h").items()]).where("north > south and east > west")
-    both = cut.unionByName(targets.select(key, "north", "south", "west", "east"))
-    edges = both.select(key, F.explode(F.array("west", "east")).alias("x0")).distinct()
-    spans = edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(key).orderBy("x0"))).where("x1 is not null")
+    cut, whole = banded(cut), banded(targets.select(key, "north", "south", "west", "east"))
+    spans = spans_of(cut.unionByName(whole), key, "band")
     inside = spans.join(targets.select(key, F.col("north").alias("top"), F.col("south").alias("bottom")), key)
-    held = inside.alias("s").join(cut.alias("c"), (F.col(f"s.{key}") == F.col(f"c.{key}")) & (F.col("c.west") <= F.col("s.x0")) & (F.col("c.east") >= F.col("s.x1")), "left").select(f"s.{key}", "x0", "x1", "top", "bottom", "south", "north")
+    within = (F.col(f"s.{key}") == F.col(f"c.{key}")) & (F.col("s.band") == F.col("c.band")) & (F.col("c.west") <= F.col("s.x0")) & (F.col("c.east") >= F.col("s.x1"))
+    held = inside.alias("s").join(cut.alias("c"), within).select(f"s.{key}", "x0", "x1", "top", "bottom", "south", "north")
     # a hole of no height at the top of each strip closes its last gap
     ends = inside.select(key, "x0", "x1", "top", "bottom", F.col("top").alias("south"), F.col("top").alias("north"))
     order = Window.partitionBy(key, "x0").orderBy("south", "north")
     seen = F.coalesce(F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("bottom"))
-    gaps = held.where("south is not null").unionByName(ends).withColumn("from", seen).where("south > from").select(key, "x0", "x1", F.col("from").alias("south"), F.col("south").alias("north"))
+    gaps = held.unionByName(ends).withColumn("from", seen).where("south > from").select(key, "x0", "x1", F.col("from").alias("south"), F.col("south").alias("north"))
     # islands of touching strips with one height
     side = Window.partitionBy(key, "south", "north").orderBy("x0")
     runs = gaps.withColumn("new", F.when(F.lag("x1").over(side) == F.col("x0"), 0).otherwise(1)).withColumn("run", F.sum("new").over(side))
@@ -166,11 +194,37 @@ def missing_chunks(missing: DataFrame, resolution: float) -> DataFrame:
     return component_boxes(labelled, group, resolution).join(days, [*group, "component"])
 
 
-def diff_preview(requested: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row: cell-hours asked and missing, and the share that need not be fetched."""
-    bits = lambda df, c: df.agg(F.coalesce(F.sum(F.bit_count(c).cast("long")), F.lit(0)).alias("n"))
-    both = bits(requested, "requested_mask").withColumnRenamed("n", "requested").crossJoin(bits(missing, "missing_mask").withColumnRenamed("n", "missing"))  # one row each
-    return both.withColumn("savings_pct", F.when(F.col("requested") > 0, F.round((1 - F.col("missing") / F.col("requested")) * 100, 2)).otherwise(F.lit(0.0)))
+def diff_preview(requested: DataFrame, missing: DataFrame, total_bytes: int = 0) -> DataFrame:
+    """One row: cells (of a day and variable) and cell-hours asked and missing, the share of cells that need not be fetched, and total_bytes by the share that has to be."""
+    of = lambda df, c, n: df.agg(F.count("*").alias(f"{n}_cells"), F.coalesce(F.sum(F.bit_count(c).cast("long")), F.lit(0)).alias(f"{n}_hours"))
+    both = of(requested, "requested_mask", "requested").crossJoin(of(missing, "missing_mask", "missing"))  # one row each
+    share = F.when(F.col("requested_cells") > 0, F.col("missing_cells") / F.col("requested_cells")).otherwise(F.lit(1.0))
+    return both.withColumns({"savings_pct": F.round((1 - share) * 100, 2), "missing_bytes": F.floor(share * total_bytes).cast("long")})
+
+
+def missing_sample(missing: DataFrame, rows: int = 100) -> DataFrame:
+    """The first missing cells, by place, day and variable."""
+    return missing.orderBy("latitude", "longitude", "date", "variable").limit(rows)
+
+
+def incremental_plan(requests: DataFrame, manifest: DataFrame, resolution: float) -> DataFrame:
+    """What of some requests the manifest of finished chunks lacks, as boxes: request_id, variable, year, month, days, hours and a box.
+
+    requests: request_id, variables, start, end, hours and a box, which is snapped outward to the grid. A chunk covers
+    its box for a variable and month if it has all of the days and hours asked there. Boxes of a month do not overlap.
+    """
+    from isotherm.functions.columns import snap_box
+    from isotherm.operators.storage import covering
+
+    box = ["north", "west", "south", "east"]
+    snapped = requests.withColumns(snap_box(*[F.col(c) for c in box], resolution))
+    each = by_variable(snapped.join(months(requests), "request_id"))
+    each = each.withColumn("days", F.sequence(F.dayofmonth("first_day"), F.dayofmonth("last_day")))
+    target = F.concat_ws("\u0001", F.col("request_id").cast("string"), "variable", F.col("year").cast("string"), F.col("month").cast("string"))
+    each = each.select(target.alias("target"), "request_id", "variable", "year", "month", "days", "hours", *box)
+    holes = covering(each.drop("request_id").withColumnRenamed("target", "request_id"), manifest).withColumnRenamed("request_id", "target")
+    left = residual(each.select("target", *box), holes, "target")
+    return left.join(each.drop(*box), "target").select("request_id", "variable", "year", "month", "days", "hours", *box)
 
 
 def years(ranges: DataFrame) -> DataFrame:

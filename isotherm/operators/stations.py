@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotherm.model import STATION_META, STATION_RESERVED, variables
+from isotherm.sources.tables import scan, scan_if_there
+
 
 def station_years(df: DataFrame, names: list[str], year: str = "year") -> DataFrame:
     """station_id, year, rows, first and last date, and the variables that have a value at all."""
@@ -34,16 +37,43 @@ def year_status(years: DataFrame) -> DataFrame:
     return years.groupBy("year").agg(F.count("*").alias("stations"), complete.alias("complete"), F.min("date_max").alias("earliest_end"), F.max("date_max").alias("latest_end"))
 
 
-def classified(status: DataFrame, current_year: int, stale_before) -> DataFrame:
-    """current, complete (all stations), partial (some, or data up to date), stale (the latest data lie before a day)."""
-    kind = F.when(F.col("year") == current_year, F.when(F.col("latest_end") < F.lit(stale_before), "stale").otherwise("current")).when(F.col("complete") == F.col("stations"), "complete").otherwise("partial")
-    return status.withColumn("status", kind)
+def classified(status: DataFrame, current_year: int, manifest: DataFrame | None = None) -> DataFrame:
+    """current: the current year, which cannot be complete; complete: all stations reached its last day; stale: none did, or there are none; else partial.
+
+    manifest (year, completed_at): adds when each year was fetched last.
+    """
+    kind = F.when(F.col("year") == current_year, "current").when(F.col("stations") == 0, "stale").when(F.col("complete") == F.col("stations"), "complete").when(F.col("complete") == 0, "stale").otherwise("partial")
+    out = status.withColumn("status", kind)
+    if manifest is None:
+        return out
+    return out.join(manifest.groupBy("year").agg(F.max("completed_at").alias("downloaded_at")), "year", "left")
 
 
 def index_stats(years: DataFrame) -> DataFrame:
     return years.agg(F.countDistinct("station_id").alias("stations"), F.count("*").alias("station_years"), F.sum("n_rows").alias("n_rows"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"))
 
 
+def rebuild_index(spark, data: str, index: str, reserved: tuple[str, ...] = STATION_RESERVED) -> None:
+    """Write the index of station years, and with it the stations' latest metadata, anew from all stored observations."""
+    df = scan(spark, data, union_by_name=True, skip_corrupt=True)
+    df = df.withColumnRenamed("station", "station_id") if "station" in df.columns else df
+    df = df if "year" in df.columns else df.withColumn("year", F.year("date"))
+    years = station_years(df, variables(df, reserved))
+    meta = [c for c in STATION_META if c in df.columns and c != "station_id"]
+    if meta:
+        years = years.join(latest_metadata(df, meta), "station_id")
+    years.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(index)
+
+
+def ensure_index(spark, data: str, index: str) -> bool:
+    """Rebuild the index if it is missing or empty. Whether it was."""
+    stored = scan_if_there(spark, index)
+    if stored is not None and not stored.isEmpty():
+        return False
+    rebuild_index(spark, data, index)
+    return True
+
+
 def require_rows(**frames: DataFrame) -> None:
     """Fail unless every named table has a row."""
     empty = [k for k, df in frames.items() if df.isEmpty()]

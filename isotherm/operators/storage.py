@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotherm.shared import materialize
+
 KEYS = ("latitude", "longitude", "hour_utc")
 
 
@@ -32,23 +34,46 @@ def merge_on_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_into(spark, path: str, new: DataFrame, keys: tuple[str, ...] = KEYS, order: str | None = None, by: str = "date") -> None:
-    """Upsert into a partitioned table; only the partitions that new has rows of are read and rewritten. Doing it again changes nothing."""
-    from pyspark.errors import AnalysisException
+    """Upsert into a partitioned table; only the partitions that new has rows of are read and rewritten. Doing it again changes nothing.
 
-    from isotherm.sources.tables import replace_partitions, scan
+    The batch is made once, and its days, of which a batch has few, are named in the scan, which so reads no others.
+    """
+    from isotherm.sources.tables import replace_partitions
 
     on = [by, *keys]
-    fresh = last_values(new, on, order) if order else new
-    try:
-        old = scan(spark, path, union_by_name=True)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        merged = fresh
-    else:
-        touched = fresh.select(by).distinct()
-        merged = merge_on_key(old.join(touched, by, "left_semi"), fresh, on)
-    replace_partitions(tile_order(merged, by), path, (by,))
+    fresh = materialize(last_values(new, on, order) if order else new, "batch")
+    old = partitions_of(spark, path, fresh, by)
+    replace_partitions(tile_order(merge_on_key(old, fresh, on) if old is not None else fresh, by), path, (by,))
+
+
+def partitions_of(spark, path: str, batch: DataFrame, by: str = "date") -> DataFrame | None:
+    """A stored table's partitions that a batch has rows of; None if nothing is stored."""
+    from isotherm.sources.tables import scan_if_there
+
+    old = scan_if_there(spark, path, union_by_name=True)
+    days = [r[0] for r in batch.select(by).distinct().collect()]
+    return old if old is None else old.where(F.col(by).isin([d for d in days if d is not None]) | (F.col(by).isNull() if None in days else F.lit(False)))
+
+
+def collapse(spark, path: str, keys: tuple[str, ...] = KEYS, order: str | None = None, by: str = "date") -> dict[str, int]:
+    """Collapse a stored table's duplicates in place: partitions rewritten, and rows before and after in the whole table.
+
+    Only partitions that have duplicates are rewritten. Without an order column the last value is that of the last
+    file, by time and name, and of the last row in it.
+    """
+    from isotherm.sources.tables import replace_partitions, scan
+
+    df = scan(spark, path, union_by_name=True)
+    counts = dedup_counts(df, list(keys), by).collect()  # a row for each partition
+    touched = [r[by] for r in counts if r["rows_before"] > r["rows_after"]]
+    if touched:
+        rows = df.where(F.col(by).isin(touched))
+        if not order:
+            rows = rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index").alias("__seq"))
+        once = last_values(rows, [by, *keys], order or "__seq")
+        # read and written are the same folders: the rows go to the shared folder first
+        replace_partitions(tile_order(materialize(once, "collapsed"), by), path, (by,))
+    return {"partitions": len(touched), "rows_before": sum(r["rows_before"] for r in counts), "rows_after": sum(r["rows_after"] for r in counts)}
 
 
 def dedup_counts(df: DataFrame, keys: list[str], by: str = "date") -> DataFrame:
@@ -75,6 +100,16 @@ def pending(requested: DataFrame, manifest: DataFrame, key: str = "chunk_id") ->
     return requested.join(manifest.select(key), key, "left_anti")
 
 
+def recorded(manifest: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The manifest with finished chunks added; a chunk recorded again replaces its record."""
+    return manifest.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def forgotten(manifest: DataFrame, chunks: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """The manifest without some chunks; without any if none are named."""
+    return manifest.limit(0) if chunks is None else manifest.join(chunks.select(key), key, "left_anti")
+
+
 def with_manifest_defaults(manifest: DataFrame) -> DataFrame:
     """Records of the first version: days null means the whole month, hours null all 24."""
     first = F.make_date("year", "month", F.lit(1))

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotherm.functions.columns import bucket, cell_index, timestamp
+from isotherm.functions.columns import bucket, cell_index, convert, timestamp
+from isotherm.model import Dataset
 
 LEVELS = ("raw", "hour", "day", "month")
 AGGREGATES = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
@@ -99,8 +100,14 @@ def statistics(points: DataFrame, group: list[str], y: str = "y") -> DataFrame:
     return own.groupBy(*group).agg(F.count(y).alias("n"), F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), one(F.var_samp).alias("var"), one(F.stddev_samp).alias("std"), iqr.alias("iqr"))
 
 
-def metadata(df: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
-    """A row for each numeric variable of a table: name, type, values, first and last day."""
+def metadata(df: DataFrame, reserved: tuple[str, ...], dataset: Dataset | None = None) -> DataFrame:
+    """A row for each numeric variable of a table: name, values, first and last day; of a dataset also the kind of its places and its resolution."""
     numeric = [c for c, kind in df.dtypes if c not in reserved and kind in ("float", "double", "int", "bigint", "smallint", "tinyint")]
     counts = df.agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), *[F.count(c).alias(c) for c in numeric])
-    return counts.unpivot(["date_min", "date_max"], numeric, "variable", "n").select("variable", "n", "date_min", "date_max")
+    out = counts.unpivot(["date_min", "date_max"], numeric, "variable", "n").select("variable", "n", "date_min", "date_max")
+    return out if dataset is None else out.withColumns({"kind": F.lit("grid" if dataset.gridded else "station"), "resolution": F.lit(dataset.resolution).cast("double")})
+
+
+def converted_statistics(points: DataFrame, group: list[str], formula: str, y: str = "y") -> DataFrame:
+    """statistics() of series after a conversion of units."""
+    return statistics(points.withColumn(y, convert(y, formula)), group, y)

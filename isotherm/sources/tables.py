@@ -15,26 +15,31 @@ def scan(spark: SparkSession, path: str, union_by_name: bool = False, skip_corru
     return reader.parquet(path)
 
 
+def scan_if_there(spark: SparkSession, path: str, **options) -> DataFrame | None:
+    """scan(), or None where nothing is stored."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return scan(spark, path, **options)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    return None
+
+
 def create_view(spark: SparkSession, path: str, name: str, union_by_name: bool = False) -> DataFrame:
-    df = scan(spark, path, union_by_name)
+    return as_view(scan(spark, path, union_by_name), name)
+
+
+def as_view(df: DataFrame, name: str) -> DataFrame:
     df.createOrReplaceTempView(view_name(name))
     return df
 
 
 def register_all(spark: SparkSession, data_dir: str) -> list[str]:
     """A view for every dataset that has data; the others are left out. Stations' files are united by name."""
-    from pyspark.errors import AnalysisException
-
-    found = []
-    for d in DATASETS.values():
-        try:
-            create_view(spark, f"{data_dir}/{d.name}", d.name, union_by_name=not d.gridded)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            found.append(d.view)
-    return found
+    stored = {d.view: scan_if_there(spark, f"{data_dir}/{d.name}", union_by_name=not d.gridded) for d in DATASETS.values()}
+    return [as_view(df, v) and v for v, df in stored.items() if df is not None]
 
 
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("date",), compression: str = "zstd", row_group_bytes: int = 128 << 20, mode: str = "append") -> None:
@@ -79,6 +84,21 @@ def storage_totals(stats: DataFrame, by: str = "date") -> DataFrame:
     return stats.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.count("*").alias("partitions"), F.max("files").alias("most_files"), F.min(by).alias("first"), F.max(by).alias("last"))
 
 
+def purge_years(spark: SparkSession, path: str, years: list[int], year: str = "year") -> int:
+    """Delete the partitions of some years from a table whose last partition column is the year; how many rows went."""
+    df = scan(spark, path, union_by_name=True)
+    gone = df.where(F.col(year).isin(years))
+    folders = [r[0] for r in gone.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "")).distinct().collect()]  # folders of some years: a few for each station
+    n = gone.count()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if wrong := [f for f in folders if f"/{year}=" not in f[f.rfind("/") :]]:
+        raise ValueError(f"the last partition column of {wrong[0]} is not {year}")
+    for f in folders:
+        folder = jvm.org.apache.hadoop.fs.Path(f)
+        folder.getFileSystem(conf).delete(folder, True)
+    return n
+
+
 def without_years(df: DataFrame, years: list[int], year: str = "year") -> DataFrame:
     """What stays when some years are ingested anew."""
     return df.where(~F.col(year).isin(years))

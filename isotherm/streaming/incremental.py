@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from isotherm.model import variables
 from isotherm.operators.coverage import hour_masks, merged
-from isotherm.operators.storage import merge_into
-from isotherm.sources.tables import replace_partitions, scan
+from isotherm.operators.storage import merge_into, partitions_of
+from isotherm.shared import materialize
+from isotherm.sources.tables import replace_partitions
+
+#: The column of a batch that orders its rows by their arrival.
+ORDER = "__seq"
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, data: str, index: str) -> None:
-    """One batch into the observations and into the index; both rewrite only the days that the batch has rows of."""
-    from pyspark.errors import AnalysisException
-
-    batch = batch.withColumn("__seq", F.struct(*[c for c in batch.columns if c not in ("latitude", "longitude", "hour_utc", "date")]))
-    merge_into(spark, data, batch, order="__seq")
-    new = hour_masks(batch.drop("__seq"), variables(batch.drop("__seq")))
-    try:
-        old = scan(spark, index).join(new.select("date").distinct(), "date", "left_semi")
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        out = new
-    else:
-        out = merged(old.select(new.columns), new)
-    replace_partitions(out, index)
+    """One batch into the observations and into the index; both read and rewrite only the days that the batch has rows of.
+
+    ORDER says which rows came later. The batch is evaluated once; new rows and masks are written before they are merged.
+    """
+    batch = materialize(batch, "arrived")
+    merge_into(spark, data, batch, order=ORDER)
+    own = batch.drop(ORDER)
+    new = materialize(hour_masks(own, variables(own)), "masks")
+    old = partitions_of(spark, index, new)
+    replace_partitions(merged(old.select(new.columns), new) if old is not None else new, index)
 
 
 def ingest_new(spark: SparkSession, source: str, schema, data: str, index: str, checkpoint: str):
     """Merge all files of `source` that no run before has seen, then stop."""
-    stream = spark.readStream.schema(schema).parquet(source)
+    # a row came later if its file is newer, or of files of one time has the larger name, or if it stands behind in its file
+    came = F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index")
+    stream = spark.readStream.schema(schema).parquet(source).select("*", came.alias(ORDER))
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: merge_batch(spark, batch, data, index)).start()
     query.awaitTermination()
     return query

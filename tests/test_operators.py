@@ -28,6 +28,9 @@ def test_station_files_of_both_eras(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes((OLD + "2000-10-05;14:00;1\n").encode("latin-1"))
     with pytest.raises(Exception, match="fewer than 19"):
         station_files.read_station_files(spark, str(tmp_path)).collect()
+    (tmp_path / "bad.csv").write_bytes("UF:;SP\n2000-10-05;14:00;1\n".encode("latin-1"))
+    with pytest.raises(Exception, match="no header in bad.csv"):
+        station_files.read_station_files(spark, str(tmp_path)).collect()
 
 
 def test_arrays_to_rows_and_back(spark):
@@ -58,6 +61,59 @@ def test_merge_is_idempotent_and_new_wins(spark, tmp_path):
     assert stats["files"] >= 1 and stats["bytes"] > 0
 
 
+def test_merging_reads_the_batch_days_only(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    tables.write_partitioned(grid(spark, [(1.0, 2.0, 0, d, 1.0, None, 1) for d in days]).drop("seq"), path)
+    old = storage.partitions_of(spark, path, grid(spark, [(1.0, 2.0, 0, days[1], 2.0, None, 1)]))
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "2024-01-02" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] or "19724" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert {f.split("date=")[1][:10] for f in old.select(F.col("_metadata.file_path")).distinct().toPandas().iloc[:, 0]} == {"2024-01-02"}
+    assert storage.partitions_of(spark, str(tmp_path / "none"), old) is None
+
+
+def test_collapse_of_files_takes_the_later_file(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    for temp in (1.0, 2.0):
+        tables.write_partitioned(grid(spark, [(1.0, 2.0, 0, DAY, temp, temp if temp < 2 else None, 1), (1.0, 2.0, int(temp), dt.date(2024, 1, 2), temp, None, 1)]).drop("seq"), path)
+    assert storage.collapse(spark, path) == {"partitions": 1, "rows_before": 4, "rows_after": 3}
+    assert [(r["temp"], r["rain"]) for r in spark.read.parquet(path).where(F.col("date") == F.lit(DAY)).collect()] == [(2.0, 1.0)]
+    assert storage.collapse(spark, path) == {"partitions": 0, "rows_before": 3, "rows_after": 3}
+
+
+def test_the_stream_takes_the_later_file_not_the_larger_value(spark, tmp_path):
+    src, data, index = (str(tmp_path / x) for x in ("src", "data", "index"))
+    for temp in (9.0, 3.0):
+        rows = grid(spark, [(1.0, 2.0, 0, DAY, temp, None, 1)]).drop("seq")
+        rows.coalesce(1).write.mode("append").parquet(src)
+    incremental.ingest_new(spark, src, rows.schema, data, index, str(tmp_path / "progress"))
+    assert [r["temp"] for r in spark.read.parquet(data).collect()] == [3.0]
+
+
+def test_corners_of_repeated_and_placeless_stations(spark):
+    g = grid(spark, [(float(y), float(x), 0, DAY, 10.0 * y + x, None, 1) for y in (0, 1) for x in (0, 1)])
+    rows = [("a", 0.5, 0.25, DAY, 0), ("a", 0.5, 0.25, DAY, 0), ("b", None, 0.25, DAY, 0), ("c", 0.5, 0.25, DAY, None), (None, 5.0, 0.25, DAY, 0)]
+    df = spark.createDataFrame(rows, "station_id string, latitude double, longitude double, date date, hour_utc int")
+    out = joins.interpolated(joins.corner_join(df, g, 1.0, ["temp"]), ["temp"]).collect()
+    assert sorted((str(r["station_id"]), r["temp_grid"]) for r in out if r["temp_grid"] is not None) == [("a", 5.25)] * 2 and len(out) == 5
+    assert [r["temp_tr"] for r in out if r["station_id"] == "a"] == [11.0, 11.0]
+
+
+def test_years_are_classified(spark):
+    years = spark.createDataFrame([("a", 2023, dt.date(2023, 12, 31)), ("b", 2023, dt.date(2023, 12, 31)), ("a", 2024, dt.date(2024, 12, 31)), ("b", 2024, DAY), ("a", 2025, dt.date(2025, 4, 10)), ("a", 2026, dt.date(2026, 12, 31))], "station_id string, year int, date_max date")
+    out = stations.classified(stations.year_status(years), 2026)
+    assert {r["year"]: r["status"] for r in out.collect()} == {2023: "complete", 2024: "partial", 2025: "stale", 2026: "current"}
+
+
+def test_incremental_plan(spark):
+    asked = spark.createDataFrame([(1, ["t"], DAY, dt.date(2024, 1, 31), [0, 12], -10.0, -50.0, -20.0, -40.0)], "request_id int, variables array<string>, start date, end date, hours array<int>, north double, west double, south double, east double")
+    chunk = "chunk_id string, year int, month int, variables array<string>, days array<int>, hours array<int>, north double, west double, south double, east double"
+    done = lambda east, names=("t",), hours=(0, 6, 12): spark.createDataFrame([("c", 2024, 1, list(names), list(range(1, 32)), list(hours), -10.0, -50.0, -20.0, east)], chunk)
+    box = lambda m: [(r["north"], r["west"], r["south"], r["east"]) for r in requests.incremental_plan(asked, m, 0.5).collect()]
+    assert box(done(-40.0).limit(0)) == box(done(-40.0, names=("u",))) == box(done(-40.0, hours=(0,))) == [(-10.0, -50.0, -20.0, -40.0)]
+    assert box(done(-40.0)) == [] and box(done(-45.0)) == [(-10.0, -45.0, -20.0, -40.0)]
+
+
 def test_tile_order_makes_narrow_row_groups(spark, tmp_path):
     df = spark.range(40_000).select((F.col("id") % 200 * 0.2 - 30).alias("latitude"), (F.floor(F.col("id") / 200) * 0.2 - 60).alias("longitude"), F.lit(0).alias("hour_utc"), F.lit(DAY).alias("date"))
     tables.write_partitioned(storage.tile_order(df.repartition(4)), str(tmp_path / "t"), row_group_bytes=8_000)
@@ -140,6 +196,20 @@ def test_catalog(spark):
         catalog.validate("era5", "view")
 
 
+def test_statements_that_define_objects(spark):
+    objects = spark.createDataFrame([], catalog.OBJECT)
+    run = lambda o, text: catalog.run_text(spark, o, text, 1)
+    status, objects = run(objects, "/* mine */ CREATE OR REPLACE VIEW typed_foo AS SELECT 1 AS a")
+    assert tuple(status.first()) == ("VIEW", "typed_foo", "created")
+    status, objects = run(objects, "create view Typed_Foo as select 2 as b")
+    assert tuple(status.first()) == ("VIEW", "Typed_Foo", "replaced") and objects.count() == 1
+    _, objects = run(objects, "CREATE OR REPLACE MACRO typed_add(x INT) AS x + 1")
+    assert run(objects, "SELECT typed_add(41) AS v")[0].first()["v"] == 42 and catalog.view_schema(spark, "typed_foo") == [("b", "int")]
+    for bad in ("CREATE VIEW era5 AS SELECT 1", "CREATE VIEW evil AS SELECT 1; DROP TABLE x", "DROP TABLE x", "CREATE VIEW worse AS SELECT * FROM nowhere"):
+        with pytest.raises(ValueError):
+            run(objects, bad)
+
+
 def test_regions(spark):
     boxes = spark.createDataFrame([("uf", "Acre", "AC", 1.0, 2.0, 0.0, 3.0), ("municipio", "Bom", "AC", 1.0, 2.0, 0.0, 3.0), ("municipio", "Bom", "SP", 5.0, 6.0, 4.0, 7.0)], "kind string, name string, uf string, north double, west double, south double, east double")
     assert regions.lookup_box(boxes, "bom", "sp")["north"] == 5.0
