@@ -43,7 +43,7 @@ def grid_latest(spark: SparkSession, sf: str) -> DataFrame:
     return last_values(grid_obs(spark, sf), ["latitude", "longitude", "date", "hour_utc"], "seq")
 
 
-LATEST_SQL = GRID_SQL + """, latest AS (SELECT latitude, longitude, date, hour_utc, """ + ", ".join(f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in VARIABLES) + """ FROM grid_obs GROUP BY latitude, longitude, date, hour_utc)"""
+LATEST_SQL = GRID_SQL + """, latest AS MATERIALIZED (SELECT latitude, longitude, date, hour_utc, """ + ", ".join(f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in VARIABLES) + """ FROM grid_obs GROUP BY latitude, longitude, date, hour_utc)"""
 
 
 def station_obs(spark: SparkSession, sf: str) -> DataFrame:

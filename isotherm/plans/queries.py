@@ -10,26 +10,15 @@ from pyspark.sql import functions as F
 from isotherm.functions import columns as C
 from isotherm.operators import catalog, coverage, joins, ml, regions, requests, stations, storage, timeseries
 from isotherm.plans.fixtures import BOXES_SQL, DIM_SQL, EVENT_TYPES, GRID_SQL, LATEST_SQL, STATION_SQL, VARIABLES, boxes, grid_latest, grid_obs, read, station_dim, station_obs
+from isotherm.plans.registry import QUERIES, SQL, query  # noqa: F401  the entry takes both tables from here
 from isotherm.sources.arrays import to_long
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 RES = 0.25
 #: A polygon of (lat, lon) within the test grid, and two regions of rings.
 RING = [(-23.9, -49.8), (-21.6, -49.3), (-22.1, -47.6), (-23.4, -48.2)]
 KEYS = ["latitude", "longitude", "date", "hour_utc"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r(c, d: int = 4):
     return F.round(c, d)
 
@@ -204,7 +193,7 @@ def request_of(spark: SparkSession, sf: str) -> DataFrame:
     """Hours 12 and 20 of three variables everywhere on the days and in the box that the grid has."""
     g = grid_obs(spark, sf).agg(F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.min("latitude").alias("south"), F.max("longitude").alias("east"), F.min("date").alias("start"), F.max("date").alias("end"))
     rows = g.withColumns({"variables": F.array(*map(F.lit, ("temperature_2m", "total_precipitation", "snow"))), "hours": F.array(F.lit(12), F.lit(20))})
-    return requests.expand(rows, RES)
+    return requests.expand(rows, RES, disjoint=True)
 
 
 @query(f"WITH {REQUEST_SQL} SELECT * FROM request")
@@ -217,25 +206,40 @@ def coverage_diff(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.diff(request_of(spark, sf), masks_of(spark, sf))
 
 
-@query(f"WITH {REQUEST_SQL}, n AS (SELECT (SELECT sum(bit_count(requested_mask)) FROM request)::BIGINT AS requested, (SELECT sum(bit_count(missing_mask)) FROM missing)::BIGINT AS missing) SELECT requested, missing, round((1 - missing / requested) * 100, 2) AS savings_pct FROM n")
+@query(f"WITH {REQUEST_SQL}, a AS (SELECT count(*) AS requested_cells, sum(bit_count(requested_mask))::BIGINT AS requested_hours FROM request), b AS (SELECT count(*) AS missing_cells, coalesce(sum(bit_count(missing_mask)), 0)::BIGINT AS missing_hours FROM missing) SELECT *, round((1 - missing_cells / requested_cells) * 100, 2) AS savings_pct, floor(missing_cells / requested_cells * 1000000)::BIGINT AS missing_bytes FROM a, b")
 def diff_preview(spark: SparkSession, sf: str) -> DataFrame:
     asked = request_of(spark, sf)
-    return requests.diff_preview(asked, coverage.diff(asked, masks_of(spark, sf)))
+    return requests.diff_preview(asked, coverage.diff(asked, masks_of(spark, sf)), 1_000_000)
 
 
-COMPONENTS_SQL = f"""WITH RECURSIVE {GRID_SQL}, cells AS (SELECT DISTINCT round(latitude / 0.25)::INT AS i, round(longitude / 0.25)::INT AS j, date FROM grid_obs WHERE hour_utc = 5 AND total_precipitation > 40),
-reach AS (SELECT date, i, j, i AS a, j AS b FROM cells UNION SELECT r.date, r.i, r.j, c.i, c.j FROM reach r JOIN cells c ON r.date = c.date AND abs(r.a - c.i) + abs(r.b - c.j) = 1),
-named AS (SELECT date, i, j, min((a, b)) AS root FROM reach GROUP BY ALL)
-SELECT date, round((max(i) + 0.5) * 0.25, 6)::DOUBLE AS north, round((min(j) - 0.5) * 0.25, 6)::DOUBLE AS west, round((min(i) - 0.5) * 0.25, 6)::DOUBLE AS south, round((max(j) + 0.5) * 0.25, 6)::DOUBLE AS east, count(*) AS n_cells FROM named GROUP BY date, root"""
+@query(f"WITH {REQUEST_SQL} SELECT * FROM missing ORDER BY latitude, longitude, date, variable LIMIT 100")
+def missing_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.missing_sample(coverage.diff(request_of(spark, sf), masks_of(spark, sf)))
+
+
+COMPONENTS_SQL = f"""WITH RECURSIVE {GRID_SQL}, cells AS MATERIALIZED (SELECT DISTINCT round(latitude / 0.25)::INT AS i, round(longitude / 0.25)::INT AS j, date, hour_utc FROM grid_obs WHERE total_precipitation > 40),
+reach AS (SELECT date, hour_utc, i, j, i AS a, j AS b FROM cells UNION SELECT r.date, r.hour_utc, r.i, r.j, c.i, c.j FROM reach r JOIN cells c ON r.date = c.date AND r.hour_utc = c.hour_utc AND abs(r.a - c.i) + abs(r.b - c.j) = 1),
+named AS (SELECT date, hour_utc, i, j, min((a, b)) AS root FROM reach GROUP BY ALL)
+SELECT date, hour_utc, round((max(i) + 0.5) * 0.25, 6)::DOUBLE AS north, round((min(j) - 0.5) * 0.25, 6)::DOUBLE AS west, round((min(i) - 0.5) * 0.25, 6)::DOUBLE AS south, round((max(j) + 0.5) * 0.25, 6)::DOUBLE AS east, count(*) AS n_cells FROM named GROUP BY date, hour_utc, root"""
 
 
 @query(COMPONENTS_SQL)
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    wet = grid_obs(spark, sf).where("hour_utc = 5 and total_precipitation > 40").select("date", C.cell_index("latitude", RES).alias("i"), C.cell_index("longitude", RES).alias("j"))
-    return requests.component_boxes(requests.cell_components(wet, ["date"]), ["date"], RES).drop("component")
+    wet = grid_obs(spark, sf).where("total_precipitation > 40").select("date", "hour_utc", C.cell_index("latitude", RES).alias("i"), C.cell_index("longitude", RES).alias("j"))
+    group = ["date", "hour_utc"]
+    return requests.component_boxes(requests.cell_components(wet, group), group, RES).drop("component")
+
 
+CHUNKS_SQL = f"""WITH RECURSIVE {REQUEST_SQL}, m AS MATERIALIZED (SELECT year(date)::INT AS year, month(date)::INT AS month, variable, round(latitude / 0.25)::INT AS i, round(longitude / 0.25)::INT AS j, day(date)::INT AS day, missing_mask FROM missing),
+cells AS MATERIALIZED (SELECT DISTINCT year, month, variable, i, j FROM m),
+reach AS (SELECT year, month, variable, i, j, i AS a, j AS b FROM cells UNION SELECT r.year, r.month, r.variable, r.i, r.j, c.i, c.j FROM reach r JOIN cells c ON r.year = c.year AND r.month = c.month AND r.variable = c.variable AND abs(r.a - c.i) + abs(r.b - c.j) = 1),
+named AS (SELECT year, month, variable, i, j, min((a, b)) AS root FROM reach GROUP BY ALL),
+boxes AS (SELECT year, month, variable, root, round((max(i) + 0.5) * 0.25, 6)::DOUBLE AS north, round((min(j) - 0.5) * 0.25, 6)::DOUBLE AS west, round((min(i) - 0.5) * 0.25, 6)::DOUBLE AS south, round((max(j) + 0.5) * 0.25, 6)::DOUBLE AS east, count(*) AS n_cells FROM named GROUP BY ALL),
+days AS (SELECT year, month, variable, root, array_to_string(list_sort(list(DISTINCT day)), ',') AS days, bit_or(missing_mask)::INT AS hours_mask FROM m JOIN named USING (year, month, variable, i, j) GROUP BY ALL)
+SELECT year, month, variable, north, west, south, east, n_cells, days, hours_mask FROM boxes JOIN days USING (year, month, variable, root)"""
 
-@query()
+
+@query(CHUNKS_SQL)
 def missing_chunks(spark: SparkSession, sf: str) -> DataFrame:
     chunks = requests.missing_chunks(coverage.diff(request_of(spark, sf), masks_of(spark, sf)), RES)
     return chunks.select("year", "month", "variable", "north", "west", "south", "east", "n_cells", F.array_join(F.transform("days", lambda d: d.cast("string")), ",").alias("days"), "hours_mask")
@@ -306,9 +310,16 @@ def station_list(spark: SparkSession, sf: str) -> DataFrame:
     return stations.station_list(station_dim(spark, sf), years_of(spark, sf))
 
 
-@query(f"WITH {YEARS_SQL}, s AS (SELECT year, count(*) AS stations, sum((date_max >= make_date(year, 1, 30))::INT)::BIGINT AS late, sum((date_max >= make_date(year, 12, 31))::INT)::BIGINT AS complete, min(date_max) AS earliest_end, max(date_max) AS latest_end FROM years GROUP BY year) SELECT year, stations, complete, earliest_end, latest_end, CASE WHEN year = 2024 THEN CASE WHEN latest_end < DATE '2024-01-15' THEN 'stale' ELSE 'current' END WHEN complete = stations THEN 'complete' ELSE 'partial' END AS status FROM s")
+STATUS_SQL = """years AS (SELECT 'S' || o_custkey % (year(o_orderdate) - 1991) AS station_id, year(o_orderdate)::INT AS year, max(o_orderdate::DATE) AS date_max FROM orders GROUP BY ALL),
+s AS (SELECT year, count(*) AS stations, sum((date_max >= make_date(year, 12, 31))::INT)::BIGINT AS complete, min(date_max) AS earliest_end, max(date_max) AS latest_end FROM years GROUP BY year)"""
+
+
+@query(f"WITH {STATUS_SQL} SELECT year, stations, complete, earliest_end, latest_end, CASE WHEN year = 1997 THEN 'current' WHEN complete = stations THEN 'complete' WHEN complete = 0 THEN 'stale' ELSE 'partial' END AS status, d.downloaded_at FROM s LEFT JOIN (SELECT (1992 + c_custkey % 5)::INT AS year, max(c_custkey) AS downloaded_at FROM customer GROUP BY 1) d USING (year)")
 def year_status(spark: SparkSession, sf: str) -> DataFrame:
-    return stations.classified(stations.year_status(years_of(spark, sf)), 2024, dt.date(2024, 1, 15))
+    year = F.year("o_orderdate")
+    rows = read(spark, sf, "orders").select(F.concat(F.lit("S"), F.pmod(F.col("o_custkey"), year - 1991)).alias("station_id"), year.alias("year"), F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
+    fetched = read(spark, sf, "customer").select((1992 + F.col("c_custkey") % 5).cast("int").alias("year"), F.col("c_custkey").alias("completed_at"))
+    return stations.classified(stations.year_status(stations.station_years(rows, ["o_totalprice"])), 1997, fetched)
 
 
 @query("SELECT 'S' || (o_custkey % 40) AS station_id, arg_max(round(o_totalprice, 2), (year(o_orderdate), round(o_totalprice, 2))) AS altitude FROM orders GROUP BY 1")
@@ -339,7 +350,7 @@ meshed AS (SELECT *, (1 - wx) * (1 - wy) * bl + wx * (1 - wy) * br + (1 - wx) *
 
 
 def cornered(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.interpolated(joins.corner_join(station_obs(spark, sf), grid_latest(spark, sf), RES, ["temperature_2m"], ["station_id"]), ["temperature_2m"])
+    return joins.interpolated(joins.corner_join(station_obs(spark, sf), grid_latest(spark, sf), RES, ["temperature_2m"]), ["temperature_2m"])
 
 
 @query(f"WITH {CORNER_SQL} SELECT station_id, date, hour_utc, wx, wy, round(bl, 4) AS bl, round(br, 4) AS br, round(tl, 4) AS tl, round(tr, 4) AS tr FROM meshed")
@@ -514,3 +525,6 @@ def moving_mean(spark: SparkSession, sf: str) -> DataFrame:
     daily = read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("value").alias("y"))
     week = F.avg("y").over(Window.partitionBy("event_type").orderBy("date").rowsBetween(-6, 0))
     return daily.select("event_type", "date", r("y", 7).alias("y"), r(week, 7).alias("week"))
+
+
+from isotherm.plans import lookups, stored  # noqa: E402, F401  they add their queries
