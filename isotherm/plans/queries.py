@@ -509,10 +509,10 @@ def temporal_split(spark: SparkSession, sf: str) -> DataFrame:
     return ml.temporal_split(e, 0.2, ["date", "event_id"]).select("event_id", "is_test")
 
 
-@query(f"WITH {CORNER_SQL}, e AS (SELECT view AS a, grid AS p FROM meshed WHERE view IS NOT NULL AND grid IS NOT NULL) SELECT round(sqrt(avg((a - p) * (a - p))), 4) AS rmse, round(avg(abs(a - p)), 4) AS mae, round(1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)), 4) AS r2 FROM e")
+@query(f"WITH {CORNER_SQL}, e AS (SELECT view AS a, grid AS p FROM meshed WHERE view IS NOT NULL AND grid IS NOT NULL) SELECT round(sqrt(avg((a - p) * (a - p))), 6) AS rmse, round(avg(abs(a - p)), 6) AS mae, round(1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)), 6) AS r2 FROM e")
 def residual_metrics(spark: SparkSession, sf: str) -> DataFrame:
     m = ml.metrics(cornered(spark, sf), "view", "temperature_2m_grid")
-    return m.select(*[r(c).alias(c) for c in ("rmse", "mae", "r2")])
+    return m.select(*[r(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
 
 
 @query(f"WITH {CORNER_SQL} SELECT count(*) AS n_rows, count(view) AS n_view, count(bl) AS n_bl, count(CASE WHEN view IS NOT NULL AND bl IS NOT NULL THEN 1 END) AS complete FROM meshed")

@@ -129,11 +129,13 @@ def grid_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Each day's observations as the arrays that files hold, with gaps as nulls, and back to rows."""
     own = grid_latest(spark, sf)
     axes = own.agg(F.sort_array(F.collect_set("latitude")).alias("lat"), F.sort_array(F.collect_set("longitude")).alias("lon"))  # a dozen values each
-    long = arrays.to_long(own, KEYS, ["temperature_2m", "wind_u_10m"]).where("value is not null").join(F.broadcast(axes))
-    at = F.col("hour_utc") * F.size("lat") * F.size("lon") + (F.array_position("lat", F.col("latitude")) - 1) * F.size("lon") + F.array_position("lon", F.col("longitude")) - 1
-    held = long.groupBy("date", "variable", "lat", "lon").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), "value"))).alias("held"))
+    frame = own.select("date").distinct().join(F.broadcast(axes)).withColumn("hour_utc", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    frame = frame.select("*", F.explode("lat").alias("latitude")).select("*", F.explode("lon").alias("longitude"))
+    # the order in a file: hour, latitude, longitude
+    whole = frame.join(own, KEYS, "left").groupBy("date", "lat", "lon").agg(F.sort_array(F.collect_list(F.struct("hour_utc", "latitude", "longitude", "temperature_2m", "wind_u_10m"))).alias("cells"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.col("date").cast("timestamp_ntz") + F.make_interval(hours=h))
-    filled = held.select("variable", hours.alias("time"), "lat", "lon", F.transform(F.sequence(F.lit(0), F.size("lat") * F.size("lon") * 24 - 1), lambda k: F.try_element_at("held", k.cast("long"))).alias("values"))
+    values = F.explode(F.create_map(*[x for c in ("temperature_2m", "wind_u_10m") for x in (F.lit(c), F.transform("cells", lambda v, c=c: v[c]))]))
+    filled = whole.select(hours.alias("time"), "lat", "lon", values.alias("variable", "values"))
     wide = arrays.to_wide(arrays.flatten(filled).where("value is not null"), ["temperature_2m", "wind_u_10m"])
     return wide.select(F.to_date("time").alias("date"), "latitude", "longitude", F.hour("time").alias("hour_utc"), "temperature_2m", "wind_u_10m")
 
