@@ -134,7 +134,7 @@ def grid_arrays(spark: SparkSession, sf: str) -> DataFrame:
     # the order in a file: hour, latitude, longitude
     whole = frame.join(own, KEYS, "left").groupBy("date", "lat", "lon").agg(F.sort_array(F.collect_list(F.struct("hour_utc", "latitude", "longitude", "temperature_2m", "wind_u_10m"))).alias("cells"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.col("date").cast("timestamp_ntz") + F.make_interval(hours=h))
-    values = F.explode(F.create_map(*[x for c in ("temperature_2m", "wind_u_10m") for x in (F.lit(c), F.transform("cells", lambda v, c=c: v[c]))]))
+    values = F.explode(F.create_map(*[x for c in ("temperature_2m", "wind_u_10m") for x in (F.lit(c), F.col(f"cells.{c}"))]))
     filled = whole.select(hours.alias("time"), "lat", "lon", values.alias("variable", "values"))
     wide = arrays.to_wide(arrays.flatten(filled).where("value is not null"), ["temperature_2m", "wind_u_10m"])
     return wide.select(F.to_date("time").alias("date"), "latitude", "longitude", F.hour("time").alias("hour_utc"), "temperature_2m", "wind_u_10m")
