@@ -8,17 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import batches_of, materialize
+from isotherm.llm.common import batches_of, materialize, type_of
 
-BLOCK = 1024  # rows of candidates, and of queries, in a task's group
-BUCKET = 600  # vectors in a bucket on average, by the number of hash functions
+BLOCK, ASKING = 1024, 4096  # rows of candidates, and of queries, in a task's group
+BUCKET = 1200  # vectors in a bucket on average, by the number of hash functions
 WIDTH = 1.35  # of a slot, in deviations of a projection
 SAMPLE = 20_000  # vectors, and 256 queries among them, that the neighbours' nearness is estimated on
 RATIO = math.sqrt(2)  # of the lengths in a class, which has its own scale and hash functions
 CLASSES = 24  # of lengths; the last one has all that are shorter
-TIE = 1e-9
+ROUGH = 2e-5  # of both lengths' product: more than products of 32-bit floats are wrong by
 PAIRS = 1 << 18  # scored at once
-HELD = 400_000  # answers that a task holds before it keeps the best of each query only
+HELD, FRESH = 1_000_000, 100_000  # answers that a task holds, and new ones before it keeps the best of each query only
 
 
 class Hashes:
@@ -123,7 +123,7 @@ class Classes:
             most = longest / RATIO**c
             lift = np.sqrt(np.maximum(0, 1 - (size[kind == c] / most) ** 2))
             moments = (float(lift.mean()), float(lift.var())) if len(lift) else (0.4, 0.04)
-            functions = math.ceil(math.log(max(1.0, n / BUCKET)) / math.log(3))  # none where one bucket holds all
+            functions = max(2, math.ceil(math.log(max(1.0, n / BUCKET)) / math.log(3)))
             self.of[c] = Hashes(dims, most, float(np.clip(near / most, 0.0, 0.98)), functions, tables, lift=moments, kind=c)
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -175,15 +175,22 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     hashes = df.sparkSession.sparkContext.broadcast(Classes(size["dims"], size["longest"], counts, some, k, tables))
     dims = size["dims"]
 
+    # vectors travel in their own precision
+    stored = np.dtype("<f4" if type_of(df, vector) == "array<float>" else "<f8")
+
     def arrays(batch) -> np.ndarray:
         return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
+    def binary(x: np.ndarray) -> list[bytes]:
+        return [r.tobytes() for r in x.astype(stored)]
+
     def index(batches):
         for b in batches:
             if b.num_rows:
                 x, keys = arrays(b), b.column("key").to_pylist()
+                data = binary(x)
                 for t in range(tables):
-                    yield {"t": [t] * len(keys), "bucket": hashes.value.buckets(x, t), "key": keys, "data": [r.tobytes() for r in x]}
+                    yield {"t": [t] * len(keys), "bucket": hashes.value.buckets(x, t), "key": keys, "data": data}
 
     def probe(level):
         def work(batches):
@@ -201,7 +208,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     def packed(batches):
         for b in batches:
             if b.num_rows:
-                yield {c: b.column(c).to_pylist() for c in ("key", "t", "bucket")} | {"data": [r.tobytes() for r in arrays(b)]}
+                yield {c: b.column(c).to_pylist() for c in ("key", "t", "bucket")} | {"data": binary(arrays(b))}
 
     index_rows = materialize(batches_of(own, index, "t int, bucket long, key long, data binary"), "lsh-index")
     group = ["t", "bucket", "block", "part"]
@@ -213,8 +220,8 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         else:
             rows, wanted = index_rows, materialize(batches_of(asked, probe(level), "t int, bucket long, key long"), "lsh-probes")
         blocks = rows.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
-        chunks = wanted.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("parts"))
-        shape = blocks.join(chunks, ["t", "bucket"])
+        chunks = wanted.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / ASKING).cast("int").alias("parts"))
+        shape = materialize(blocks.join(chunks, ["t", "bucket"]), "lsh-shapes")
         place = [F.xxhash64("key", "t").alias("own")]
         vectors = asked.select("key", F.col("v")).join(wanted, "key")
         candidates = rows.select("*", *place).join(shape, ["t", "bucket"]).select("t", "bucket", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "key", F.lit(False).alias("asks"), "data")
@@ -222,26 +229,6 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         questions = questions.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod("own", F.col("parts") + 1).cast("int").alias("part"), "key", F.lit(True).alias("asks"), "data")
         return candidates.unionByName(questions).repartition(*group).sortWithinPartitions(*group)
 
-    def answer(keys, data, asks):
-        x, q = (np.frombuffer(b"".join([d for d, a in zip(data, asks, strict=True) if a == want]), float).reshape(-1, dims) for want in (False, True))
-        xk, qk = (np.array([i for i, a in zip(keys, asks, strict=True) if a == want], np.int64) for want in (False, True))
-        out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        if len(x) and len(q):
-            rough = q @ x.T
-            rough[qk[:, None] == xk[None, :]] = -np.inf
-            # a key with several vectors counts once among the k
-            by = np.argsort(xk, kind="stable")
-            first = np.flatnonzero(np.append(True, xk[by][1:] != xk[by][:-1]))
-            most = rough if len(first) == len(xk) else np.maximum.reduceat(rough[:, by], first, axis=1)
-            place = min(k, most.shape[1]) - 1
-            last = -np.partition(-most, place, axis=1)[:, place]
-            i, j = np.nonzero((rough >= last[:, None] - TIE * max(1.0, float(np.abs(last[np.isfinite(last)]).max(initial=0)))) & np.isfinite(rough))
-            # the same sum for equal vectors, wherever they stand
-            score = np.concatenate([(q[i[a : a + PAIRS]] * x[j[a : a + PAIRS]]).sum(axis=1) for a in range(0, len(i), PAIRS)]) if len(i) else np.empty(0)
-            out = largest(i, xk[j], score)
-            out = qk[out[0]], *out[1:]
-        return out
-
     def largest(q, v, score):
         """The k best keys of each query, each with its best score."""
         order = np.lexsort((-score, v, q))
@@ -254,37 +241,91 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         keep = np.arange(len(q)) - np.searchsorted(q, q) < k
         return q[keep], v[keep], score[keep]
 
-    def best(parts):
-        """The k best of each query in some groups' answers."""
-        return largest(*(np.concatenate([p[c] for p in parts]) for c in range(3)))
+    class Best:
+        """A task's best answers so far; `least` is each query's k-th score, which new answers have to reach."""
+
+        def __init__(self):
+            self.held, self.fresh, self.names, self.kth = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], [], np.empty(0, np.int64), np.empty(0)
+
+        def least(self, q):
+            if not len(self.names):
+                return np.full(len(q), -np.inf)
+            at = np.minimum(np.searchsorted(self.names, q), len(self.names) - 1)
+            return np.where(self.names[at] == q, self.kth[at], -np.inf)
+
+        def add(self, *found):
+            self.fresh.append(found)
+            if sum(len(f[0]) for f in self.fresh) > FRESH:
+                self.settle()
+
+        def settle(self):
+            self.held = list(largest(*(np.concatenate([self.held[c], *(f[c] for f in self.fresh)]) for c in range(3))))
+            self.fresh = []
+            self.names, first, many = np.unique(self.held[0], return_index=True, return_counts=True)
+            self.kth = np.where(many == k, self.held[2][first + many - 1], -np.inf)
+
+    def answer(best, keys, x, asks):
+        """Score a group's queries against its candidates: roughly in 32 bits, and exactly what can be among the k best."""
+        q, qk, x, xk = x[asks], keys[asks], x[~asks], keys[~asks]
+        if not len(q) or not len(x):
+            return
+        rough = q.astype(np.float32) @ x.astype(np.float32).T
+        own = np.argsort(xk, kind="stable")
+        low, high = np.searchsorted(xk[own], qk), np.searchsorted(xk[own], qk, side="right")
+        same = np.flatnonzero(high > low)
+        for i in same.tolist():
+            rough[i, own[low[i] : high[i]]] = -np.inf
+        slack = (ROUGH * np.sqrt((q * q).sum(axis=1)) * math.sqrt(float((x * x).sum(axis=1).max()))).astype(np.float32)
+        least = best.least(qk)
+        new = np.flatnonzero(np.isinf(least))
+        if len(new) and len(x) > k:
+            # a key with several vectors counts once among the k
+            first = np.flatnonzero(np.append(True, xk[own][1:] != xk[own][:-1]))
+            most = rough[new] if len(first) == len(xk) else np.maximum.reduceat(rough[new][:, own], first, axis=1)
+            place = min(k, most.shape[1]) - 1
+            least[new] = -np.partition(-most, place, axis=1)[:, place] - slack[new]
+        i, j = np.nonzero((rough >= (least - slack).astype(np.float32)[:, None]) & (rough > -np.inf))
+        for a in range(0, len(i), PAIRS):
+            p, o = i[a : a + PAIRS], j[a : a + PAIRS]
+            # the same sum for equal vectors, wherever they stand
+            best.add(qk[p], xk[o], (q[p] * x[o]).sum(axis=1))
 
     def answers(batches):
-        parts, many = [], 0
-        for part in group_answers(batches):
-            parts.append(part)
-            many += len(part[0])
-            if many > HELD:
-                parts = [best(parts)]
-                many = len(parts[0][0])
-                if many > HELD // 2:
-                    yield dict(zip(("query_id", "vec_id", "score"), parts[0], strict=True))
-                    parts, many = [], 0
-        if many:
-            yield dict(zip(("query_id", "vec_id", "score"), best(parts), strict=True))
-
-    def group_answers(batches):
-        last, rows = None, ([], [], [])
+        best = Best()
+        for keys, x, asks in groups(batches):
+            answer(best, keys, x, asks)
+            if len(best.held[0]) > HELD:
+                best.settle()
+                yield dict(zip(("query_id", "vec_id", "score"), best.held, strict=True))
+                best = Best()
+        best.settle()
+        if len(best.held[0]):
+            yield dict(zip(("query_id", "vec_id", "score"), best.held, strict=True))
+
+    def groups(batches):
+        """key, vectors and asks of each group, which are runs of rows."""
+        last, parts = None, []
+
+        def whole():
+            return tuple(np.concatenate([p[c] for p in parts]) for c in range(3))
+
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in (*group, "key", "data", "asks")]
-            for *g, key, data, asks in zip(*cols, strict=True):
-                if g != last:
-                    if rows[0]:
-                        yield answer(*rows)
-                    last, rows = g, ([], [], [])
-                for r, v in zip(rows, (key, data, asks), strict=True):
-                    r.append(v)
-        if rows[0]:
-            yield answer(*rows)
+            if not b.num_rows:
+                continue
+            of = np.stack([b.column(c).to_numpy().astype(np.int64) for c in group], axis=1)
+            column = b.column("data")
+            x = np.frombuffer(column.buffers()[2], stored)[column.offset * dims : (column.offset + len(column)) * dims].reshape(-1, dims).astype(float)
+            keys, asks = b.column("key").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1)
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+                now = of[begin].tolist()
+                if now != last:
+                    if parts:
+                        yield whole()
+                    last, parts = now, []
+                parts.append((keys[begin:end], x[begin:end], asks[begin:end]))
+        if parts:
+            yield whole()
 
     from pyspark.sql import Window
 
