@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch of rows that goes to a task's Python: several batches of texts are held at once on both sides.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where that is unset, local mode has a folder of its own; a cluster has to set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="isotherm-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's limit for batches to BATCH_BYTES, if it is higher: rows of texts make large ones."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name, str(1 << 26)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the plan behind it is cut, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -41,6 +56,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict | Iterator[di
                 for cols in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in to], schema=to)
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 
@@ -77,6 +93,7 @@ def batches_of(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
         for cols in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in shape], schema=shape)
 
+    small_batches(df)
     return df.mapInArrow(run, to)
 
 

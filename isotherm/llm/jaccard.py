@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.common import batches_of, key_text, materialize, slabs, tree_sum, type_of
@@ -27,6 +27,7 @@ from isotherm.llm.trie import linked, trie_join
 N = 5
 CELLS = 1 << 22  # of the table of counts
 BLOCK = 256  # sets in a trie
+MEMBERS = 1 << 19  # and their members, on average
 BLOOM = 1 << 23  # bits
 BITS = 4096  # of a set's parities
 _UPPER = bytes(range(65, 91))
@@ -57,6 +58,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str) -> np.ndarray:
     """Hash of each word: runs of bytes other than space and 9 to 13, A-Z lowered."""
+    return words_in(text)[0]
+
+
+def words_in(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() and the words' bytes."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
@@ -64,7 +70,7 @@ def word_hashes(text: str) -> np.ndarray:
     up, back = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _MIX[2])
+        return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _MIX[2]), end - begin
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -135,14 +141,15 @@ def levels_of(parts: DataFrame) -> tuple[np.ndarray, int]:
     Most cells hold n-grams of one document each, and so counts around the mean. Levels tell counts apart by half
     deviations of that, and beyond 30 of them by the logarithm.
     """
-    sums = tree_sum(parts, CELLS, np.int32).astype(float)
+    sums = tree_sum(parts, CELLS, np.int32)
     mean = max(1.0, float(np.median(sums)), float(sums.mean()) / 4)
 
     def level(x):
+        x = x.astype(np.float32)
         z = np.maximum((x - mean) / np.sqrt(mean), -5.0)
         return np.minimum(np.where(z <= 30, np.round(2 * z) + 10, 70 + np.ceil(8 * np.log(np.maximum(z, 30) / 30))), 255).astype(np.uint8)
 
-    return level(sums), int(level(np.array([max(32.0, 3 * mean)]))[0])
+    return np.concatenate([level(x) for x in np.split(sums, 64)]), int(level(np.array([max(32.0, 3 * mean)]))[0])
 
 
 def prefixes(own: DataFrame, levels, frequent: int, n: int) -> DataFrame:
@@ -321,6 +328,11 @@ def joined(groups: DataFrame) -> DataFrame:
     return by_group(groups, ["h", "root", "minor", "members"], work, "a long, b long")
 
 
+def last_block(sets: Column, members: Column) -> Column:
+    """The last block's number, for blocks of about BLOCK sets and MEMBERS members at most."""
+    return F.floor(F.greatest((sets - 1) / BLOCK, members / MEMBERS)).cast("int")
+
+
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every row of df.
 
@@ -346,8 +358,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
 
     # each set to the hub that it shares most with; a large hub in blocks, with the hub itself in each
     best = edges.groupBy("h").agg(F.max(F.struct("shared", F.col("hub").alias("at"))).alias("b")).select(F.col("b.at").alias("hub"), "h")
-    best = materialize(best, "best-hubs")
-    blocks = materialize(best.groupBy("hub").agg(F.floor(F.count(F.lit(1)) / BLOCK).cast("int").alias("last")), "blocks")
+    best = materialize(best.join(bits.select("h", "n"), "h"), "best-hubs")
+    blocks = materialize(best.groupBy("hub").agg(last_block(F.count(F.lit(1)) + 1, F.sum("n")).alias("last")), "blocks")
     seats = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("h"), F.col("last") + 1).cast("int").alias("block"), "h")
     seats = seats.union(blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.col("hub").alias("h")))
     found = links_of(seats.withColumns({"part": F.lit(0), "root": F.col("h"), "minor": F.lit(True)}))
@@ -359,11 +371,11 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     open_hubs = materialize(open_hubs.where(f"came is null or came < all or came >= {BLOCK}").select("hub"), "open-hubs")
     edges = materialize(edges.join(open_hubs, "hub", "left_semi"), "open-stars")
     at = edges.select("hub", "h").union(edges.select("hub", F.col("hub").alias("h")).distinct())
-    at = at.join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"))
-    per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"))
-    per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.sum("many").alias("all"), F.max(F.struct("many", "root")).alias("top")).where("roots > 1")
-    shape = per_hub.select("hub", F.col("top.root").alias("main"), F.floor((F.col("all") - 1) / BLOCK).cast("int").alias("last"), F.floor((F.col("all") - F.col("top.many") - 1) / BLOCK).cast("int").alias("parts"))
-    left = materialize(at.join(materialize(shape, "shapes"), "hub").withColumn("own", F.xxhash64("h")), "seats")
+    at = at.join(bits.select("h", "n"), "h").join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"), "n")
+    per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("members"))
+    per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.sum("many").alias("all"), F.sum("members").alias("members"), F.max(F.struct("many", "root", F.col("members").alias("of"))).alias("top")).where("roots > 1")
+    shape = per_hub.select("hub", F.col("top.root").alias("main"), last_block(F.col("all"), F.col("members")).alias("last"), last_block(F.col("all") - F.col("top.many"), F.col("members") - F.col("top.of")).alias("parts"))
+    left = materialize(at.drop("n").join(materialize(shape, "shapes"), "hub").withColumn("own", F.xxhash64("h")), "seats")
     whole = left.select("hub", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "h", "root", F.lit(False).alias("minor"))
     minors = left.where("root <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod(F.xxhash64("own"), F.col("parts") + 1).cast("int").alias("part"), "h", "root", F.lit(True).alias("minor"))
     more = links_of(whole.union(minors))

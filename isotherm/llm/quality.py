@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import key_text, per_batch, texts, type_of
+from isotherm.llm.common import key_text, per_batch, small_batches, texts, type_of
 
 #: The most labelled rows that a model is fitted on: those with the smallest hashes of their keys.
 SAMPLE = 16_000
@@ -169,6 +169,7 @@ def filtered(df: DataFrame, model: Trees, least: float, text: str = "text") -> D
                 good = model.score(np.array([statistics(t) for t in texts(b, text)], float)) >= least
                 yield b.filter(pa.array(good))
 
+    small_batches(df)
     return df.mapInArrow(run, df.schema)
 
 
