@@ -263,7 +263,7 @@ class PieceCoder:
         for w in self.windows(texts):
             flat, ends = w.flat(), np.append(0, np.cumsum(w.many))
             names, first = np.unique(w.text, return_index=True)
-            for k, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(w.text)], strict=True):
+            for k, a, b in zip(names.tolist(), first.tolist(), np.append(first, len(w.text))[1:].tolist(), strict=True):
                 while want < k:
                     yield whole()
                     want += 1
