@@ -1,10 +1,7 @@
-"""What the operators share: the shared folder, tables written there, batches of rows in tasks."""
+"""What the operators share: batches of rows in tasks, sums of arrays over partitions."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,22 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isotherm.shared import materialize, new_path  # noqa: F401  the operators take them from here
 
 #: Bytes of a batch of rows that goes to a task's Python: several batches of texts are held at once on both sides.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir. Where that is unset, local mode has a folder of its own; a cluster has to set it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="isotherm-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def small_batches(df: DataFrame) -> None:
     """Lower the session's limit for batches to BATCH_BYTES, if it is higher: rows of texts make large ones."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
@@ -37,13 +24,6 @@ def small_batches(df: DataFrame) -> None:
         conf.set(name, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the plan behind it is cut, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """Apply a function from an Arrow batch to columns (dicts of lists or arrays: one, or several by yielding) in each partition."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 import urllib.parse
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import materialize, per_batch, shared_dir, type_of
+from isotherm.llm.common import materialize, new_path, per_batch, type_of
 
 VERSION = b"WARC/1.1"
 PIECE = 1 << 18  # bytes read at a time
@@ -28,7 +27,6 @@ ARCHIVE = 64_000_000  # bytes after which a writer begins another archive
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages carry no time of capture; the format demands one.
 DATE = "1970-01-01T00:00:00Z"
-ID = "<urn:isotherm:record:%s>"
 
 
 def file_system(path: str):
@@ -38,15 +36,20 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:/", path) else "file://" + path)
 
 
+def urn(key) -> str:
+    """A record's name; rows without a key have one in common."""
+    return "urn:isotherm:nameless" if key is None else "urn:isotherm:record:" + urllib.parse.quote(str(key), safe="")
+
+
 def record(key, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
     """One record as a gzip member. refers_to: the key of the record whose payload this one repeats."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", ID % key), ("WARC-Date", DATE)]
-    fields += [("WARC-Target-URI", urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else f"urn:isotherm:record:{key}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{urn(key)}>"), ("WARC-Date", DATE)]
+    fields += [("WARC-Target-URI", urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else urn(key))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", ID % refers_to), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", f"<{urn(refers_to)}>"), ("WARC-Profile", PROFILE)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     head = VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
     z = zlib.compressobj(3, zlib.DEFLATED, 31)
@@ -179,7 +182,7 @@ def write_archives(df: DataFrame, key: str = "page_id", payload: str = "html", u
     A null payload is empty; a null key is written as such; rows with one key and payload are all responses.
     A task writes files of its own name for each attempt, and only files that finished tasks list are read.
     """
-    folder = folder or f"{shared_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or new_path(df.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,8 +232,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = Fal
 
 
 def key_of(column, kind: str):
-    text = F.regexp_extract(column, r"record:(.*)>$", 1)
-    return F.when(text != "None", text).cast(kind)
+    name = r"^<urn:isotherm:record:(.*)>$"
+    return F.when(F.col(column).rlike(name), F.url_decode(F.regexp_extract(column, name, 1))).cast(kind)
 
 
 def round_trip(df: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
