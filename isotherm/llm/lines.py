@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import materialize, per_batch, texts, type_of
+from isotherm.llm.common import clear, mark, materialize, per_batch, texts, type_of
 
 #: A repeated run counts if its lines have so many words together.
 RUN_WORDS = 50
@@ -68,15 +68,18 @@ def fingerprints(text: str, run_words: int) -> dict[int, tuple[int, list[tuple[i
     return out
 
 
-def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """key, th (a hash of the text) and spans: what is to be deleted of each document, in lines that have words.
+def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """Runs of lines that stood already before: key, th (a hash of the text), start and end, first_key, first_th and first_start.
 
-    A line goes if it lies in a run of lines, at least run_words words long, that stood already before: in a
-    document that comes earlier by (key, th), or earlier in its own without overlap. Fingerprints that only one
-    place has are dropped at once; the windows around the others extend the matches to both sides, and each
-    window's first place is found by partial aggregation. Both aggregates are written and read again before they are
-    joined back: adaptive execution can then split a hot hash's rows between tasks, which it cannot do where a join
-    shares its shuffle with an aggregate.
+    Places count the lines that have words. A run is at least run_words words long and stood in a document that comes
+    earlier by (key, th), or earlier in its own without overlap. Lines of all such runs, and no others, are in a row here.
+
+    Fingerprints that only one place has are dropped at once. The windows that selected the others reach over their
+    matches to both sides, up to the ends of what is repeated: each window's first place is found by partial
+    aggregation, so that no place meets all others, and windows that match the same document at the same distance are
+    put together as far as they go on both ways. Aggregates are written and read again before they are joined back:
+    adaptive execution can then split a hot hash's rows between tasks, which it cannot do where a join shares its
+    shuffle with an aggregate.
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -95,17 +98,24 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run_wo
                 rows, size = {c: [] for c in rows}, 0
         yield rows
 
-    found = per_batch(own, work, f"key {type_of(own, 'key')}, th long, fp long, windows array<struct<wh:long,s:int,e:int>>")
+    begun = mark()
+    found = materialize(per_batch(own, work, f"key {type_of(own, 'key')}, th long, fp long, windows array<struct<wh:long,s:int,e:int>>"), "fingerprints")
     # windows that are equal, but not one, have their fingerprints at different places
     repeated = materialize(found.groupBy(F.col("fp").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r"), "repeated")
     matches = materialize(found.join(repeated, found["fp"] == repeated["r"], "left_semi").select("key", "th", F.inline("windows")), "matches")
+    clear(df.sparkSession, begun, keep=1)
     first = matches.groupBy(F.col("wh").alias("f")).agg(F.min(F.struct("key", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = materialize(first, "first-places")
     later = matches.join(first, matches["wh"] == first["f"])
     same = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th"))
     later = later.where(~same | (F.col("s") >= F.col("first.e")))
-    # rows equal in key and text are one document, so their spans fall together
-    return later.groupBy("key", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    # rows equal in key and text are one document, so their windows fall together
+    later = later.select("key", "th", "s", "e", F.col("first.key").alias("first_key"), F.col("first.th").alias("first_th"), (F.col("s") - F.col("first.s")).alias("shift")).distinct()
+    beside = Window.partitionBy("key", "th", "first_key", "first_th", "shift").orderBy("s", "e")
+    reach = F.max("e").over(beside.rowsBetween(Window.unboundedPreceding, -1))
+    joined = later.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(beside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = joined.groupBy("key", "th", "first_key", "first_th", "shift", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    return runs.select("key", "th", "start", "end", "first_key", "first_th", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -115,7 +125,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run_words: int
     that are named n_lines or n_removed are replaced. Rows equal in key and text are one document: the first
     occurrence stays in each of them. Null keys come before all others. An empty table gives an empty one.
     """
-    spans = removed_lines(df, key, text, run_words).select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    runs = repeated_runs(df, key, text, run_words)
+    spans = runs.groupBy(F.col("key").alias("__key"), F.col("th").alias("__th")).agg(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("__spans"))
     own = df.drop("n_lines", "n_removed").withColumn("__own", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     joined = own.join(spans, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__th")), "left").drop("__key", "__th", "__own")
     schema = joined.schema

@@ -76,6 +76,20 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT a AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a, n"""
 
 
+#: Windows of lines with 50 words or more, the shortest from each line on and up to each line; what has an equal one before goes.
+OP3_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS p, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS through FROM (SELECT doc_id, k, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t, len(regexp_extract_all(line, '\\S+')) AS n FROM l) WHERE n > 0),
+runs AS (SELECT a.doc_id, a.p AS s, b.p + 1 AS e FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.through - a.through + a.n >= 50),
+windows AS (SELECT doc_id, s, min(e) AS e FROM runs GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM runs GROUP BY doc_id, e),
+named AS MATERIALIZED (SELECT w.doc_id, s, e, string_agg(t, chr(10) ORDER BY p) AS name FROM windows w JOIN v ON v.doc_id = w.doc_id AND p >= s AND p < e GROUP BY ALL),
+firsts AS (SELECT name, min((doc_id, s, e)) AS f FROM named GROUP BY name),
+later AS (SELECT doc_id, s, e FROM named JOIN firsts USING (name) WHERE doc_id <> f[1] OR s >= f[3]),
+gone AS (SELECT DISTINCT v.doc_id, k FROM later JOIN v ON v.doc_id = later.doc_id AND p >= s AND p < e),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY l.doc_id),
+sizes AS (SELECT v.doc_id, count(*) AS n_lines, count(g.k) AS n_removed FROM v LEFT JOIN gone g USING (doc_id, k) GROUP BY v.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can say whole. The tests hold the others against brute force, libraries or round trips."""
-    return {"op6_warc": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
