@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.shared import materialize
+from isotherm.shared import clear, mark, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,9 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     edges = links.select("a", "b").where("a <> b")
-    before = None
+    before, begun = None, mark()
     while True:
         edges = materialize(star(star(edges, True), False), "stars")
+        clear(links.sparkSession, begun, keep=1)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

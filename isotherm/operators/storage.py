@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.shared import materialize
+from isotherm.shared import clear, mark, materialize
 
 KEYS = ("latitude", "longitude", "hour_utc")
 
@@ -40,10 +40,11 @@ def merge_into(spark, path: str, new: DataFrame, keys: tuple[str, ...] = KEYS, o
     """
     from isotherm.sources.tables import replace_partitions
 
-    on = [by, *keys]
+    on, begun = [by, *keys], mark()
     fresh = materialize(last_values(new, on, order) if order else new, "batch")
     old = partitions_of(spark, path, fresh, by)
     replace_partitions(tile_order(merge_on_key(old, fresh, on) if old is not None else fresh, by), path, (by,))
+    clear(spark, begun)
 
 
 def partitions_of(spark, path: str, batch: DataFrame, by: str = "date") -> DataFrame | None:
@@ -63,7 +64,7 @@ def collapse(spark, path: str, keys: tuple[str, ...] = KEYS, order: str | None =
     """
     from isotherm.sources.tables import replace_partitions, scan
 
-    df = scan(spark, path, union_by_name=True)
+    df, begun = scan(spark, path, union_by_name=True), mark()
     counts = dedup_counts(df, list(keys), by).collect()  # a row for each partition
     touched = [r[by] for r in counts if r["rows_before"] > r["rows_after"]]
     if touched:
@@ -73,6 +74,7 @@ def collapse(spark, path: str, keys: tuple[str, ...] = KEYS, order: str | None =
         once = last_values(rows, [by, *keys], order or "__seq")
         # read and written are the same folders: the rows go to the shared folder first
         replace_partitions(tile_order(materialize(once, "collapsed"), by), path, (by,))
+        clear(spark, begun)
     return {"partitions": len(touched), "rows_before": sum(r["rows_before"] for r in counts), "rows_after": sum(r["rows_after"] for r in counts)}
 
 

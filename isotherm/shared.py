@@ -35,10 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables written so far, once no result that reads them is needed any more. How many there were."""
+def mark() -> int:
+    """How many tables have been written: clear(since=...) then deletes later ones only."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables written since a mark, but for the last `keep` of them, once nothing that reads them is needed any more. How many there were."""
+    gone = _made[since : len(_made) - keep]
+    _made[since : len(_made) - keep] = []
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isotherm.model import variables
 from isotherm.operators.coverage import hour_masks, merged
 from isotherm.operators.storage import merge_into, partitions_of
-from isotherm.shared import materialize
+from isotherm.shared import clear, mark, materialize
 from isotherm.sources.tables import replace_partitions
 
 #: The column of a batch that orders its rows by their arrival.
@@ -20,12 +20,14 @@ def merge_batch(spark: SparkSession, batch: DataFrame, data: str, index: str) ->
 
     ORDER says which rows came later. The batch is evaluated once; new rows and masks are written before they are merged.
     """
+    begun = mark()
     batch = materialize(batch, "arrived")
     merge_into(spark, data, batch, order=ORDER)
     own = batch.drop(ORDER)
     new = materialize(hour_masks(own, variables(own)), "masks")
     old = partitions_of(spark, index, new)
     replace_partitions(merged(old.select(new.columns), new) if old is not None else new, index)
+    clear(spark, begun)
 
 
 def ingest_new(spark: SparkSession, source: str, schema, data: str, index: str, checkpoint: str):

@@ -277,3 +277,14 @@ def test_index_is_built_when_it_has_to_be(spark, tmp_path):
 def test_years_of_ranges(spark):
     df = spark.createDataFrame([(dt.date(2019, 5, 1), dt.date(2021, 1, 1)), (dt.date(2021, 5, 1), dt.date(2021, 6, 1))], "start date, end date")
     assert sorted(r["year"] for r in requests.years(df).collect()) == [2019, 2020, 2021]
+
+
+def test_written_tables_are_deleted(spark):
+    from isotherm import shared
+
+    begun = shared.mark()
+    a, b = (shared.materialize(spark.range(n), "t") for n in (2, 3))
+    assert shared.clear(spark, begun, keep=1) == 1 and b.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(a.inputFiles()[0]).count()
+    assert shared.clear(spark, begun) == 1 and shared.mark() == begun
