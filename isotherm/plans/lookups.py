@@ -306,11 +306,16 @@ def read_only_statement(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.safe_sql(spark, "WITH e AS (SELECT event_type FROM plain_events) SELECT event_type, count(*) AS n FROM e GROUP BY event_type HAVING count(*) > 5;")
 
 
-@query("SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'int' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'TIMESTAMP' THEN 'datetime' ELSE data_type END AS type FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE SELECT event_id, ts, user_id, event_type, value FROM events)) UNION ALL SELECT column_name, 'int' FROM (DESCRIBE SELECT l_linenumber FROM lineitem)")
+@query("SELECT 'event_id' AS name, 'int' AS type, count(event_id) AS n FROM events UNION ALL SELECT 'ts', 'datetime', count(ts) FROM events UNION ALL SELECT 'user_id', 'int', count(user_id) FROM events UNION ALL SELECT 'event_type', 'str', count(event_type) FROM events UNION ALL SELECT 'value', 'float', count(value) FROM events UNION ALL SELECT 'l_linenumber', 'int', count(l_linenumber) FROM lineitem")
 def view_columns(spark: SparkSession, sf: str) -> DataFrame:
-    read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value").createOrReplaceTempView("described_events")
-    found = [*catalog.view_schema(spark, "described_events"), *catalog.preview(spark, f"SELECT l_linenumber FROM parquet.`{sf}/lineitem.parquet`"), *catalog.view_schema(spark, "nowhere")]
-    return spark.createDataFrame(found, "name string, type string")
+    """Columns of a view and of a statement that is only analysed, with their short types, and how many values each has."""
+    own = read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    own.createOrReplaceTempView("described_events")
+    text = f"SELECT l_linenumber FROM parquet.`{sf}/lineitem.parquet`"
+    types = dict([*catalog.view_schema(spark, "described_events"), *catalog.preview(spark, text), *catalog.view_schema(spark, "nowhere")])
+    n = lambda df: df.agg(F.lit("n").alias("k"), *[F.count(c).alias(c) for c in df.columns]).unpivot(["k"], df.columns, "name", "n")
+    kinds = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return n(own).unionByName(n(catalog.safe_sql(spark, text))).select("name", F.element_at(kinds, F.col("name")).alias("type"), "n")
 
 
 @query(f"""WITH {LATEST_SQL}, {STATION_SQL}, land AS (SELECT * FROM latest WHERE hour_utc % 2 = 0), both_grids AS (SELECT count(CASE WHEN a.temperature_2m IS NOT NULL AND b.temperature_2m IS NOT NULL THEN 1 END) + count(CASE WHEN a.total_precipitation IS NOT NULL AND b.total_precipitation IS NOT NULL THEN 1 END) AS n FROM latest a JOIN land b USING (date, hour_utc, latitude, longitude))
