@@ -14,6 +14,7 @@ import base64
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -98,12 +99,12 @@ class PrefixBPE:
             else:
                 return True
 
-    def last_tokens(self, data: bytes, last: list[int] | None = None, counts: list[int] | None = None) -> tuple[list[int], list[int]]:
+    def last_tokens(self, data: bytes, last: array | None = None, counts: array | None = None) -> tuple[array, array]:
         """For each prefix of a piece its last token and its token count; entry 0 is the empty prefix.
 
         With `last` and `counts` of a shorter prefix of `data` these grow in place: an append.
         """
-        last, counts = ([-1], [0]) if last is None else (last, counts)
+        last, counts = (array("i", [-1]), array("i", [0])) if last is None else (last, counts)
         rank, lengths, pairs = self.ranks.get, self.lengths.get, self.pairs
         for end in range(len(last), len(data) + 1):
             token = None
@@ -128,8 +129,8 @@ class PrefixBPE:
             counts.append(counts[begin] + 1)
         return last, counts
 
-    def ids_back(self, data_len: int, last: list[int]) -> list[int]:
-        out, end = [], data_len
+    def ids_back(self, data_len: int, last: array) -> array:
+        out, end = array("i"), data_len
         while end:
             out.append(last[end])
             end -= len(self.tokens[last[end]])
@@ -139,18 +140,18 @@ class PrefixBPE:
         """Ids of a chunk (counts: its token counts at each of its byte prefixes), by the dynamic programming."""
         got = self.kept.get((data, counts))
         if got is None:
-            out: list[int] = []
+            out, before = [np.empty(0, np.uint32)], 0
             for p in self.find(data.decode("utf-8", "surrogatepass")):
                 piece = p.encode("utf-8", "surrogatepass")
                 last, many = self.last_tokens(piece)
-                if not counts:
-                    out += self.ids_back(len(piece), last)
-                    continue
-                if len(piece) == 3 and p in CONTRACTIONS:
-                    many[2] = 2  # one that is cut is no contraction
-                before = out[-1] if out else 0
-                out += [before + n for n in many[1:]]
-            got = np.array(out, np.uint32)
+                if counts:
+                    if len(piece) == 3 and p in CONTRACTIONS:
+                        many[2] = 2  # one that is cut is no contraction
+                    out.append(np.array(many[1:], np.uint32) + np.uint32(before))
+                    before += many[-1]
+                else:
+                    out.append(np.array(self.ids_back(len(piece), last), np.uint32))
+            got = np.concatenate(out)
             if len(data) <= 64:
                 if len(self.kept) >= CACHE // 4:
                     self.kept.clear()

@@ -57,11 +57,8 @@ class Words:
         word = data.decode("utf-8", "surrogatepass")
         if not unicodedata.is_normalized("NFC", word) or "\u03a3" in word or "<|" in word or not unicodedata.is_normalized("NFC", word.lower()):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
-        out: list[int] = []
-        for p in self.bpe.find(word.lower()):
-            piece = p.encode() + self.END
-            out += self.bpe.ids_back(len(piece), self.bpe.last_tokens(piece)[0])
-        return np.array(out, np.uint32)
+        pieces = [p.encode() + self.END for p in self.bpe.find(word.lower())]
+        return np.concatenate([np.array(self.bpe.ids_back(len(p), self.bpe.last_tokens(p)[0]), np.uint32) for p in pieces] or [np.empty(0, np.uint32)])
 
     def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text (no special tokens added), then `end`."""

@@ -201,13 +201,7 @@ class PieceCoder:
         kind, data = self.classes(raw)
         begin, end, of = self.split(raw, kind)
         size = end - begin
-        if len(self.up) <= len(raw):
-            n = max(len(raw) + 1, WINDOW + (WINDOW >> 2))
-            self.up, self.back = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_VALUE[data] * self.up[: len(raw)], out=sums[1:])
-            h = _mixed((sums[end] - sums[begin]) * self.back[begin] + size.astype(np.uint64) * _MIX[2]) | np.uint64(1)
+        h = self.hashes(data, begin, size)
         hard = (of == HARD) | (size > LONGEST)
         for k in np.flatnonzero(size > LONGEST).tolist():
             h[k] = int.from_bytes(blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little") | 1
@@ -228,6 +222,23 @@ class PieceCoder:
         shift = np.array(shifts, np.int64) - lead[:-1]
         return Window(np.array(names, np.int64)[own], begin + shift[own], end + shift[own], first[back], many[back], self.cache.arena)
 
+    def hashes(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of the pieces' bytes; those of pieces longer than LONGEST mean nothing."""
+        with np.errstate(over="ignore"):
+            if len(data) <= 4 * WINDOW:
+                if len(self.up) <= len(data):
+                    n = max(len(data) + 1, WINDOW + (WINDOW >> 2))
+                    self.up, self.back = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(_VALUE[data] * self.up[: len(data)], out=sums[1:])
+                h = (sums[begin + size] - sums[begin]) * self.back[begin]
+            else:  # a word without end, and few others
+                h, up = np.zeros(len(begin), np.uint64), _powers(_BASE, LONGEST)
+                for k in range(LONGEST):
+                    held = np.flatnonzero(size > k)
+                    h[held] += _VALUE[data[begin[held] + k]] * up[k]
+            return _mixed(h + size.astype(np.uint64) * _MIX[2]) | np.uint64(1)
+
     def values(self, data, begin, size, hard) -> tuple[list, np.ndarray]:
         """(values, how many of each piece) of some pieces at a time, and the pieces' order in them."""
         out, orders, tail = [], [], b"\xff" if self.words else b""
