@@ -224,6 +224,7 @@ def members_of(own: DataFrame, wanted: DataFrame, levels, n: int) -> DataFrame:
     bloom = own.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches):
+        seen = set()  # a task gives each set once, however many documents have it
         for b in batches:
             h, packed, size = [], [], 0
             for t in b.column("text").to_pylist():
@@ -232,8 +233,9 @@ def members_of(own: DataFrame, wanted: DataFrame, levels, n: int) -> DataFrame:
                     continue
                 k = set_hash(s)
                 x = k & (BLOOM - 1)
-                if not int(bloom.value[x >> 6]) >> (x & 63) & 1:
+                if k in seen or not int(bloom.value[x >> 6]) >> (x & 63) & 1:
                     continue
+                seen.add(k)
                 members, level = ordered(s, levels.value)
                 h.append(k)
                 packed.append(pack(members, level))
