@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotherm.shared import materialize, new_path  # noqa: F401  the operators take them from here
+from isotherm.shared import clear, mark, materialize, new_path  # noqa: F401  the operators take them from here
 
 #: Bytes of a batch of rows that goes to a task's Python: several batches of texts are held at once on both sides.
 BATCH_BYTES = 8 << 20
