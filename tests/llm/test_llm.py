@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isotherm.llm import bpe, jaccard, lines, lm, lsh, media, packing, quality, tokens, trie, warc
-from isotherm.llm.components import components
+from isotherm.operators.stars import components
 
 DOCS = "doc_id long, text string, key string, n int, h long, spans string, n_lines string, score double, media binary"
 
@@ -131,6 +131,10 @@ def test_counts_of_a_long_run_without_white_space(unit):
     for k in (1, 17, n, n + 1, 4000):
         assert counts.at(k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
     assert not coder.kept.get((text.encode(), True))
+    # with words around it, and again in a window of its own
+    around = "some words before " * 3 + text * 3 + " and after it's end"
+    [(_, _, ids)] = coder.spread([around])
+    assert ids.tolist() == lib.encode(around, add_special_tokens=False).ids and len(coder.coders[False].up) < 5 << 19
 
 
 def test_pieces_are_the_libraries():
@@ -150,6 +154,7 @@ def test_pieces_are_the_libraries():
     coder = bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     assert [ids.tolist() for _, _, ids in coder.spread(rows)] == [lib.encode_ordinary(t) for t in rows]
+    assert [x.tolist() for x in words.ids(["", "", " "], 1)] == [[1]] * 3 and words.ids([], 1) == [] and [len(x[2]) for x in coder.spread(["", ""])] == [0, 0]
 
 
 def test_encoding_decoding_and_edits(spark, awkward):
@@ -184,11 +189,9 @@ def test_line_dedup_is_brute_force(spark):
     for k, t in rows:
         own = worded(t)
         for s in range(len(own)):
-            e, n = s, 0
-            while e < len(own) and n < 8:
-                n, e = n + len(own[e].split()), e + 1
-            if n >= 8:
-                places.setdefault(tuple(own[s:e]), set()).add((k if k is not None else -1, spark_hash(spark, t), s, e))
+            for e in range(s + 1, len(own) + 1):
+                if sum(len(x.split()) for x in own[s:e]) >= 8:
+                    places.setdefault(tuple(own[s:e]), set()).add((k if k is not None else -1, spark_hash(spark, t), s, e))
     gone: dict = {}
     for found in places.values():
         first = min(found)
@@ -230,6 +233,18 @@ def test_line_dedup_deletes_runs_to_both_ends(spark):
         assert r["n_removed"] == len(cut) and r["text"] == "\n".join(y for i, y in enumerate(x) if i not in cut)
 
 
+def test_repeated_runs_reach_over_the_match_both_ways(spark):
+    """Lines of 45, 10, 10 and 10 words that stood before: no window begins at the last ones, and all four go."""
+    rnd = random.Random(9)
+    line = lambda n: " ".join(rnd.choice("pqrstuv") + rnd.choice("abcdefg") for _ in range(n))
+    same = [line(45), line(10), line(10), line(10)]
+    rows = [(1, "\n".join(["intro", *same, "tail"])), (2, "\n".join(["start", "", *same, "end"])), (3, "\n".join(same * 2)), (4, None), (None, "")]
+    runs = lines.repeated_runs(documents(spark, rows)).collect()
+    assert sorted((r["key"], r["start"], r["end"], r["first_key"], r["first_start"]) for r in runs) == [(2, 1, 5, 1, 1), (3, 0, 4, 1, 1), (3, 4, 8, 1, 1)]
+    out = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.dedup(documents(spark, rows)).collect()}
+    assert out[2] == (4, "start\n\nend") and out[3] == (8, "") and out[1][0] == 0 and out[4] == (0, None) and out[None] == (0, "")
+
+
 _hashes: dict = {}
 
 
@@ -290,6 +305,8 @@ def test_warc(spark, tmp_path):
         data = (html or "").encode()
         assert (out[k]["payload_bytes"], out[k]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
     assert {k: r["refers_to"] for k, r in out.items() if r["record_type"] == "revisit"} == {3: 1, 2: 1, None: 1}
+    named = pages.withColumn("page_id", F.when(F.col("page_id") == 3, "None").when(F.col("page_id") == 2, "a b>\n+%").when(F.col("page_id") == 4, "").otherwise(F.col("page_id").cast("string")))
+    assert sorted(map(str, (r[0] for r in warc.round_trip(named).select("page_id").collect()))) == sorted(map(str, (r[0] for r in named.select("page_id").collect())))
     files = warc.write_archives(pages, folder=f"file://{tmp_path}/w")
     read = warc.read_archives(spark, files, payloads=True)
     assert sorted((bytes(r["payload"]) for r in read.where("record_type = 'response'").collect()), key=len)[-1] == b"x" * 400_000
@@ -433,6 +450,66 @@ def test_pseudo_likelihood(spark, awkward):
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_scores_are_brute_force(spark, awkward, monkeypatch):
+    """The same network, but words counted in a dictionary of the corpus, and probabilities in loops."""
+    monkeypatch.setattr(lm, "COMMON", 3)
+    from isotherm.llm.common import key_text
+
+    docs, words = lm.encoded(key_text(awkward.repartition(3), "doc_id", "text"))
+    net = lm.train(docs, words)
+    out = lm.score(docs, net).collect()
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower() if t.isascii() else t.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+    rows = [(k, split(t)) for k, t in everything(awkward)]
+    counts: dict = {}
+    for _, ws in rows:
+        for w in ws:
+            counts[w] = counts.get(w, 0) + 1
+    hashes = {w: int(jaccard.word_hashes(w.decode()).view(np.int64)[0]) for w in counts}
+    top = sorted((w for w in counts if counts[w] >= 3), key=lambda w: (-counts[w], hashes[w]))[: lm.VOCABULARY - lm.RARE]
+    name, mass = {w: k for k, w in enumerate(top)}, [0] * lm.RARE
+    for w, n in counts.items():
+        if w not in name:
+            mass[int(lm.level(np.array([n]))[0])] += n
+    assert mass == words.mass.tolist()
+    want = []
+    for k, ws in rows:
+        ids, extra = [], 0.0
+        for w in ws:
+            rest = counts[w] - ws.count(w)
+            kind = int(lm.level(np.array([rest]))[0])
+            ids.append(name.get(w, lm.VOCABULARY - lm.RARE + kind))
+            extra += 0.0 if w in name else np.log(rest / max(mass[kind], rest)) if rest else -lm.SPELLED * len(w)
+        total = extra
+        if k in (8, 9, 11, 20) or not ws:
+            line = [lm.VOCABULARY] * 2 + ids + [lm.VOCABULARY] * 2
+            for p, w in enumerate(ids):
+                h = np.append(np.tanh(net.bias + sum(net.near[j][line[p + q]] for j, q in enumerate((0, 1, 3, 4)))), 1.0)
+                softmax = lambda x: np.exp(x) / np.exp(x).sum()
+                total += np.log(softmax(h @ net.classes)[w % lm.CLASSES]) + np.log(softmax(h @ net.words[w % lm.CLASSES])[w // lm.CLASSES])
+            want.append((k, len(ws), total))
+    got = {r["key"]: r for r in out}
+    assert len(out) == len(rows)
+    for k, n, total in want:
+        assert got[k]["n_words"] == n and abs(got[k]["log_probability"] - total) < 1e-3 * max(1, n)
+
+
+def test_words_that_occur_elsewhere_score_higher(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    texts = [" ".join(word() if rnd.random() < 0.3 else rnd.choice(["the", "of", "and", "to"]) for _ in range(80)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, texts[k]) for k in range(6)]
+    means = {r["doc_id"]: r["mean"] for r in lm.pseudo_likelihood(documents(spark, rows)).collect()}
+    twice = [means[k] for k in [*range(6), *range(100, 106)]]
+    assert min(twice) > max(means[k] for k in range(6, 60)) and means[0] == means[100]
+
+
+def test_numbers_in_seven_bits():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.integers(0, 1 << b, 300) for b in (3, 8, 15, 27)] + [np.array([0, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21])])
+    many = np.array([0, 500, 0, 700, len(x) - 1200, 0])
+    assert [lm.unpacked(d).tolist() for d in lm.packed(x, many)] == [p.tolist() for p in np.split(x, np.cumsum(many)[:-1])]
+
+
 def test_network_learns_and_is_a_distribution():
     rng = np.random.default_rng(0)
     net = lm.Network.new(np.ones(lm.VOCABULARY))
@@ -458,6 +535,178 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "packing"]
 
 
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, key string, th long, h long, kind int"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Some documents of the test tables, and awkward rows, as tables of their own; columns whose names clash beside them."""
+    folder, rnd = tmp_path_factory.mktemp("corpus"), random.Random(3)
+    base = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{base}/documents.parquet").collect() if len(r["text"] or "") < 6000]
+    some = [t for _, t in rows if len(t or "") > 900][:6]
+    rows += [(9001, None), (9002, ""), (9003, "  \n "), (None, some[0]), (None, None), (rows[0][0], rows[0][1]), (rows[1][0], some[1] + "\nmore"), (9004, "\n".join(some[2:5])), (9005, some[5]), (9006, some[5] + " z"), (9005, some[5])]
+    rnd.shuffle(rows)
+    spark.createDataFrame([(k, t, "en", "web", len(t or ""), "x", 1, 2, 3) for k, t in rows], PIPELINE).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{base}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_is_brute_force(spark, corpus):
+    """Each stage on what its predecessor kept, against loops; and run() against the last of them."""
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    order = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+    # quality: the same model, each text by itself
+    labels = spark.read.parquet(f"{corpus}/labels.parquet").where(~quality.held_out())
+    model = quality.train(docs, labels)
+    now = [r for r in docs.collect() if model.score(np.array([quality.statistics(r["text"] or "")]))[0] >= pipeline.LEAST_QUALITY]
+    kept = pipeline.quality_stage(spark, docs, corpus)
+    assert tuple(kept.columns) == pipeline.COLUMNS and order(kept.collect()) == order(now) and 20 < len(now) < docs.count()
+    # lines: all shortest windows of 50 words from each line on and up to each line
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    ident = {(r["doc_id"], r["text"]): ((r["doc_id"] is not None, r["doc_id"] or 0), spark_hash(spark, r["text"])) for r in now}
+    places: dict = {}
+    for (_, t), name in ident.items():
+        own = [x.strip() for x in (t or "").split("\n") if x.split()]
+        for s, e in lines.shortest_runs([len(x.split()) for x in own], 50):
+            places.setdefault(tuple(own[s:e]), []).append((name, s, e))
+    gone: dict = {}
+    for found in places.values():
+        first = min(found)
+        for name, s, e in found:
+            if (name, s) != first[:2] and (name != first[0] or s >= first[2]):
+                gone.setdefault(name, set()).update(range(s, e))
+    want = []
+    for r in now:
+        cut, k, out = gone.get(ident[r["doc_id"], r["text"]], set()), 0, []
+        for x in (r["text"] or "").split("\n"):
+            if not (x.split() and k in cut):
+                out.append(x)
+            k += bool(x.split())
+        if not cut or len(cut) < k:
+            want.append({"doc_id": r["doc_id"], "text": "\n".join(out) if r["text"] is not None else None})
+    after = pipeline.line_stage(spark, kept, corpus)
+    assert tuple(after.columns) == pipeline.COLUMNS and order(after.collect()) == order(want) and len(want) < len(now)
+    # near duplicates: one row of each group of links
+    after = spark.createDataFrame(after.collect(), after.schema)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (re.findall("[^ \t-\r]+", (r["text"] or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))) for r in want)]
+    groups = trie.Groups(range(len(want)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (want[i]["doc_id"], want[i]["text"] or "") == (want[j]["doc_id"], want[j]["text"] or "") or (a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j])):
+                groups.join(i, j)
+    names: dict = {}
+    for i, r in enumerate(want):
+        names.setdefault(groups.find(i), []).append((r["doc_id"] is None, r["doc_id"] or 0, spark_hash(spark, r["text"])))
+    one = pipeline.near_duplicate_stage(spark, after, corpus).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, spark_hash(spark, r["text"])) for r in one) == sorted(min(v) for v in names.values()) and len(one) < len(want)
+    # packing: every id of what is left, once
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = sorted((str(r["doc_id"]), len(lib.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in one)
+    pieces = pipeline.run(spark, corpus).collect()
+    assert sum(r["length"] for r in pieces) == sum(n for _, n in ids)
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in pieces if r["start"] == 0) == ids
+
+
+def test_stages_on_awkward_tables(spark, corpus, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0
+    none = spark.createDataFrame([(k, None, None, None, None, "x", 1, 2, 3) for k in (1, 1, None)], PIPELINE)
+    assert pipeline.line_stage(spark, none, corpus).count() == 3
+    assert sorted(str(r["doc_id"]) for r in pipeline.near_duplicate_stage(spark, none, corpus).collect()) == ["1", "None"]
+    assert [r["length"] for r in pipeline.packing_stage(spark, none, corpus).collect()] == [1, 1, 1]
+    spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_bm25_is_brute_force():
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 40, rng.integers(3, 60)).astype("<u4") for _ in range(80)]
+    idf, mean = rng.random(40), float(np.mean([len(x) for x in ids]))
+
+    def score(seed, other):
+        out = 0.0
+        for t in set(ids[seed].tolist()):
+            tf = ids[other].tolist().count(t)
+            out += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ids[other]) / mean))
+        return out
+
+    shard = packing.Shard(ids, idf, mean)
+    for seed in (0, 7, 79):
+        assert np.allclose(shard.scores(seed), [score(seed, k) for k in range(len(ids))], rtol=1e-5)
+    # greedy filling: the best unused neighbour first, what is cut off is the next seed
+    free, left, seed, want, room = set(range(80)), [len(x) for x in ids], None, [], 0
+    while free or seed is not None:
+        seed = min(free) if seed is None else seed
+        free.discard(seed)
+        s = shard.scores(seed)
+        queue, room, rest = [seed, *sorted(free, key=lambda k: (-s[k], k))], 128, None
+        for k in queue:
+            if not room:
+                break
+            free.discard(k)
+            n = min(room, left[k])
+            want.append((k, n))
+            left[k], room = left[k] - n, room - n
+            rest = k if left[k] else None
+        seed = rest
+    assert [(k, b - a) for _, _, k, a, b in packing.fill(ids, idf, mean, 128)] == want
+
+
+def test_trees_are_brute_force():
+    rng = np.random.default_rng(4)
+    x, noise = rng.normal(size=(600, 5)), rng.normal(size=600)
+    x[:, 3] = rng.integers(0, 4, 600)
+    y = ((x[:, 1] + 0.4 * noise > 0.2) ^ (x[:, 3] > 2)).astype(float)
+    model = quality.fit(x, y, trees=6, depth=3)
+
+    def walk(row, node):
+        while model.left[node] != node:
+            node = model.left[node] if row[model.feature[node]] <= model.limit[node] else model.right[node]
+        return model.value[node]
+
+    want = [1 / (1 + np.exp(-(model.base + sum(walk(row, r) for r in model.roots)))) for row in x[:80]]
+    assert np.allclose(model.score(x[:80]), want, atol=1e-8)
+    # the first split is the best of all at the bins' edges
+    p = y.mean() * 600 / 601 + 0.5 / 601
+    g, h = y - p, np.full(600, p * (1 - p))
+    best = max(
+        (g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1), -f, -e)
+        for f in range(5) for e in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for low in [x[:, f] <= e] if min(low.sum(), (~low).sum()) >= 8
+    )
+    root = model.roots[0]
+    low = x[:, model.feature[root]] <= model.limit[root]
+    assert abs(g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1) - best[0]) < 1e-6
+
+
+def test_shots_are_brute_force():
+    rng = np.random.default_rng(7)
+    owner = np.repeat(np.arange(4), [1, 30, 2, 40])
+    level = np.cumsum(rng.random(len(owner)) < 0.12) * 37 % 200
+    frames = (level[:, None] + rng.integers(0, rng.integers(2, 50), (len(owner), 576))).astype(np.uint8)
+    d, new = media.shots(frames, owner)
+    hist = [[sum(int(v) >> 3 == b for v in f) / 576 for b in range(32)] for f in frames]
+    seen: list = []
+    for k in range(len(owner)):
+        if k == 0 or owner[k] != owner[k - 1]:
+            assert new[k]
+            seen = []
+            continue
+        x = round(sum(abs(a - b) for a, b in zip(hist[k], hist[k - 1], strict=True)) / 2, 6)
+        last = seen[-12:][-(12 if len(seen) >= 12 else len(seen)) :] if seen else []
+        last = last[1:] if len(seen) >= 12 else last
+        mean = sum(last) / len(last) if last else 0
+        var = max(0, sum(v * v for v in last) / len(last) - mean * mean) if last else 0
+        assert abs(d[k] - x) < 1e-6 and new[k] == ((x > mean + 3 * var**0.5 and x > 0.08) if last else x > 0.5)
+        seen.append(x)
+
+
 def test_near_duplicate_stage_keeps_one_row_a_group(spark):
     import corpus_pipeline
 
