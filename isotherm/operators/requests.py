@@ -165,10 +165,11 @@ def cell_components(cells: DataFrame, group: list[str]) -> DataFrame:
     the links are made by alternating stars, so long chains take a logarithmic number of rounds.
     """
     from isotherm.operators.stars import components
+    from isotherm.shared import materialize
 
     row = Window.partitionBy(*group, "i").orderBy("j")
     marked = cells.select(*group, "i", "j").distinct().withColumn("island", F.col("j") - F.row_number().over(row))
-    named = marked.withColumn("run", F.xxhash64(*group, "i", "island"))
+    named = materialize(marked.withColumn("run", F.xxhash64(*group, "i", "island")), "cells")  # read for both sides of the links, and at the end
     runs = named.groupBy(*group, "i", "run").agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
     a, b = runs.alias("a"), runs.withColumn("i", F.col("i") - 1).alias("b")
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col("a.i") == F.col("b.i"), F.col("a.j0") <= F.col("b.j1"), F.col("b.j0") <= F.col("a.j1")]
