@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BOX = ("north", "west", "south", "east")
+
+
 def axis(low: Column, high: Column, resolution: float, align: str = "node") -> Column:
     """Values from low to high: nodes (multiples of the resolution), or centres of cells."""
     first = F.lit(resolution / 2) if align == "center" else F.lit(0.0)
@@ -39,8 +42,10 @@ def months(requests: DataFrame) -> DataFrame:
     return days.groupBy("request_id", F.year("day").alias("year"), F.month("day").alias("month")).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"))
 
 
-def grid_points(resolution: float) -> Column:
-    side = lambda a, b: F.ceil(F.round((F.col(a) - F.col(b)) / resolution, 9)) + 1
+def grid_points(resolution: float, box: dict[str, Column] | None = None) -> Column:
+    """Nodes of a row's box, or of one that is given."""
+    at = box or {c: F.col(c) for c in BOX}
+    side = lambda a, b: F.ceil(F.round((at[a] - at[b]) / resolution, 9)) + 1
     return side("north", "south") * side("east", "west")
 
 
@@ -79,17 +84,36 @@ def splits_needed(ratio: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(F.round(ratio * 1.2, 9)))
 
 
+def division(tall: Column, wide: Column, parts: Column) -> Column:
+    """Struct (ny, nx) of rows and columns with at least so many cells: the side whose pieces are longer, or the height of equal ones, gets one more until that is so."""
+    start = F.struct(F.lit(1).alias("ny"), F.lit(1).alias("nx"))
+
+    def more(s: Column) -> Column:
+        higher = tall / s["ny"] >= wide / s["nx"]
+        return F.struct((s["ny"] + higher.cast("int")).alias("ny"), (s["nx"] + (~higher).cast("int")).alias("nx"))
+
+    return F.aggregate(F.sequence(F.lit(1), parts.cast("int")), start, lambda s, _: F.when(s["ny"] * s["nx"] < parts, more(s)).otherwise(s))
+
+
+def tiles(box: dict[str, Column], parts: Column) -> Column:
+    """Array of the boxes that a box is divided into, from north to south and west to east; edges to six decimals."""
+    tall, wide = box["north"] - box["south"], box["east"] - box["west"]
+    cells = division(tall, wide, parts)
+
+    def tile(d: Column) -> Column:
+        y, x = tall / d["ny"], wide / d["nx"]
+        return F.flatten(F.transform(F.sequence(F.lit(0), d["ny"] - 1), lambda i: F.transform(F.sequence(F.lit(0), d["nx"] - 1), lambda j: F.struct(
+            F.round(box["north"] - y * i, 6).alias("north"), F.round(box["west"] + x * j, 6).alias("west"), F.round(box["north"] - y * (i + 1), 6).alias("south"), F.round(box["west"] + x * (j + 1), 6).alias("east")))))
+
+    # the division is made once: a lambda over an array with it alone
+    return F.flatten(F.transform(F.array(cells), tile))
+
+
 def split_area(boxes: DataFrame, parts: Column | int) -> DataFrame:
     """Boxes in at least so many parts, the longer side cut first; edges to six decimals."""
     n = F.lit(parts) if isinstance(parts, int) else parts
-    tall, wide = F.col("north") - F.col("south"), F.col("east") - F.col("west")
-    longer = F.ceil(F.sqrt(n.cast("double")))
-    shorter = F.ceil(n / longer)
-    out = boxes.withColumns({"ny": F.when(tall >= wide, longer).otherwise(shorter).cast("int"), "nx": F.when(tall >= wide, shorter).otherwise(longer).cast("int")})
-    out = out.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
-    y, x = tall / F.col("ny"), wide / F.col("nx")
-    edges = {"north": F.round(F.col("south") + y * (F.col("y") + 1), 6), "south": F.round(F.col("south") + y * F.col("y"), 6), "west": F.round(F.col("west") + x * F.col("x"), 6), "east": F.round(F.col("west") + x * (F.col("x") + 1), 6)}
-    return out.withColumns(edges).drop("ny", "nx", "x", "y").distinct()
+    out = boxes.withColumn("__tile", F.explode(tiles({c: F.col(c) for c in BOX}, n)))
+    return out.withColumns({c: F.col(f"__tile.{c}") for c in BOX}).drop("__tile")
 
 
 # --- rectangles -----------------------------------------------------------------------------------------------
@@ -184,15 +208,31 @@ def component_boxes(labelled: DataFrame, group: list[str], resolution: float) ->
     return box.select(*group, "component", edge("i1", 0.5).alias("north"), edge("j0", -0.5).alias("west"), edge("i0", -0.5).alias("south"), edge("j1", 0.5).alias("east"), "n_cells")
 
 
-def missing_chunks(missing: DataFrame, resolution: float) -> DataFrame:
-    """coverage.diff() rows -> a chunk for each month, variable and connected region: box, days, mask of hours."""
+def missing_regions(missing: DataFrame, resolution: float) -> tuple[DataFrame, DataFrame]:
+    """coverage.diff() rows -> cells (year, month, variable, i, j, component, day, missing_mask), and each connected region's box."""
     from isotherm.functions.columns import cell_index
 
     group = ["year", "month", "variable"]
     cells = missing.select(F.year("date").alias("year"), F.month("date").alias("month"), "variable", cell_index("latitude", resolution).alias("i"), cell_index("longitude", resolution).alias("j"), F.dayofmonth("date").alias("day"), "missing_mask")
     labelled = cell_components(cells, group)
-    days = cells.join(labelled, [*group, "i", "j"]).groupBy(*group, "component").agg(F.sort_array(F.collect_set("day")).alias("days"), F.bit_or("missing_mask").alias("hours_mask"))
-    return component_boxes(labelled, group, resolution).join(days, [*group, "component"])
+    return cells.join(labelled, [*group, "i", "j"]), component_boxes(labelled, group, resolution)
+
+
+def missing_chunks(missing: DataFrame, resolution: float) -> DataFrame:
+    """coverage.diff() rows -> a chunk for each month, variable and connected region: box, days, mask of hours."""
+    key = ["year", "month", "variable", "component"]
+    cells, regions = missing_regions(missing, resolution)
+    days = cells.groupBy(*key).agg(F.sort_array(F.collect_set("day")).alias("days"), F.bit_or("missing_mask").alias("hours_mask"))
+    return regions.join(days, key)
+
+
+def missing_days(missing: DataFrame, resolution: float) -> DataFrame:
+    """missing_chunks() whose days have their own hours: an array of (day, mask), at most a month long."""
+    key = ["year", "month", "variable", "component"]
+    cells, regions = missing_regions(missing, resolution)
+    each = cells.groupBy(*key, "day").agg(F.bit_or("missing_mask").alias("mask"))
+    days = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("day", "mask"))).alias("days"))
+    return regions.join(days, key)
 
 
 def diff_preview(requested: DataFrame, missing: DataFrame, total_bytes: int = 0) -> DataFrame:
