@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.operators.numbering import numbered
+from isotherm.operators.quantiles import quantiles
 from isotherm.sources.tables import scan_if_there
 
 
@@ -31,8 +32,10 @@ def cached(spark, cache_dir: str, key: str, sources: list[DataFrame], make) -> D
 
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
     """A row for each numeric column: values, mean, sample deviation, least, quartiles (linear between values), most."""
-    cols = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *[F.percentile(c, q).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)], F.max(c).cast("double").alias("max")) for c in names]
-    return df.agg(F.array(*cols).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    cols = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in names]
+    rows = df.agg(F.array(*cols).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    quarters = quantiles(df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "feature", "value"), ["feature"], "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n")
+    return rows.join(quarters, "feature", "left").select("feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def gate(df: DataFrame, required: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.columns import bucket, cell_index, convert, timestamp
 from isotherm.model import Dataset
+from isotherm.operators.quantiles import quantiles
 
 LEVELS = ("raw", "hour", "day", "month")
 AGGREGATES = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
@@ -96,8 +97,11 @@ def statistics(points: DataFrame, group: list[str], y: str = "y") -> DataFrame:
     v = F.col(y)
     own = points.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     one = lambda f: F.when(F.count(y) == 1, F.lit(0.0)).otherwise(f(y))
-    iqr = F.percentile(y, 0.75) - F.percentile(y, 0.25)
-    return own.groupBy(*group).agg(F.count(y).alias("n"), F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), one(F.var_samp).alias("var"), one(F.stddev_samp).alias("std"), iqr.alias("iqr"))
+    out = own.groupBy(*group).agg(F.count(y).alias("n"), F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), one(F.var_samp).alias("var"), one(F.stddev_samp).alias("std"))
+    quarters = quantiles(own, group, y, [0.25, 0.75], ["__low", "__high"]).drop("n")
+    quarters = quarters.withColumnsRenamed({g: f"__{g}" for g in group})
+    both = out.join(quarters, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group] or F.lit(True), "left")  # without a group one row each
+    return both.select(*group, "n", "min", "max", "mean", "var", "std", (F.col("__high") - F.col("__low")).alias("iqr"))
 
 
 def metadata(df: DataFrame, reserved: tuple[str, ...], dataset: Dataset | None = None) -> DataFrame:
