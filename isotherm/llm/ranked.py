@@ -23,7 +23,7 @@ TOP, SATURATION, LENGTH_SHARE = 10, 8, 75
 #: Rows of (item, term) of a batch of items: they, and the terms' numbers, are what tasks get of the query set at once.
 QUERY_ROWS = 8192
 #: Documents of a block on average, documents of a shard at most, cells (documents x terms) of a shard at most, and numbers of a sketch.
-BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 24, 48
+BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 23, 48
 #: An impact's unit in summaries: a byte holds the largest one, a million.
 UNIT = 4096
 
@@ -120,11 +120,11 @@ class Shard:
         bound[self.doc, self.terms] = -(-impact // UNIT)
         signs = np.random.default_rng(3).choice(np.array([-1, 1], np.float32), (self.width, SKETCH))
         signs *= weight[:, None].astype(np.float32)
-        sketch = bound.astype(np.float32) @ signs
+        sketch = np.concatenate([bound[k : k + 256].astype(np.float32) @ signs for k in range(0, len(bound), 256)])
         sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
         order = np.argsort(self.terms, kind="stable")
         docs, begin = self.doc[order], np.searchsorted(self.terms[order], np.arange(self.width + 1))
-        block_term, block_docs, block_many, summaries = [], [], [], []
+        block_term, block_docs, block_many = [], [], []
         for t in np.flatnonzero(np.diff(begin)).tolist():
             own = docs[begin[t] : begin[t + 1]]
             cuts = np.zeros(1, np.int64)
@@ -139,11 +139,13 @@ class Shard:
             block_term += [t] * len(cuts)
             block_docs.append(own)
             block_many.append(np.diff(np.append(cuts, len(own))))
-            summaries.append(np.maximum.reduceat(bound[own], cuts, axis=0))
         none = np.empty(0, np.int32)
         self.block_term, self.block_docs = np.array(block_term, np.int32), np.concatenate([none, *block_docs])
         self.block_many = np.concatenate([none, *block_many]).astype(np.int32)
-        self.summary = np.concatenate([np.empty((0, self.width), np.uint8), *summaries])
+        self.summary = np.empty((len(block_term), self.width), np.uint8)
+        at = np.cumsum(self.block_many) - self.block_many
+        for b, (begin, many) in enumerate(zip(at.tolist(), self.block_many.tolist(), strict=True)):
+            bound[self.block_docs[begin : begin + many]].max(axis=0, out=self.summary[b])
         return self
 
     ARRAYS = (("m", "<i8"), ("counts", "<i4"), ("terms", "<i4"), ("tf", "<i4"), ("block_term", "<i4"), ("block_docs", "<i4"), ("block_many", "<i4"), ("summary", "u1"))
