@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+#: Tables that have been written: a number that grows, the thread that asked for them, and the path.
+_made: list[tuple[int, int, str]] = []
+_numbers, _lock = itertools.count(1), threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,28 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to; clear() deletes what is written there."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _lock:
+        _made.append((next(_numbers), threading.get_ident(), path))
+    return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the plan behind it is cut, and lost executors lose nothing."""
+def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write a table to the shared folder and read it back: the plan behind it is cut, and lost executors lose nothing. options: the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables have been written: clear(since=...) then deletes later ones only."""
-    return len(_made)
+    """A number that all tables written from now on are above: clear(since=...) then deletes later ones only."""
+    with _lock:
+        return next(_numbers)
 
 
 def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Delete the tables written since a mark, but for the last `keep` of them, once nothing that reads them is needed any more. How many there were."""
-    gone = _made[since : len(_made) - keep]
-    _made[since : len(_made) - keep] = []
+    """Delete the tables that this thread has written since a mark, but for the last `keep` of them, once nothing that reads them is needed any more. How many there were.
+
+    What other threads have written stays, say that of another query or of a stream's batch; without a mark all go.
+    """
+    with _lock:
+        own = [t for t in _made if t[0] > since and (not since or t[1] == threading.get_ident())]
+        gone = own[: len(own) - keep]
+        for t in gone:
+            _made.remove(t)
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for name in gone:
+    for _, _, name in gone:
         path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
