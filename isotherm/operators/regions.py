@@ -2,31 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotherm.shared import materialize
 
-def membership(nodes: DataFrame, vertices: DataFrame, margin: float = 0.5) -> DataFrame:
-    """nodes (dataset, latitude, longitude) within the polygons of vertices (region, ring, n, lat, lon), rings closed by themselves.
 
-    Edges are few rows; each node meets those of the regions whose box, with a margin, holds it and whose latitudes span
-    it, and is inside if a ray crosses an odd number of them. All rings of a region count together: holes are rings.
-    """
-    from pyspark.sql import Window
+#: Degrees of a cell's side, from the coarsest to the finest; each is a whole multiple of the next.
+SIZES = (4.0, 1.0, 0.25, 0.0625)
+#: Edges that pass a cell by less than this count as touching it.
+TOUCH = 1e-9
+
 
+def edges_of(vertices: DataFrame) -> DataFrame:
+    """The edges (region, y0, x0, y1, x1) of vertices (region, ring, n, lat, lon), rings closed by themselves."""
     ring = Window.partitionBy("region", "ring").orderBy("n")
     all_ring = Window.partitionBy("region", "ring")
     nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.min_by(c, "n").over(all_ring))
-    edges = vertices.select("region", F.col("lat").alias("y0"), F.col("lon").alias("x0"), nxt("lat").alias("y1"), nxt("lon").alias("x1")).where("y0 <> y1")
-    box = vertices.groupBy("region").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    return vertices.select("region", F.col("lat").cast("double").alias("y0"), F.col("lon").cast("double").alias("x0"), nxt("lat").cast("double").alias("y1"), nxt("lon").cast("double").alias("x1"))
+
+
+def crossing(y: Column) -> Column:
+    """The longitude where an edge crosses a latitude that it spans."""
+    return (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+
+
+def spans(y: Column) -> Column:
+    return (F.col("y0") > y) != (F.col("y1") > y)
+
+
+def by_rows(edges: DataFrame, size: float) -> DataFrame:
+    """Edges once for each row i of cells that they touch."""
+    low, high = F.least("y0", "y1") - TOUCH, F.greatest("y0", "y1") + TOUCH
+    return edges.withColumn("i", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+
+
+def touched(edges: DataFrame, size: float) -> DataFrame:
+    """Cells (region, i, j) that an edge passes through: in each row of cells the part of the edge within it."""
+    level = F.col("y0") == F.col("y1")
+    ends = [F.greatest(F.least("y0", "y1"), F.col("i") * size), F.least(F.greatest("y0", "y1"), (F.col("i") + 1) * size)]
+    a, b = (F.when(level, F.col(x)).otherwise(crossing(y)) for x, y in zip(("x0", "x1"), ends, strict=True))
+    least, most = F.least(F.col("a"), F.col("b")) - TOUCH, F.greatest(F.col("a"), F.col("b")) + TOUCH
+    cells = by_rows(edges, size).select("region", "i", a.alias("a"), b.alias("b"))
+    return cells.select("region", "i", F.explode(F.sequence(F.floor(least / size), F.floor(most / size))).alias("j")).distinct()
+
+
+def cover(vertices: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
+    """The cells (region, level, i, j, inside) that cover regions: those wholly inside, as large as can be, and of the finest size those that an edge passes through.
+
+    At each level the cells of the border are split; of the others those stay whose middle is inside: along the middle
+    line of a row of cells, edges and cells are put in order once, and the edges to a cell's right are counted.
+    """
+    edges = materialize(edges_of(vertices), "edges")
+    box = edges.groupBy("region").agg(*[f(c).alias(n) for n, f, c in (("s", F.min, "y0"), ("n", F.max, "y0"), ("w", F.min, "x0"), ("e", F.max, "x0"))])
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / sizes[0]), F.floor(F.col(b) / sizes[0])))
+    asked = box.withColumn("i", span("s", "n")).withColumn("j", span("w", "e")).select("region", "i", "j")
+    out = None
+    for level, size in enumerate(sizes):
+        border = touched(edges, size).withColumn("border", F.lit(True))
+        both = asked.join(border, ["region", "i", "j"], "left").withColumn("border", F.coalesce("border", F.lit(False)))
+        middle = (F.col("i") + 0.5) * size
+        crossed = by_rows(edges, size).where("y0 <> y1").where(spans(middle)).select("region", "i", F.lit(None).cast("long").alias("j"), F.lit(False).alias("border"), crossing(middle).alias("x"), F.lit(1).alias("edge"))
+        cells = both.withColumns({"x": (F.col("j") + 0.5) * size, "edge": F.lit(0)})
+        right = F.sum("edge").over(Window.partitionBy("region", "i").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, 0))
+        known = cells.unionByName(crossed).withColumn("inside", ~F.col("border") & (right % 2 == 1)).where("edge = 0 and (border or inside)")
+        known = materialize(known.select("region", F.lit(level).alias("level"), "i", "j", "inside"), "cover")
+        last = level == len(sizes) - 1
+        kept = known if last else known.where("inside")
+        out = kept if out is None else out.unionByName(kept)
+        if not last:
+            times = round(size / sizes[level + 1])
+            part = lambda c: F.explode(F.sequence(F.col(c) * times, F.col(c) * times + times - 1))  # noqa: B023, E731
+            asked = known.where("not inside").select("region", part("i").alias("i"), "j").select("region", "i", part("j").alias("j"))
+    return out
+
+
+def candidates(nodes: DataFrame, covered: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
+    """Nodes with the region of each covering cell that they lie in, and whether it is wholly inside. A node has one cell of each size."""
+    y, x = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+    each = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(y / size).alias("i"), F.floor(x / size).alias("j")) for level, size in enumerate(sizes)])
+    placed = nodes.withColumn("__c", F.explode(each)).select("dataset", "latitude", "longitude", "__c.level", "__c.i", "__c.j")
+    return placed.join(covered, ["level", "i", "j"]).select("dataset", "region", "latitude", "longitude", "i", "inside")
+
+
+def membership(nodes: DataFrame, vertices: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
+    """Distinct nodes (dataset, latitude, longitude) within the polygons of vertices (region, ring, n, lat, lon), rings closed by themselves.
+
+    Nodes in cells wholly inside a region are taken unseen. A node in a cell of the border meets the region's edges in
+    its row of the finest cells only, and is inside if a ray crosses an odd number of them. All rings of a region count
+    together: holes are rings.
+    """
+    found = candidates(nodes.select("dataset", "latitude", "longitude").distinct(), cover(vertices, sizes), sizes)
     y, x = F.col("latitude").cast("double"), F.col("longitude").cast("double")
-    # a node meets an edge only in the whole degree of latitude that both are in
-    spans = edges.join(box, "region").withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1")), F.floor(F.greatest("y0", "y1")))))
-    near = (x >= F.col("w") - margin) & (x <= F.col("e") + margin) & (y >= F.col("s") - margin) & (y <= F.col("n") + margin)
-    met = nodes.withColumn("band", F.floor(y)).join(spans, "band").where(near & ((F.col("y0") > y) != (F.col("y1") > y)))
-    crossed = x < (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
-    odd = met.where(crossed).groupBy("dataset", "region", "latitude", "longitude").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    return odd.select("dataset", "region", "latitude", "longitude")
+    edges = by_rows(edges_of(vertices), sizes[-1]).where("y0 <> y1")
+    met = found.where("not inside").join(edges, ["region", "i"]).where(spans(y) & (x < crossing(y)))
+    node = ["dataset", "region", "latitude", "longitude"]
+    odd = met.groupBy(*node).agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    return found.where("inside").select(*node).unionByName(odd.select(*node))
 
 
 def keep_set(members: DataFrame, dataset: str, regions: list[str]) -> DataFrame:
