@@ -44,16 +44,16 @@ def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
 def mark() -> int:
     """A number that all tables written from now on are above: clear(since=...) then deletes later ones only."""
     with _lock:
-        return next(_numbers)
+        return max((t[0] for t in _made), default=0)
 
 
-def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+def clear(spark: SparkSession, since: int | None = None, keep: int = 0) -> int:
     """Delete the tables that this thread has written since a mark, but for the last `keep` of them, once nothing that reads them is needed any more. How many there were.
 
     What other threads have written stays, say that of another query or of a stream's batch; without a mark all go.
     """
     with _lock:
-        own = [t for t in _made if t[0] > since and (not since or t[1] == threading.get_ident())]
+        own = [t for t in _made if since is None or t[0] > since and t[1] == threading.get_ident()]
         gone = own[: len(own) - keep]
         for t in gone:
             _made.remove(t)
