@@ -23,7 +23,9 @@ TOP, SATURATION, LENGTH_SHARE = 10, 8, 75
 #: Rows of (item, term) of a batch of items: they, and the terms' numbers, are what tasks get of the query set at once.
 QUERY_ROWS = 8192
 #: Documents of a block on average, documents of a shard at most, cells (documents x terms) of a shard at most, and numbers of a sketch.
-BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 23, 48
+BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 22, 48
+#: Rows of an index are some megabytes: so many bytes of them are written and read at once.
+SMALL_GROUPS = {"parquet.block.size": 16 << 20}
 #: An impact's unit in summaries: a byte holds the largest one, a million.
 UNIT = 4096
 
@@ -287,7 +289,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
             own[0].append(t)
             own[1].append(r["n"] * int(weight[t]))
         queries = [(k, np.array(t), np.array(w, np.int64)) for k, (t, w) in terms.items()]
-        out.append(best_of(materialize(build(rows, weight, n, total), "index"), queries, len(words), top))
+        out.append(best_of(materialize(build(rows, weight, n, total), "index", **SMALL_GROUPS), queries, len(words), top))
     if not out:
         found = key_text(docs, key, text).limit(0).select(F.lit(0).cast("long").alias("item"), "key", F.lit(0).cast("long").alias("score"))
     else:

@@ -79,6 +79,7 @@ class Vocabulary:
 
     #: Bits of a hash that choose a place in the table.
     BITS = 16
+    STEP = 1 << 17
 
     def __init__(self, words: Iterable[bytes]):
         self.words = list(words)
@@ -99,7 +100,11 @@ class Vocabulary:
         return len(self.words)
 
     def find(self, split: Split, a: int = 0, b: int | None = None) -> np.ndarray:
-        """The number of each of a split's words from a to b, -1 for unknown ones."""
+        """The number of each of a split's words from a to b, -1 for unknown ones; as many words at a time as keeps arrays small."""
+        b = len(split) if b is None else b
+        return np.concatenate([np.empty(0, np.int32), *[self._find(split, k, min(k + self.STEP, b)) for k in range(a, b, self.STEP)]])
+
+    def _find(self, split: Split, a: int, b: int) -> np.ndarray:
         begin, end = split.begin[a:b], split.end[a:b]
         out = np.full(len(begin), -1, np.int32)
         if not len(self.words) or not len(begin):
