@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotherm.shared import materialize
+
 
 BOX = ("north", "west", "south", "east")
 
@@ -125,58 +129,86 @@ def intersect(a: str, b: str) -> dict[str, Column]:
     return {"north": F.least(c(a, "north"), c(b, "north")), "south": F.greatest(c(a, "south"), c(b, "south")), "west": F.greatest(c(a, "west"), c(b, "west")), "east": F.least(c(a, "east"), c(b, "east"))}
 
 
-#: Degrees of longitude of a band. Boxes meet others of their band only, and a key's bands are groups of their own.
-BAND = 1.0
-
-
-def banded(boxes: DataFrame) -> DataFrame:
-    """Boxes cut at the borders of bands; a box of no width has no part."""
-    k = F.explode(F.sequence(F.floor(F.col("west") / BAND), F.greatest(F.ceil(F.col("east") / BAND) - 1, F.floor(F.col("west") / BAND))))
-    cut = boxes.withColumn("band", k)
-    return cut.withColumns({"west": F.greatest("west", F.col("band") * BAND), "east": F.least("east", (F.col("band") + 1) * BAND)}).where("east > west")
-
+#: Boxes of a cell up to which it is solved as it is; cells with more are cut in four.
+MOST_BOXES = 128
+#: A cell: a part of a key's area, solved by itself.
+CELL = ("x0", "x1", "y0", "y1")
 
-def spans_of(boxes: DataFrame, *group: str) -> DataFrame:
-    """The strips between all western and eastern edges of a group's boxes: group, x0, x1."""
-    edges = boxes.select(*group, F.explode(F.array("west", "east")).alias("x0")).distinct()
-    return edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(*group).orderBy("x0"))).where("x1 is not null")
 
+def clipped(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Boxes' parts in their row's cell, each once, without those that have no area there."""
+    part = {"west": F.greatest("west", "cell.x0"), "east": F.least("east", "cell.x1"), "south": F.greatest("south", "cell.y0"), "north": F.least("north", "cell.y1")}
+    return rows.withColumns(part).where("east > west and north > south").select(*keep, "cell", "west", "east", "south", "north").distinct()
 
-def strips(boxes: DataFrame, key: str) -> DataFrame:
-    """Each key's boxes cut at all their western and eastern edges, and merged within each strip where they touch: key, x0, x1, south, north."""
-    parts = banded(boxes.select(key, "north", "west", "south", "east"))
-    held = spans_of(parts, key, "band").join(parts, [key, "band"]).where("west <= x0 and east >= x1")
-    order = Window.partitionBy(key, "x0").orderBy("south", "north")
-    before = F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = held.withColumn("new", F.when(before >= F.col("south"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(key, "x0", "x1", "run").agg(F.min("south").alias("south"), F.max("north").alias("north")).drop("run")
 
+def quarters(cell: Column) -> Column:
+    """The four quarters of a cell as an array."""
+    xm, ym = (cell["x0"] + cell["x1"]) / 2, (cell["y0"] + cell["y1"]) / 2
+    halves = lambda a, m, b: ((cell[a], m), (m, cell[b]))
+    return F.array(*[F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")) for x0, x1 in halves("x0", xm, "x1") for y0, y1 in halves("y0", ym, "y1")])
 
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    return strips(boxes, key).groupBy(key).agg(F.round(F.sum((F.col("north") - F.col("south")) * (F.col("x1") - F.col("x0"))), 6).alias("area"))
 
+def solvable(cells: DataFrame, boxes: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (key, cell) and their boxes' parts, cut until a cell has at most so many; cells that one box covers are left out.
 
-def residual(targets: DataFrame, holes: DataFrame, key: str) -> DataFrame:
+    Cells with more are cut in four, and their boxes again clipped; boxes that look alike in a cell are one, so cells
+    need not become smaller than the distances between edges. A large box is in few cells: those inside it are
+    covered, and what else lies there is dropped. Each round counts, and joins, by key and cell; nothing is held.
+    """
+    done, own = [], ["cell"]
+    covers = (F.col("west") <= F.col("cell.x0")) & (F.col("east") >= F.col("cell.x1")) & (F.col("south") <= F.col("cell.y0")) & (F.col("north") >= F.col("cell.y1"))
+    while True:
+        stats = boxes.groupBy(key, *own).agg(F.count("*").alias("n"), F.max(covers).alias("full"))
+        state = materialize(cells.join(stats, [key, *own], "left").select(key, "cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("full", F.lit(False)).alias("full")).where("not full"), "cells")
+        small, large = state.where(F.col("n") <= most).select(key, "cell"), state.where(F.col("n") > most)
+        done.append((small, boxes.join(small, [key, *own], "left_semi")))
+        if large.isEmpty():
+            break
+        cut = large.select(key, F.col("cell").alias("whole"), F.explode(quarters(F.col("cell"))).alias("cell"))
+        parts = boxes.withColumnRenamed("cell", "whole").join(cut, [key, "whole"])
+        cells, boxes = cut.select(key, "cell"), materialize(clipped(parts, [key]), "parts")
+    return reduce(DataFrame.unionByName, [c for c, _ in done]), reduce(DataFrame.unionByName, [b for _, b in done])
+
+
+def joined(boxes: DataFrame, same: list[str], low: str, high: str) -> DataFrame:
+    """Boxes that are equal in `same` and touch along the other side as one."""
+    side = Window.partitionBy(*same).orderBy(low)
+    runs = boxes.withColumn("new", F.when(F.lag(high).over(side) == F.col(low), 0).otherwise(1)).withColumn("run", F.sum("new").over(side))
+    return runs.groupBy(*same, "run").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("run")
+
+
+def residual(targets: DataFrame, holes: DataFrame, key: str, most: int = MOST_BOXES) -> DataFrame:
     """Each target box without its holes, as boxes: strips between the edges, the gaps in them, and equal neighbours joined again.
 
-    targets: key and a box, one row a key. holes: key and boxes, any number.
+    targets: key and a box, one row a key. holes: key and boxes, any number with any edges: a key's area is cut into
+    cells with at most `most` of them, so that strips meet the boxes of their cell only.
     """
-    t, h = targets.alias("t"), holes.alias("h")
-    cut = t.join(h, key).select(key, *[v.alias(k) for k, v in intersect("t", "h").items()]).where("north > south and east > west")
-    cut, whole = banded(cut), banded(targets.select(key, "north", "south", "west", "east"))
-    spans = spans_of(cut.unionByName(whole), key, "band")
-    inside = spans.join(targets.select(key, F.col("north").alias("top"), F.col("south").alias("bottom")), key)
-    within = (F.col(f"s.{key}") == F.col(f"c.{key}")) & (F.col("s.band") == F.col("c.band")) & (F.col("c.west") <= F.col("s.x0")) & (F.col("c.east") >= F.col("s.x1"))
-    held = inside.alias("s").join(cut.alias("c"), within).select(f"s.{key}", "x0", "x1", "top", "bottom", "south", "north")
+    cell = lambda t: F.struct(F.col(f"{t}west").alias("x0"), F.col(f"{t}east").alias("x1"), F.col(f"{t}south").alias("y0"), F.col(f"{t}north").alias("y1")).alias("cell")
+    cells = targets.select(key, cell("")).where("cell.x1 > cell.x0 and cell.y1 > cell.y0")
+    boxes = materialize(clipped(cells.join(holes.select(key, *BOX), key), [key]), "holes")
+    cells, boxes = solvable(cells, boxes, key, most)
+    group = [key, "cell"]
+    edges = cells.select(*group, F.explode(F.array("cell.x0", "cell.x1")).alias("x0")).unionByName(boxes.select(*group, F.explode(F.array("west", "east")).alias("x0"))).distinct()
+    strips = edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(*group).orderBy("x0"))).where("x1 is not null")
+    held = strips.join(boxes, group).where("west <= x0 and east >= x1").select(*group, "x0", "x1", "south", "north")
     # a hole of no height at the top of each strip closes its last gap
-    ends = inside.select(key, "x0", "x1", "top", "bottom", F.col("top").alias("south"), F.col("top").alias("north"))
-    order = Window.partitionBy(key, "x0").orderBy("south", "north")
-    seen = F.coalesce(F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("bottom"))
-    gaps = held.unionByName(ends).withColumn("from", seen).where("south > from").select(key, "x0", "x1", F.col("from").alias("south"), F.col("south").alias("north"))
-    # islands of touching strips with one height
-    side = Window.partitionBy(key, "south", "north").orderBy("x0")
-    runs = gaps.withColumn("new", F.when(F.lag("x1").over(side) == F.col("x0"), 0).otherwise(1)).withColumn("run", F.sum("new").over(side))
-    return runs.groupBy(key, "south", "north", "run").agg(F.min("x0").alias("west"), F.max("x1").alias("east")).select(key, "north", "west", "south", "east")
+    ends = strips.select(*group, "x0", "x1", F.col("cell.y1").alias("south"), F.col("cell.y1").alias("north"))
+    order = Window.partitionBy(*group, "x0").orderBy("south", "north")
+    seen = F.coalesce(F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("cell.y0"))
+    gaps = held.unionByName(ends).withColumn("from", seen).where("south > from").select(key, F.col("x0").alias("west"), F.col("x1").alias("east"), F.col("from").alias("south"), F.col("south").alias("north"))
+    wide = joined(gaps, [key, "south", "north"], "west", "east")
+    return joined(wide, [key, "west", "east"], "south", "north").select(key, "north", "west", "south", "east")  # what a cell's border has cut
+
+
+def area(boxes: DataFrame, key: str) -> DataFrame:
+    return boxes.groupBy(key).agg(F.sum((F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))).alias("area"))
+
+
+def union_area(boxes: DataFrame, key: str, most: int = MOST_BOXES) -> DataFrame:
+    """The area that each key's boxes cover together: that of the box around them without what is left of it."""
+    around = boxes.where("north > south and east > west").groupBy(key).agg(F.max("north").alias("north"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"))
+    left = area(residual(around, boxes, key, most), key).withColumnRenamed("area", "left")
+    return area(around, key).join(left, key, "left").select(key, F.round(F.col("area") - F.coalesce("left", F.lit(0.0)), 6).alias("area"))
 
 
 # --- missing regions ------------------------------------------------------------------------------------------
@@ -189,7 +221,6 @@ def cell_components(cells: DataFrame, group: list[str]) -> DataFrame:
     the links are made by alternating stars, so long chains take a logarithmic number of rounds.
     """
     from isotherm.operators.stars import components
-    from isotherm.shared import materialize
 
     row = Window.partitionBy(*group, "i").orderBy("j")
     marked = cells.select(*group, "i", "j").distinct().withColumn("island", F.col("j") - F.row_number().over(row))
