@@ -23,7 +23,7 @@ TOP, SATURATION, LENGTH_SHARE = 10, 8, 75
 #: Rows of (item, term) of a batch of items: they, and the terms' numbers, are what tasks get of the query set at once.
 QUERY_ROWS = 8192
 #: Documents of a block on average, documents of a shard at most, cells (documents x terms) of a shard at most, and numbers of a sketch.
-BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 22, 48
+BLOCK, SHARD, CELLS, SKETCH = 96, 4096, 1 << 21, 48
 #: Rows of an index are some megabytes: so many bytes of them are written and read at once.
 SMALL_GROUPS = {"parquet.block.size": 16 << 20}
 #: An impact's unit in summaries: a byte holds the largest one, a million.
