@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.functions.columns import nan_to_null
 from isotherm.model import variables
+from isotherm.operators.claims import claimed
 from isotherm.operators.coverage import hour_masks, merged
-from isotherm.operators.storage import merge_into, partitions_of
+from isotherm.operators.storage import days_of, merge_into, partitions_of
 from isotherm.shared import clear, mark, materialize
 from isotherm.sources.tables import replace_partitions
 
@@ -24,9 +26,12 @@ def merge_batch(spark: SparkSession, batch: DataFrame, data: str, index: str) ->
     batch = materialize(batch, "arrived")
     merge_into(spark, data, batch, order=ORDER)
     own = batch.drop(ORDER)
-    new = materialize(hour_masks(own, variables(own)), "masks")
-    old = partitions_of(spark, index, new)
-    replace_partitions(merged(old.select(new.columns), new) if old is not None else new, index)
+    new = materialize(hour_masks(nan_to_null(own), variables(own)), "masks")
+    with claimed(spark, index, days_of(new)) as claim:
+        old = partitions_of(spark, index, new)
+        both = materialize(merged(old.select(new.columns), new), "merged") if old is not None else new
+        claim.check()
+        replace_partitions(both, index)
     clear(spark, begun)
 
 
