@@ -81,8 +81,9 @@ def dedup_last_value(spark: SparkSession, sf: str) -> DataFrame:
     return grid_latest(spark, sf).select(*KEYS, *[r(c, 6).alias(c) for c in VARIABLES])
 
 
-@query(f"""WITH {LATEST_SQL}, a AS (SELECT * EXCLUDE (wind_u_10m) FROM latest WHERE extract(day FROM date) <= 20), b AS (SELECT latitude, longitude, date, hour_utc, temperature_2m + 1 AS temperature_2m, total_precipitation, wind_u_10m FROM latest WHERE extract(day FROM date) >= 10 AND hour_utc % 2 = 0)
-SELECT latitude, longitude, date, hour_utc, round(coalesce(b.temperature_2m, a.temperature_2m), 6) AS temperature_2m, round(wind_u_10m, 6) AS wind_u_10m, round(wind_v_10m, 6) AS wind_v_10m, round(coalesce(b.total_precipitation, a.total_precipitation), 6) AS total_precipitation FROM a FULL JOIN b USING (latitude, longitude, date, hour_utc)""")
+@query(f"""WITH {LATEST_SQL}, a AS (SELECT * EXCLUDE (wind_u_10m) FROM latest WHERE extract(day FROM date) <= 20), b AS (SELECT latitude, longitude, date, hour_utc, temperature_2m + 1 AS temperature_2m, total_precipitation, wind_u_10m FROM latest WHERE extract(day FROM date) >= 10 AND hour_utc % 2 = 0),
+both_ AS (SELECT *, NULL::DOUBLE AS wind_u_10m, 0 AS side FROM a UNION ALL BY NAME SELECT *, NULL::DOUBLE AS wind_v_10m, 1 AS side FROM b)
+SELECT latitude, longitude, date, hour_utc, {', '.join(f'round(arg_max({c}, side) FILTER (WHERE {c} IS NOT NULL), 6) AS {c}' for c in VARIABLES)} FROM both_ GROUP BY latitude, longitude, date, hour_utc""")
 def merge_on_key(spark: SparkSession, sf: str) -> DataFrame:
     own = grid_latest(spark, sf)
     old = own.where(F.dayofmonth("date") <= 20).drop("wind_u_10m")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.operators import coverage, ml, stations, storage
+from isotherm.operators import claims, coverage, ml, stations, storage
 from isotherm.plans.fixtures import EVENT_TYPES, GRID_SQL, LATEST_SQL, STATION_SQL, VARIABLES, grid_latest, grid_obs, read, station_obs
 from isotherm.plans.queries import CORNER_SQL, KEYS, MASKS_SQL, YEARS_SQL, cornered, r
 from isotherm.plans.registry import query
@@ -58,10 +58,10 @@ def station_year_sink(spark: SparkSession, sf: str) -> DataFrame:
     return tables.scan(spark, path, union_by_name=True).groupBy("station", "year").agg(F.count("*").alias("n"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), r(F.sum("view")).alias("views"))
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "csv")
-    tables.export_csv(read(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
+    tables.export_csv(read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
     return tables.read_dimension(spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double")
 
 
@@ -168,8 +168,9 @@ def replaced_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return tables.scan(spark, path).groupBy("date").agg(F.count("*").alias("n"), r(F.sum("temperature_2m"), 3).alias("total"))
 
 
-MERGED_SQL = f"""WITH {LATEST_SQL}, a AS (SELECT * FROM latest WHERE day(date) <= 20), b AS (SELECT latitude, longitude, date, hour_utc, temperature_2m + 1 AS temperature_2m, NULL::DOUBLE AS wind_u_10m, wind_v_10m, total_precipitation FROM latest WHERE day(date) >= 15)
-SELECT latitude, longitude, date, hour_utc, {', '.join(f'round(coalesce(b.{c}, a.{c}), 6) AS {c}' for c in VARIABLES)} FROM a FULL JOIN b USING (latitude, longitude, date, hour_utc)"""
+MERGED_SQL = f"""WITH {LATEST_SQL}, a AS (SELECT * FROM latest WHERE day(date) <= 20), b AS (SELECT latitude, longitude, date, hour_utc, temperature_2m + 1 AS temperature_2m, NULL::DOUBLE AS wind_u_10m, wind_v_10m, total_precipitation FROM latest WHERE day(date) >= 15),
+both_ AS (SELECT *, 0 AS side FROM a UNION ALL BY NAME SELECT *, 1 AS side FROM b)
+SELECT latitude, longitude, date, hour_utc, {', '.join(f'round(arg_max({c}, side) FILTER (WHERE {c} IS NOT NULL), 6) AS {c}' for c in VARIABLES)} FROM both_ GROUP BY latitude, longitude, date, hour_utc"""
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -186,6 +187,25 @@ def merged_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tables.scan(spark, path))
 
 
+@query(MERGED_SQL)
+def healed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """As merged_table, with what killed writers leave: files that cannot be read among the good ones of every day."""
+    path = new_path(spark, "healed")
+    old, new = halves(spark, sf)
+    storage.merge_into(spark, path, old)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for day in storage.days_of(new):
+        broken = jvm.org.apache.hadoop.fs.Path(path, f"date={day}/part-half.parquet")
+        stream = broken.getFileSystem(conf).create(broken, False)
+        stream.write(b"PAR1 and no end")
+        stream.close()
+    storage.merge_into(spark, path, new)
+    listed = claims.set_aside_list(spark, path)
+    if listed.count() != len(storage.days_of(new)):
+        raise ValueError("not all unreadable files are listed")
+    return rounded(tables.scan(spark, path))
+
+
 @query(MERGED_SQL)
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """New files are merged as they come; a run that starts from nothing on the same files changes nothing."""
