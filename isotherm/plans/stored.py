@@ -128,18 +128,39 @@ def station_texts(spark: SparkSession, sf: str) -> DataFrame:
 def grid_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Each day's observations as the arrays that files hold, with gaps as nulls, and back to rows."""
     own = grid_latest(spark, sf)
-    axes = own.agg(F.sort_array(F.collect_set("latitude")).alias("lat"), F.sort_array(F.collect_set("longitude")).alias("lon"))  # a dozen values each
-    frame = own.select("date").distinct().join(F.broadcast(axes)).withColumn("hour_utc", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    frame = frame.select("*", F.explode("lat").alias("latitude")).select("*", F.explode("lon").alias("longitude"))
-    # the order in a file: hour, latitude, longitude
-    whole = frame.join(own, KEYS, "left").groupBy("date", "lat", "lon").agg(F.sort_array(F.collect_list(F.struct("hour_utc", "latitude", "longitude", "temperature_2m", "wind_u_10m"))).alias("cells"))
+    axes, cells = axes_of(own), own.select(F.col("date").alias("file"), *clock(), "latitude", "longitude", "temperature_2m", "wind_u_10m")
+    whole = arrays.to_chunks(cells, axes, ["temperature_2m", "wind_u_10m"], block=24 * 144)  # a chunk is a day
+    n = F.size("time") * F.size("lat") * F.size("lon")
+    values = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get("values", (F.array_position("at", k) - 1).cast("int")))
+    filled = whole.join(axes, "file").select("variable", "time", "lat", "lon", values.alias("values"))
+    return days_again(arrays.flatten(filled, 500).where("value is not null"))
+
+
+def clock() -> list:
+    return [(F.col("date").cast("timestamp_ntz") + F.make_interval(hours=F.col("hour_utc"))).alias("time")]
+
+
+def axes_of(own: DataFrame) -> DataFrame:
+    """A file for each day, with all hours, and the latitudes and longitudes of the grid, a dozen each."""
+    lines = own.agg(F.sort_array(F.collect_set("latitude")).alias("lat"), F.sort_array(F.collect_set("longitude")).alias("lon"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.col("date").cast("timestamp_ntz") + F.make_interval(hours=h))
-    values = F.explode(F.create_map(*[x for c in ("temperature_2m", "wind_u_10m") for x in (F.lit(c), F.col(f"cells.{c}"))]))
-    filled = whole.select(hours.alias("time"), "lat", "lon", values.alias("variable", "values"))
-    wide = arrays.to_wide(arrays.flatten(filled).where("value is not null"), ["temperature_2m", "wind_u_10m"])
+    return own.select("date").distinct().join(F.broadcast(lines)).select(F.col("date").alias("file"), hours.alias("time"), "lat", "lon")
+
+
+def days_again(rows: DataFrame) -> DataFrame:
+    wide = arrays.to_wide(rows, ["temperature_2m", "wind_u_10m"])
     return wide.select(F.to_date("time").alias("date"), "latitude", "longitude", F.hour("time").alias("hour_utc"), "temperature_2m", "wind_u_10m")
 
 
+@query(f"WITH {LATEST_SQL} SELECT date, latitude, longitude, hour_utc, temperature_2m, wind_u_10m FROM latest")
+def grid_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through chunks of 1,000 places, written by variable and read again."""
+    own, path = grid_latest(spark, sf), new_path(spark, "chunks")
+    cells, axes = own.select(F.col("date").alias("file"), *clock(), "latitude", "longitude", "temperature_2m", "wind_u_10m"), axes_of(own)
+    tables.write_partitioned(arrays.to_chunks(cells, axes, ["temperature_2m", "wind_u_10m"], block=1000).repartitionByRange("variable", "file", "offset").sortWithinPartitions("variable", "file", "offset"), path, ("variable",))
+    return days_again(arrays.flatten_chunks(tables.scan(spark, path), axes))
+
+
 # --- merging --------------------------------------------------------------------------------------------------
 
 
