@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.columns import bilinear, cell_index
+from isotherm.shared import materialize
 
 EPSILON = 1e-4
 
@@ -112,3 +113,18 @@ def near_station(grid: DataFrame, stations: DataFrame, start, end, margin: float
     box = stations.agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e"))
     days = grid.where(F.col("date").between(F.lit(start), F.lit(end)))
     return days.join(F.broadcast(box), F.col("latitude").between(F.col("s") - margin, F.col("n") + margin) & F.col("longitude").between(F.col("w") - margin, F.col("e") + margin), "left_semi")
+
+
+def values_at_stations(stations: DataFrame, grid: DataFrame, resolution: float, names: list[str]) -> DataFrame:
+    """Rows of chosen stations with the grid's values at their places: name_grid for each name, wx and wy, and the corners.
+
+    Of a stored grid partitioned by day only the stations' days are read: the days, a row each, are broadcast, and
+    prune the scan when it runs. Of these days only what lies within a cell of the stations' box is shuffled.
+    """
+    own = materialize(stations, "stations")  # a choice: read for the days, the box and the join
+    days = own.select("date").where("date > date'0001-01-01'").distinct()  # Spark prunes by what a predicate has chosen
+    box = own.agg(*[f(c).alias(n) for n, f, c in (("__s", F.min, "latitude"), ("__n", F.max, "latitude"), ("__w", F.min, "longitude"), ("__e", F.max, "longitude"))])
+    there = grid.join(F.broadcast(days), "date").select("date", "hour_utc", "latitude", "longitude", *names)
+    inside = F.col("latitude").between(F.col("__s") - resolution, F.col("__n") + resolution) & F.col("longitude").between(F.col("__w") - resolution, F.col("__e") + resolution)
+    near = there.join(F.broadcast(box), inside, "left_semi")  # one row
+    return interpolated(corner_join(own, near, resolution, names), names)

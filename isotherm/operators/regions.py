@@ -159,5 +159,34 @@ def resolve_area(boxes: DataFrame, requests: DataFrame) -> DataFrame:
     return met.groupBy("request_id").agg(F.min_by(F.struct("kind", "north", "west", "south", "east"), F.struct(order, "north", "west")).alias("b")).select("request_id", "b.*")
 
 
+#: Fixed value: the country whose parts are known.
+COUNTRY = "brasil"
+
+
+def resolved_requests(boxes: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (request_id, and a name or null for each of KINDS) -> request_id, kind, box and error, which is null where the box is known.
+
+    The smallest kind that is named decides; without any it is the country, COUNTRY unless named. Only municipio and
+    uf may stand together, the state then telling towns of one name apart; parts of other countries are not known. A
+    name that is nowhere, or in several places, is an error, as are requests that break these rules. Names are the same
+    whatever their case.
+    """
+    parts = KINDS[:-1]
+    given = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in parts]), lambda k: k.isNotNull())
+    country = F.lower(F.coalesce("pais", F.lit(COUNTRY)))
+    alone = (F.size("given") > 1) & (F.size(F.array_except("given", F.array(F.lit("municipio"), F.lit("uf")))) > 0)
+    broken = F.when(alone, F.concat(F.lit("only one of "), F.array_join("given", ", "))).when((F.size("given") > 0) & (country != COUNTRY), F.lit("parts of other countries are not known"))
+    kind = F.coalesce(F.get("given", F.lit(0)), F.lit("pais"))
+    name = F.coalesce(*[F.when(F.col("kind") == k, F.lower(k)) for k in parts], country)
+    asked = requests.withColumn("given", given).withColumns({"broken": broken, "kind": kind}).withColumn("name", name)
+    asked = asked.select("request_id", "kind", "name", "broken", F.when(F.col("kind") == "municipio", F.lower("uf")).alias("state")).alias("a")
+    places = boxes.select("kind", F.lower("name").alias("name"), F.lower("uf").alias("uf"), F.struct("north", "west", "south", "east").alias("box")).alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.state").isNull() | (F.col("a.state") == F.col("b.uf")))
+    met = asked.join(places, same, "left").groupBy("request_id", "a.kind", "a.name", "broken").agg(F.count("box").alias("n"), F.min("box").alias("box"))
+    error = F.coalesce("broken", F.when(F.col("n") == 0, F.concat(F.lit("unknown: "), "name")).when(F.col("n") > 1, F.concat(F.lit("in several places: "), "name")))
+    out = met.withColumn("error", error)
+    return out.select("request_id", "kind", *[F.when(F.col("error").isNull(), F.col(f"box.{c}")).alias(c) for c in ("north", "west", "south", "east")], "error")
+
+
 def union_box(boxes: DataFrame, *group: str) -> DataFrame:
     return boxes.groupBy(*group).agg(F.max("north").alias("north"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"))

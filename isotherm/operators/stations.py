@@ -79,3 +79,10 @@ def require_rows(**frames: DataFrame) -> None:
     empty = [k for k, df in frames.items() if df.isEmpty()]
     if empty:
         raise ValueError(f"no rows in {', '.join(empty)}")
+
+
+def prerequisites(spark, paths: dict[str, str]) -> DataFrame:
+    """A row for each table that stations need: its name, whether anything is stored, and rows in truth (0 if not)."""
+    stored = {k: scan_if_there(spark, p, union_by_name=True) for k, p in paths.items()}
+    counts = [(k, 0 if df is None else df.count()) for k, df in stored.items()]  # a few tables
+    return spark.createDataFrame([(k, n > 0, n) for k, n in counts], "name string, stored boolean, n long")

@@ -112,6 +112,13 @@ def metadata(df: DataFrame, reserved: tuple[str, ...], dataset: Dataset | None =
     return out if dataset is None else out.withColumns({"kind": F.lit("grid" if dataset.gridded else "station"), "resolution": F.lit(dataset.resolution).cast("double")})
 
 
+def station_metadata(df: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
+    """metadata() of each station: station_id, variable, values, and the first and last day of the station's rows."""
+    numeric = [c for c, kind in df.dtypes if c not in reserved and kind in ("float", "double", "int", "bigint", "smallint", "tinyint")]
+    counts = df.groupBy("station_id").agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), *[F.count(c).alias(c) for c in numeric])
+    return counts.unpivot(["station_id", "date_min", "date_max"], numeric, "variable", "n").select("station_id", "variable", "n", "date_min", "date_max")
+
+
 def converted_statistics(points: DataFrame, group: list[str], formula: str, y: str = "y") -> DataFrame:
     """statistics() of series after a conversion of units."""
     return statistics(points.withColumn(y, convert(y, formula)), group, y)

@@ -528,4 +528,4 @@ def moving_mean(spark: SparkSession, sf: str) -> DataFrame:
     return daily.select("event_type", "date", r("y", 7).alias("y"), r(week, 7).alias("week"))
 
 
-from isotherm.plans import lookups, planned, stored  # noqa: E402, F401  they add their queries
+from isotherm.plans import lookups, modelled, planned, stored  # noqa: E402, F401  they add their queries
