@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.common import batches_of, materialize, type_of
@@ -18,6 +18,7 @@ RATIO = math.sqrt(2)  # of the lengths in a class, which has its own scale and h
 CLASSES = 24  # of lengths; the last one has all that are shorter
 ROUGH = 2e-5  # of both lengths' product: more than products of 32-bit floats are wrong by
 PAIRS = 1 << 18  # scored at once
+LEAST = 1e-150  # of lengths, against the longest, whose component is about 1: all that are shorter are alike
 HELD, FRESH = 1_000_000, 100_000  # answers that a task holds, and new ones before it keeps the best of each query only
 
 
@@ -39,7 +40,7 @@ class Hashes:
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         size = np.sqrt((x * x).sum(axis=1))
         if query:
-            return np.hstack([x / size[:, None], np.zeros((len(x), 1))])
+            return np.hstack([x / np.maximum(size, LEAST)[:, None], np.zeros((len(x), 1))])
         return np.hstack([x / self.longest, np.sqrt(np.maximum(0, 1 - (size / self.longest) ** 2))[:, None]])
 
     def slots(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -108,8 +109,13 @@ def taking_part(df: DataFrame, key: str, vector: str) -> DataFrame:
     return own.where(F.size("v") == (usual["n"] if usual else 0))
 
 
+def exponent(v: str) -> Column:
+    """The power of two in a vector's largest component."""
+    return F.floor(F.log2(F.array_max(F.transform(v, lambda x: F.abs(x))))).cast("int")
+
+
 def length_class(size: np.ndarray, longest: float) -> np.ndarray:
-    return np.clip(np.floor(np.log(longest / size) / math.log(RATIO) + 1e-9), 0, CLASSES - 1).astype(np.int64)
+    return np.clip(np.floor(np.log(longest / np.maximum(size, LEAST)) / math.log(RATIO) + 1e-9), 0, CLASSES - 1).astype(np.int64)
 
 
 class Classes:
@@ -144,6 +150,9 @@ def nearness(sample: np.ndarray, rows: int, k: int) -> float:
     if len(sample) < 3:
         return 0.0
     q = sample[: min(256, len(sample))]
+    q = q[np.abs(q).max(axis=1) > LEAST]
+    if not len(q):
+        return 0.0
     s = (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ sample.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     place = min(len(sample) - 2, max(0, math.ceil(k * len(sample) / max(1, rows)) - 1))
@@ -163,14 +172,25 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     Buckets are dealt out in blocks of candidates and of queries, so that a hot bucket is many small groups; each
     group finds k rows a query, and a task merges those of its groups before they are shuffled. The hash functions are fitted on a bounded sample (SAMPLE); all rows are indexed.
     Vectors are indexed in classes of lengths (RATIO), and every query probes all classes.
+
+    Finite vectors of any size take part: before anything is squared, multiplied or cast, candidates are divided by the
+    power of two of the table's largest component, queries by that of their own key's. That is exact, and so are
+    scores, which are multiplied back at the end: what a double cannot hold becomes infinite or zero only there, and
+    does not change the order.
     """
     own = taking_part(df, key, vector)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    largest_component = own.agg(F.max(exponent("v"))).first()[0]
+    if largest_component is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shift = int(largest_component)
+    halves = 2.0 ** (-(shift // 2)), 2.0 ** (-(shift - shift // 2))
+    length = F.sqrt(F.aggregate(F.transform("v", lambda x: x * halves[0] * halves[1]), F.lit(0.0), lambda a, x: a + x * x))
     size = own.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.max(F.size("v")).alias("dims")).first()
     if not size["n"]:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = np.array([r["v"] for r in own.orderBy(F.xxhash64("key"), "key", "v").limit(SAMPLE).select("v").collect()], float)
-    kind = F.least(F.greatest(F.floor(F.log(size["longest"] / length) / math.log(RATIO) + 1e-9), F.lit(0)), F.lit(CLASSES - 1)).cast("int")
+    some = np.ldexp(some, -shift)
+    kind = F.least(F.greatest(F.floor(F.log(size["longest"] / F.greatest(length, F.lit(LEAST))) / math.log(RATIO) + 1e-9), F.lit(0)), F.lit(CLASSES - 1)).cast("int")
     counts = {r["kind"]: r["count"] for r in own.groupBy(kind.alias("kind")).count().collect()}
     hashes = df.sparkSession.sparkContext.broadcast(Classes(size["dims"], size["longest"], counts, some, k, tables))
     dims = size["dims"]
@@ -189,13 +209,14 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
             if b.num_rows:
                 x, keys = arrays(b), b.column("key").to_pylist()
                 data = binary(x)
+                x = np.ldexp(x, -shift)
                 for t in range(tables):
                     yield {"t": [t] * len(keys), "bucket": hashes.value.buckets(x, t), "key": keys, "data": data}
 
     def probe(level):
         def work(batches):
             for b in batches:
-                x, keys = (arrays(b), b.column("key").to_pylist()) if b.num_rows else ([], [])
+                x, keys = (np.ldexp(arrays(b), -b.column("scale").to_numpy()[:, None]), b.column("key").to_pylist()) if b.num_rows else ([], [])
                 for begin in range(0, len(keys), 256):
                     part = x[begin : begin + 256]
                     for t in range(tables):
@@ -208,7 +229,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     def packed(batches):
         for b in batches:
             if b.num_rows:
-                yield {c: b.column(c).to_pylist() for c in ("key", "t", "bucket")} | {"data": binary(arrays(b))}
+                yield {c: b.column(c).to_pylist() for c in ("key", "t", "bucket", "scale")} | {"data": binary(arrays(b))}
 
     index_rows = materialize(batches_of(own, index, "t int, bucket long, key long, data binary"), "lsh-index")
     group = ["t", "bucket", "block", "part"]
@@ -223,10 +244,10 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         chunks = wanted.groupBy("t", "bucket").agg(F.floor((F.count(F.lit(1)) - 1) / ASKING).cast("int").alias("parts"))
         shape = materialize(blocks.join(chunks, ["t", "bucket"]), "lsh-shapes")
         place = [F.xxhash64("key", "t").alias("own")]
-        vectors = asked.select("key", F.col("v")).join(wanted, "key")
-        candidates = rows.select("*", *place).join(shape, ["t", "bucket"]).select("t", "bucket", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "key", F.lit(False).alias("asks"), "data")
-        questions = batches_of(vectors.select("key", "t", "bucket", "v"), packed, "key long, t int, bucket long, data binary").select("*", *place).join(shape, ["t", "bucket"])
-        questions = questions.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod("own", F.col("parts") + 1).cast("int").alias("part"), "key", F.lit(True).alias("asks"), "data")
+        vectors = asked.select("key", "v", "scale").join(wanted, "key")
+        candidates = rows.select("*", *place).join(shape, ["t", "bucket"]).select("t", "bucket", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "key", F.lit(False).alias("asks"), F.lit(shift).alias("scale"), "data")
+        questions = batches_of(vectors.select("key", "t", "bucket", "scale", "v"), packed, "key long, t int, bucket long, scale int, data binary").select("*", *place).join(shape, ["t", "bucket"])
+        questions = questions.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod("own", F.col("parts") + 1).cast("int").alias("part"), "key", F.lit(True).alias("asks"), "scale", "data")
         return candidates.unionByName(questions).repartition(*group).sortWithinPartitions(*group)
 
     def largest(q, v, score):
@@ -275,7 +296,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         same = np.flatnonzero(high > low)
         for i in same.tolist():
             rough[i, own[low[i] : high[i]]] = -np.inf
-        slack = (ROUGH * np.sqrt((q * q).sum(axis=1)) * math.sqrt(float((x * x).sum(axis=1).max()))).astype(np.float32)
+        slack = (max(ROUGH, dims * 2.0**-23) * np.sqrt((q * q).sum(axis=1)) * math.sqrt(float((x * x).sum(axis=1).max()))).astype(np.float32)
         least = best.least(qk)
         new = np.flatnonzero(np.isinf(least))
         if len(new) and len(x) > k:
@@ -315,6 +336,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
             of = np.stack([b.column(c).to_numpy().astype(np.int64) for c in group], axis=1)
             column = b.column("data")
             x = np.frombuffer(column.buffers()[2], stored)[column.offset * dims : (column.offset + len(column)) * dims].reshape(-1, dims).astype(float)
+            x = np.ldexp(x, -b.column("scale").to_numpy()[:, None])
             keys, asks = b.column("key").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
             starts = np.append(0, np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1)
             for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
@@ -332,6 +354,17 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     enough = min(k, own.select("key").distinct().count() - 1)
     asked, out = own.where(F.col("key") % every == 0), None
+    scales = materialize(asked.groupBy("key").agg(F.max(exponent("v")).alias("scale")), "lsh-scales")  # one for all vectors of a key
+    asked = asked.join(scales, "key")
+
+    def unscaled(found: DataFrame) -> DataFrame:
+        """Scores of the vectors as they came: three exact factors, as one could be beyond what a double holds."""
+        n = F.col("scale") + shift
+        third = F.floor(n / 3).cast("int")
+        factor = lambda x: F.pow(F.lit(2.0), x.cast("double"))
+        back = F.col("score") * factor(third) * factor(third) * factor(n - third - third)
+        return found.join(scales.withColumnRenamed("key", "query_id"), "query_id").select("query_id", "rank", "vec_id", back.alias("score"))
+
     for level in (success, 1 - (1 - success) / 8, None):
         found = batches_of(met(asked, level), answers, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         found = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "lsh-found")
@@ -342,5 +375,5 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
         done = found.join(whole, "query_id", "left_semi")
         out, asked = done if out is None else out.unionByName(done), short
         if enough <= 0 or short.isEmpty():
-            return out
-    return out.unionByName(found)
+            return unscaled(out)
+    return unscaled(out.unionByName(found))
