@@ -209,7 +209,7 @@ def local_words(own: DataFrame) -> DataFrame:
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 length = np.concatenate([x for _, x in held])[first[order]]
-                yield rows(1, part=[part], kind=[0], data=[n[order].astype("<u4").tobytes() + np.minimum(length, 65535).astype("<u2").tobytes()])
+                yield rows(1, part=[part], kind=[0], data=[n[order].astype("<u4").tobytes() + length.astype("<u4").tobytes()])
                 for k in range(0, len(order), 50_000):
                     now = order[k : k + 50_000]
                     yield rows(len(now), part=np.full(len(now), part), kind=np.full(len(now), 1), at=np.arange(k, k + len(now)), word=names[now].view(np.int64), n=n[now])
@@ -316,8 +316,8 @@ def names_of(local: DataFrame, whole: DataFrame, words: Words, key_type: str) ->
                 rows = b.slice(begin, end - begin)
                 if kind[begin] == 0:
                     data = rows.column("data")[0].as_py()
-                    n = len(data) // 6
-                    total, length = np.frombuffer(data[: 4 * n], "<u4").astype(np.int64), np.frombuffer(data[4 * n :], "<u2").astype(np.int64)
+                    n = len(data) // 8
+                    total, length = np.frombuffer(data[: 4 * n], "<u4").astype(np.int64), np.frombuffer(data[4 * n :], "<u4").astype(np.int64)
                     own = np.full(n, -1)
                 elif kind[begin] == 1:
                     at, word = rows.column("at").to_numpy(), rows.column("word").to_numpy()
