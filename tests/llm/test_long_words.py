@@ -12,4 +12,4 @@ def test_long_words_are_priced_whole(spark):
     got = {r["doc_id"]: r["log_probability"] for r in lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     longest = [got[100 + i] for i in range(len(sizes))]
     # alone in their texts, all are predicted alike but for their bytes
-    assert np.allclose(np.diff(longest), -lm.SPELLED * np.diff(sizes), rtol=1e-6)
+    assert np.allclose(np.diff(longest), -lm.SPELLED * np.diff(sizes), atol=0.002)  # scores have three decimals
