@@ -9,7 +9,7 @@ from isotherm.shared import materialize
 
 
 #: Degrees of a cell's side, from the coarsest to the finest; each is a whole multiple of the next.
-SIZES = (4.0, 1.0, 0.25, 0.0625)
+SIZES = (2.0, 0.25)
 #: Edges that pass a cell by less than this count as touching it.
 TOUCH = 1e-9
 

@@ -129,10 +129,9 @@ def intersect(a: str, b: str) -> dict[str, Column]:
     return {"north": F.least(c(a, "north"), c(b, "north")), "south": F.greatest(c(a, "south"), c(b, "south")), "west": F.greatest(c(a, "west"), c(b, "west")), "east": F.least(c(a, "east"), c(b, "east"))}
 
 
-#: Boxes of a cell up to which it is solved as it is; cells with more are cut in four.
-MOST_BOXES = 128
-#: A cell: a part of a key's area, solved by itself.
-CELL = ("x0", "x1", "y0", "y1")
+#: Boxes of a cell up to which it is solved as it is; cells with more are cut in CUTS x CUTS.
+MOST_BOXES = 512
+CUTS = 4
 
 
 def clipped(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -141,30 +140,31 @@ def clipped(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumns(part).where("east > west and north > south").select(*keep, "cell", "west", "east", "south", "north").distinct()
 
 
-def quarters(cell: Column) -> Column:
-    """The four quarters of a cell as an array."""
-    xm, ym = (cell["x0"] + cell["x1"]) / 2, (cell["y0"] + cell["y1"]) / 2
-    halves = lambda a, m, b: ((cell[a], m), (m, cell[b]))
-    return F.array(*[F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")) for x0, x1 in halves("x0", xm, "x1") for y0, y1 in halves("y0", ym, "y1")])
+def cut_up(cell: Column) -> Column:
+    """The CUTS x CUTS parts of a cell as an array."""
+    side = lambda a, b: [cell[a] + (cell[b] - cell[a]) * (k / CUTS) for k in range(CUTS)] + [cell[b]]
+    xs, ys = side("x0", "x1"), side("y0", "y1")
+    return F.array(*[F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")) for x0, x1 in zip(xs, xs[1:], strict=False) for y0, y1 in zip(ys, ys[1:], strict=False)])
 
 
 def solvable(cells: DataFrame, boxes: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Cells (key, cell) and their boxes' parts, cut until a cell has at most so many; cells that one box covers are left out.
+    """Cells (key, id, and their edges) and their boxes' parts (id, and a box), cut until a cell has at most so many; cells that one box covers are left out.
 
-    Cells with more are cut in four, and their boxes again clipped; boxes that look alike in a cell are one, so cells
+    Cells with more are cut up, and their boxes again clipped; boxes that look alike in a cell are one, so cells
     need not become smaller than the distances between edges. A large box is in few cells: those inside it are
     covered, and what else lies there is dropped. Each round counts, and joins, by key and cell; nothing is held.
     """
-    done, own = [], ["cell"]
+    done, own, turn = [], ["cell"], 0
     covers = (F.col("west") <= F.col("cell.x0")) & (F.col("east") >= F.col("cell.x1")) & (F.col("south") <= F.col("cell.y0")) & (F.col("north") >= F.col("cell.y1"))
     while True:
         stats = boxes.groupBy(key, *own).agg(F.count("*").alias("n"), F.max(covers).alias("full"))
-        state = materialize(cells.join(stats, [key, *own], "left").select(key, "cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("full", F.lit(False)).alias("full")).where("not full"), "cells")
-        small, large = state.where(F.col("n") <= most).select(key, "cell"), state.where(F.col("n") > most)
-        done.append((small, boxes.join(small, [key, *own], "left_semi")))
+        state = materialize(cells.join(stats, [key, *own], "left").select(key, "cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("full", F.lit(False)).alias("full")).where("not full").withColumn("id", F.monotonically_increasing_id() + (turn << 56)), "cells")
+        small, large = state.where(F.col("n") <= most).select(key, "cell", "id"), state.where(F.col("n") > most)
+        done.append((small.select(key, "id", "cell.*"), boxes.join(small, [key, *own]).select("id", "west", "east", "south", "north")))
+        turn += 1
         if large.isEmpty():
             break
-        cut = large.select(key, F.col("cell").alias("whole"), F.explode(quarters(F.col("cell"))).alias("cell"))
+        cut = large.select(key, F.col("cell").alias("whole"), F.explode(cut_up(F.col("cell"))).alias("cell"))
         parts = boxes.withColumnRenamed("cell", "whole").join(cut, [key, "whole"])
         cells, boxes = cut.select(key, "cell"), materialize(clipped(parts, [key]), "parts")
     return reduce(DataFrame.unionByName, [c for c, _ in done]), reduce(DataFrame.unionByName, [b for _, b in done])
@@ -177,26 +177,30 @@ def joined(boxes: DataFrame, same: list[str], low: str, high: str) -> DataFrame:
     return runs.groupBy(*same, "run").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("run")
 
 
+def gaps_of(targets: DataFrame, holes: DataFrame, key: str, most: int) -> DataFrame:
+    """What is left of each target, as boxes (key, north, west, south, east): the gaps in the strips of its cells."""
+    cell = lambda t: F.struct(F.col(f"{t}west").alias("x0"), F.col(f"{t}east").alias("x1"), F.col(f"{t}south").alias("y0"), F.col(f"{t}north").alias("y1")).alias("cell")
+    cells = targets.select(key, cell("")).where("cell.x1 > cell.x0 and cell.y1 > cell.y0")
+    boxes = materialize(clipped(cells.join(holes.select(key, *BOX), key), [key]), "holes")
+    cells, boxes = solvable(cells, boxes, key, most)
+    edges = cells.select("id", F.explode(F.array("x0", "x1")).alias("a")).unionByName(boxes.select("id", F.explode(F.array("west", "east")).alias("a"))).distinct()
+    strips = edges.withColumn("b", F.lead("a").over(Window.partitionBy("id").orderBy("a"))).where("b is not null")
+    held = strips.join(boxes, "id").where("west <= a and east >= b").select("id", "a", "b", "south", "north")
+    # a hole of no height at the top of each strip closes its last gap, and one at its bottom begins the first
+    ends = strips.join(cells, "id").select("id", "a", "b", F.explode(F.array("y0", "y1")).alias("south")).withColumn("north", F.col("south"))
+    order = Window.partitionBy("id", "a").orderBy("south", "north")
+    seen = F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = held.unionByName(ends).withColumn("from", seen).where("south > from")
+    return gaps.join(cells.select("id", key), "id").select(key, F.col("a").alias("west"), F.col("b").alias("east"), F.col("from").alias("south"), F.col("south").alias("north"))
+
+
 def residual(targets: DataFrame, holes: DataFrame, key: str, most: int = MOST_BOXES) -> DataFrame:
     """Each target box without its holes, as boxes: strips between the edges, the gaps in them, and equal neighbours joined again.
 
     targets: key and a box, one row a key. holes: key and boxes, any number with any edges: a key's area is cut into
     cells with at most `most` of them, so that strips meet the boxes of their cell only.
     """
-    cell = lambda t: F.struct(F.col(f"{t}west").alias("x0"), F.col(f"{t}east").alias("x1"), F.col(f"{t}south").alias("y0"), F.col(f"{t}north").alias("y1")).alias("cell")
-    cells = targets.select(key, cell("")).where("cell.x1 > cell.x0 and cell.y1 > cell.y0")
-    boxes = materialize(clipped(cells.join(holes.select(key, *BOX), key), [key]), "holes")
-    cells, boxes = solvable(cells, boxes, key, most)
-    group = [key, "cell"]
-    edges = cells.select(*group, F.explode(F.array("cell.x0", "cell.x1")).alias("x0")).unionByName(boxes.select(*group, F.explode(F.array("west", "east")).alias("x0"))).distinct()
-    strips = edges.withColumn("x1", F.lead("x0").over(Window.partitionBy(*group).orderBy("x0"))).where("x1 is not null")
-    held = strips.join(boxes, group).where("west <= x0 and east >= x1").select(*group, "x0", "x1", "south", "north")
-    # a hole of no height at the top of each strip closes its last gap
-    ends = strips.select(*group, "x0", "x1", F.col("cell.y1").alias("south"), F.col("cell.y1").alias("north"))
-    order = Window.partitionBy(*group, "x0").orderBy("south", "north")
-    seen = F.coalesce(F.max("north").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("cell.y0"))
-    gaps = held.unionByName(ends).withColumn("from", seen).where("south > from").select(key, F.col("x0").alias("west"), F.col("x1").alias("east"), F.col("from").alias("south"), F.col("south").alias("north"))
-    wide = joined(gaps, [key, "south", "north"], "west", "east")
+    wide = joined(gaps_of(targets, holes, key, most), [key, "south", "north"], "west", "east")
     return joined(wide, [key, "west", "east"], "south", "north").select(key, "north", "west", "south", "east")  # what a cell's border has cut
 
 
@@ -207,7 +211,7 @@ def area(boxes: DataFrame, key: str) -> DataFrame:
 def union_area(boxes: DataFrame, key: str, most: int = MOST_BOXES) -> DataFrame:
     """The area that each key's boxes cover together: that of the box around them without what is left of it."""
     around = boxes.where("north > south and east > west").groupBy(key).agg(F.max("north").alias("north"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"))
-    left = area(residual(around, boxes, key, most), key).withColumnRenamed("area", "left")
+    left = area(gaps_of(around, boxes, key, most), key).withColumnRenamed("area", "left")
     return area(around, key).join(left, key, "left").select(key, F.round(F.col("area") - F.coalesce("left", F.lit(0.0)), 6).alias("area"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isotherm.operators import regions
 
+FINE = (4.0, 1.0, 0.25, 0.0625)
 VERTEX = "region string, ring int, n int, lat double, lon double"
 
 
@@ -32,7 +33,7 @@ def inside(y, x, rings):
     return odd
 
 
-@pytest.mark.parametrize("sizes", [regions.SIZES, (2.0,), (8.0, 0.5)])
+@pytest.mark.parametrize("sizes", [regions.SIZES, FINE, (2.0,), (8.0, 0.5)])
 def test_membership_is_a_plain_ray_cast(spark, sizes):
     rows = [(name, k, n, y, x) for name, rings in shapes().items() for k, ring in enumerate(rings) for n, (y, x) in enumerate(ring)]
     vertices = spark.createDataFrame(rows, VERTEX)
@@ -49,9 +50,9 @@ def test_few_nodes_are_held_against_edges(spark):
     ring = [(10 + 9 * math.sin(2 * math.pi * k / 3600), 9 * math.cos(2 * math.pi * k / 3600)) for k in range(3600)]
     vertices = spark.createDataFrame([("disc", 0, n, y, x) for n, (y, x) in enumerate(ring)], VERTEX)
     nodes = spark.range(200 * 200).select(F.lit("d").alias("dataset"), (F.col("id") % 200 / 10).alias("latitude"), (F.floor(F.col("id") / 200) / 10 - 10).alias("longitude"))
-    found = regions.candidates(nodes, regions.cover(vertices)).cache()
+    found = regions.candidates(nodes, regions.cover(vertices, FINE), FINE).cache()
     looked_at = found.where("not inside")
-    edges = regions.by_rows(regions.edges_of(vertices), regions.SIZES[-1])
+    edges = regions.by_rows(regions.edges_of(vertices), FINE[-1])
     assert found.count() < 26_500 and looked_at.count() < 1_000  # of 40,000 nodes, 25,447 of which are inside
     met = looked_at.join(edges, ["region", "i"]).count()
     assert met < 40_000 < 25_447 * 3600 / 18  # each node with the edges of its degree of latitude
@@ -59,7 +60,7 @@ def test_few_nodes_are_held_against_edges(spark):
     for y in (k / 10 for k in range(200)):
         right = [(x1 - x0) * (y - y0) / (y1 - y0) + x0 for (y0, x0), (y1, x1) in zip(ring, ring[1:] + ring[:1], strict=True) if (y0 > y) != (y1 > y)]
         want += sum(sum(k / 10 - 10 < x for x in right) % 2 for k in range(200))
-    assert regions.membership(nodes, vertices).count() == want
+    assert regions.membership(nodes, vertices, FINE).count() == regions.membership(nodes, vertices).count() == want
     found.unpersist()
 
 
