@@ -5,12 +5,17 @@ The plan, in which no step makes all pairs of a group:
 1. Every document gives its set's size and hash; documents with one set go on as one. Counts of all n-grams are
    kept in a table of fixed size, hashed. They order all n-grams globally, rare before frequent.
 2. Two sets with that similarity share an n-gram among the first quarter of each. So each set gives the n-grams
-   of its first quarter; of the sets with one n-gram the smallest is its hub, and all pairs meet at some hub.
+   of its first quarter. Of two such sets, the first n-gram that they share is early in one of them: among the first
+   seventh, as what follows it must hold six sevenths of the smaller set. Of the sets in which an n-gram is early
+   the smallest is its hub, and all pairs meet at some hub. N-grams that are early in no set have none, so what only
+   shares a common ending of the order, say notices with some words of their own, doesn't meet.
 3. Each set goes to the hub that it shares most with. Sets that a bound from 4,096 parities shows to be similar to no
    other there stay out; of the others a trie finds links that connect what is
    similar, and components are made.
-4. At all hubs whose sets are then in more than one component, the sets outside the largest are joined with all.
-   No pair is left out: both of a similar pair are at one hub, connected already or looked at here.
+4. At all hubs whose sets are then in more than one component, the early sets outside the largest are joined with
+   all, and the other sets outside it with the early ones of the largest. No pair is left out: both of a similar pair
+   are at one hub, one of them early there, connected already or looked at here. Early sets that are unlike all the
+   same, as n-grams from one pool dealt at random, still meet in blocks of about BLOCK.
 """
 
 from __future__ import annotations
@@ -153,11 +158,11 @@ def levels_of(parts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def prefixes(own: DataFrame, levels, frequent: int, n: int) -> DataFrame:
-    """token, h, hot: the first quarter of each set, of which similar sets share at least one."""
+    """token, h, hot, late: the first quarter of each set, of which similar sets share at least one, and whether it is past the first seventh."""
 
     def work(batches):
         for b in batches:
-            token, h, hot, size = [], [], [], 0
+            token, h, hot, late, size = [], [], [], [], 0
             for t in b.column("text").to_pylist():
                 s = shingles(t, n)
                 if not len(s):
@@ -167,28 +172,29 @@ def prefixes(own: DataFrame, levels, frequent: int, n: int) -> DataFrame:
                 token.append(members[:k].view(np.int64))
                 h.append(np.full(k, set_hash(s), np.int64))
                 hot.append(level[:k] >= frequent)
+                late.append(7 * np.arange(k) > len(s))
                 size += k
                 if size > 200_000:
-                    yield {"token": np.concatenate(token), "h": np.concatenate(h), "hot": np.concatenate(hot)}
-                    token, h, hot, size = [], [], [], 0
+                    yield {"token": np.concatenate(token), "h": np.concatenate(h), "hot": np.concatenate(hot), "late": np.concatenate(late)}
+                    token, h, hot, late, size = [], [], [], [], 0
             if token:
-                yield {"token": np.concatenate(token), "h": np.concatenate(h), "hot": np.concatenate(hot)}
+                yield {"token": np.concatenate(token), "h": np.concatenate(h), "hot": np.concatenate(hot), "late": np.concatenate(late)}
 
-    return batches_of(own, work, "token long, h long, hot boolean")
+    return batches_of(own, work, "token long, h long, hot boolean, late boolean")
 
 
 def stars(first: DataFrame) -> DataFrame:
-    """hub, h, shared: the sets that share tokens with the smallest set that has them.
+    """hub, h, shared, early: the sets that share tokens with the smallest set that has them early, and whether they have one of these early, too.
 
-    Rows are sorted by token and read as a stream. Tokens that the table of counts shows as frequent are dealt over
+    Rows are sorted by token, early ones first, and read as a stream. Tokens that the table of counts shows as frequent are dealt over
     many tasks, pass the stream with equal rows made one, and get their hubs by an aggregate joined back, which
     adaptive execution can split.
     """
 
     def work(batches):
-        last = hub = seen = salted = None
+        last = hub = seen = salted = lone = None
         for b in batches:
-            token, h, hot, salt = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "h", "hot", "salt"))
+            token, h, hot, salt, late = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "h", "hot", "salt", "late"))
             if not len(token):
                 continue
             new = np.ones(len(token), bool)
@@ -199,17 +205,18 @@ def stars(first: DataFrame) -> DataFrame:
             repeat[0] = not new[0] and h[0] == seen
             at = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             hubs = np.where(at >= 0, h[np.maximum(at, 0)], 0 if hub is None else hub)
-            last, hub, seen, salted = token[-1], hubs[-1], h[-1], salt[-1]
-            keep = ~repeat & (hot | (h != hubs))
+            none = np.where(at >= 0, late[np.maximum(at, 0)], bool(lone))  # the first row of its token is late
+            last, hub, seen, salted, lone = token[-1], hubs[-1], h[-1], salt[-1], none[-1]
+            keep = ~repeat & (hot | ((h != hubs) & ~none))
             if keep.any():
-                yield {"token": token[keep], "hub": pa.array(hubs[keep], mask=hot[keep]), "h": h[keep]}
+                yield {"token": token[keep], "hub": pa.array(hubs[keep], mask=hot[keep]), "h": h[keep], "late": late[keep]}
 
     salted = first.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(64))).otherwise(F.lit(0)).cast("int"))
-    streamed = materialize(batches_of(salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "h"), work, "token long, hub long, h long"), "tokens")
-    hot = streamed.where("hub is null").select("token", "h")
-    least = materialize(hot.groupBy(F.col("token").alias("t")).agg(F.min("h").alias("hub")), "hubs")
-    hot = hot.join(least, hot["token"] == least["t"]).where("h <> hub").select("hub", "h")
-    return streamed.where("hub is not null").select("hub", "h").unionByName(hot).groupBy("hub", "h").agg(F.count(F.lit(1)).alias("shared"))
+    streamed = materialize(batches_of(salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "late", "h"), work, "token long, hub long, h long, late boolean"), "tokens")
+    hot = streamed.where("hub is null").select("token", "h", "late")
+    least = materialize(hot.where("not late").groupBy(F.col("token").alias("t")).agg(F.min("h").alias("hub")), "hubs")
+    hot = hot.join(least, hot["token"] == least["t"]).where("h <> hub").select("hub", "h", "late")
+    return streamed.where("hub is not null").select("hub", "h", "late").unionByName(hot).groupBy("hub", "h").agg(F.count(F.lit(1)).alias("shared"), F.max(~F.col("late")).alias("early"))
 
 
 def members_of(own: DataFrame, wanted: DataFrame, levels, n: int) -> DataFrame:
@@ -367,20 +374,41 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N)
     found = links_of(seats.withColumns({"part": F.lit(0), "root": F.col("h"), "minor": F.lit(True)}))
     roots = materialize(components(found), "roots")
 
-    # hubs whose sets are in several components: those outside the largest against all. A hub that all its sets
-    # went to, in one block, has been looked at whole
+    # hubs whose sets are in several components: the early sets outside the largest against all, the late ones outside
+    # it against its early ones. A hub that all its sets went to, in one block, has been looked at whole
     open_hubs = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("all")).join(best.groupBy("hub").agg(F.count(F.lit(1)).alias("came")), "hub", "left")
     open_hubs = materialize(open_hubs.where(f"came is null or came < all or came >= {BLOCK}").select("hub"), "open-hubs")
     edges = materialize(edges.join(open_hubs, "hub", "left_semi"), "open-stars")
-    at = edges.select("hub", "h").union(edges.select("hub", F.col("hub").alias("h")).distinct())
-    at = at.join(bits.select("h", "n"), "h").join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"), "n")
-    per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("members"))
-    per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), F.sum("many").alias("all"), F.sum("members").alias("members"), F.max(F.struct("many", "root", F.col("members").alias("of"))).alias("top")).where("roots > 1")
-    shape = per_hub.select("hub", F.col("top.root").alias("main"), last_block(F.col("all"), F.col("members")).alias("last"), last_block(F.col("all") - F.col("top.many"), F.col("members") - F.col("top.of")).alias("parts"))
+    at = edges.select("hub", "h", "early").union(edges.select("hub", F.col("hub").alias("h"), F.lit(True)).distinct())
+    at = at.join(bits.select("h", "n"), "h").join(roots, at["h"] == roots["node"], "left").select("hub", "h", F.coalesce("root", "h").alias("root"), "early", "n")
+    own_early = F.when(F.col("early"), F.col("n")).otherwise(0)
+    per_root = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("members"), F.count_if("early").alias("early"), F.sum(own_early).alias("early_members"))
+    top = F.max(F.struct("many", "root", "members", "early", "early_members")).alias("top")
+    sums = [F.sum(c).alias(c) for c in ("many", "members", "early", "early_members")]
+    per_hub = per_root.groupBy("hub").agg(F.count(F.lit(1)).alias("roots"), top, *sums).where("roots > 1")
+    apart = {c: F.col(c) - F.col(f"top.{c}") for c in ("many", "members", "early", "early_members")}
+    shape = per_hub.select(
+        "hub",
+        F.col("top.root").alias("main"),
+        (apart["early"] > 0).alias("first"),
+        last_block(F.col("many"), F.col("members")).alias("last"),
+        last_block(apart["early"], apart["early_members"]).alias("parts"),
+        ((F.col("top.early") > 0) & (apart["many"] > apart["early"])).alias("second"),
+        last_block(F.col("top.early"), F.col("top.early_members")).alias("late_last"),
+        last_block(apart["many"] - apart["early"], apart["members"] - apart["early_members"]).alias("late_parts"),
+    )
     left = materialize(at.drop("n").join(materialize(shape, "shapes"), "hub").withColumn("own", F.xxhash64("h")), "seats")
-    whole = left.select("hub", F.pmod("own", F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), "h", "root", F.lit(False).alias("minor"))
-    minors = left.where("root <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod(F.xxhash64("own"), F.col("parts") + 1).cast("int").alias("part"), "h", "root", F.lit(True).alias("minor"))
-    more = links_of(whole.union(minors))
+
+    def grid(against: DataFrame, minors: DataFrame, last: str, parts: str, block: Column) -> DataFrame:
+        """Both sides in all pairs of a block of the one with a part of the other."""
+        whole = against.select("hub", F.pmod("own", F.col(last) + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col(parts))).alias("part"), "h", "root", F.lit(False).alias("minor"))
+        minors = minors.select("hub", F.explode(F.sequence(F.lit(0), F.col(last))).alias("block"), F.pmod(F.xxhash64("own"), F.col(parts) + 1).cast("int").alias("part"), "h", "root", F.lit(True).alias("minor"))
+        return whole.union(minors).withColumn("block", block)
+
+    of_early = grid(left.where("first"), left.where("first and early and root <> main"), "last", "parts", F.col("block"))
+    # blocks below zero, so that the two grids' groups are not one
+    of_late = grid(left.where("second and early and root = main"), left.where("second and not early and root <> main"), "late_last", "late_parts", -1 - F.col("block"))
+    more = links_of(of_early.union(of_late))
 
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.join(roots, more["a"] == roots["node"], "left").select(F.coalesce("root", "a").alias("a"), "b"))
     ends = components(links) if not more.isEmpty() else roots
