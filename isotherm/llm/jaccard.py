@@ -1,6 +1,6 @@
 """Operator 9: documents whose sets of word n-grams have a Jaccard similarity of 0.75 or more, joined by prefix trees.
 
-The plan, in which no step makes all pairs of a group:
+The plan:
 
 1. Every document gives its set's size and hash; documents with one set go on as one. Counts of all n-grams are
    kept in a table of fixed size, hashed. They order all n-grams globally, rare before frequent.
