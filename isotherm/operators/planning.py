@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.columns import hours_to_mask, snap_box
-from isotherm.operators.requests import BOX, grid_points, incremental_plan, missing_days, months, tiles
+from isotherm.operators.requests import BOX, by_months, division, grid_points, incremental_plan, missing_days
 
 #: Most parts of an area; its parts are doubled until they fit or are so many.
 MOST_PARTS = 64
@@ -36,39 +36,68 @@ def fields_of(variables: Column, n_days: Column, mask: Column) -> Column:
 
 
 def day_blocks(days: Column, variables: Column, points: Column, limits: Limits) -> Column:
-    """Blocks (days, mask) of an array of (day, mask), in its order: a block is closed where the next day would pass a limit.
+    """Blocks (first, n, mask) of an array of (day, mask), in its order, first counting from 1: a block is closed where the next day would pass a limit.
 
     As a block asks for the hours of all its days, a day with other hours makes the days before it dearer; blocks are
     so found by going through the days, not by dividing.
     """
-    none = F.array().cast("array<struct<days:array<int>,mask:int>>")
+    none = F.struct(F.array().cast("array<struct<first:int,n:int,mask:int>>").alias("closed"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("mask"))
 
-    def add(blocks: Column, day: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        mask = last["mask"].bitwiseOR(day["mask"])
-        room = (F.size(blocks) > 0) & limits.allow(fields_of(variables, F.size(last["days"]) + 1, mask), points)
-        longer = F.struct(F.concat(last["days"], F.array(day["day"])).alias("days"), mask.alias("mask"))
-        alone = F.struct(F.array(day["day"]).alias("days"), day["mask"].alias("mask"))
-        return F.when(room, F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(blocks, F.array(alone)))
+    def closed(s: Column) -> Column:
+        return F.concat(s["closed"], F.array(F.struct(s["first"].alias("first"), s["n"].alias("n"), s["mask"].alias("mask"))))
 
-    return F.aggregate(days, none, add)
+    def add(s: Column, day: Column) -> Column:
+        mask = s["mask"].bitwiseOR(day["mask"])
+        room = (s["n"] > 0) & limits.allow(fields_of(variables, s["n"] + 1, mask), points)
+        longer = F.struct(s["closed"].alias("closed"), s["first"].alias("first"), (s["n"] + 1).alias("n"), mask.alias("mask"))
+        alone = F.struct(F.when(s["n"] > 0, closed(s)).otherwise(s["closed"]).alias("closed"), (s["first"] + s["n"]).alias("first"), F.lit(1).alias("n"), day["mask"].alias("mask"))
+        return F.when(room, longer).otherwise(alone)
 
+    return F.aggregate(days, none, add, closed)
 
-def area_parts(box: dict[str, Column], fields: Column, resolution: float, limits: Limits) -> Column:
-    """Parts (number, of, box) of a box, on the grid and each once: twice as many until the first part, snapped outward to the grid, fits."""
-    snapped = lambda b: snap_box(*[b[c] for c in BOX], resolution)
-    fits = lambda n: limits.allow(fields, grid_points(resolution, snapped(F.get(tiles(box, F.lit(n)), F.lit(0)))))
-    parts, n = None, 2
-    while n < MOST_PARTS:
-        parts = F.when(fits(n), F.lit(n)) if parts is None else parts.when(fits(n), F.lit(n))
-        n *= 2
-    split = F.transform(F.array(parts.otherwise(F.lit(MOST_PARTS))), lambda n: F.transform(tiles(box, n), lambda t: F.struct(*[v.alias(c) for c, v in snapped(t).items()])))
 
-    def numbered(boxes: Column) -> Column:
-        each = F.transform(boxes, lambda b, k: F.struct((k + 1).alias("number"), F.size(boxes).alias("of"), b.alias("box")))
-        return F.filter(each, lambda x: F.array_position(boxes, x["box"]) == x["number"])
+#: How many parts an area may have: twice as many each time.
+DOUBLED = [1 << k for k in range(1, MOST_PARTS.bit_length())]
 
-    return F.flatten(F.transform(split, numbered))
+
+def divided(seeds: DataFrame, wanted: Column, resolution: float) -> DataFrame:
+    """Seeds with the rows and columns (__d) that make each number of DOUBLED parts, null where they are not wanted, and an array (__p) of the points of the first part on the grid, but for the last.
+
+    Each division goes on where the one with half as many parts has ended.
+    """
+    tall, wide = F.col("north") - F.col("south"), F.col("east") - F.col("west")
+    out, last = seeds, F.when(wanted, F.struct(F.lit(1).alias("ny"), F.lit(1).alias("nx")))
+    for n in DOUBLED:
+        out = out.withColumn(f"__d{n}", division(tall, wide, F.lit(n), last))
+        last = F.col(f"__d{n}")
+    edge = {"north": F.round("north", 6), "west": F.round("west", 6)}
+    first = {n: edge | {"south": F.round(F.col("north") - tall / F.col(f"__d{n}.ny"), 6), "east": F.round(F.col("west") + wide / F.col(f"__d{n}.nx"), 6)} for n in DOUBLED[:-1]}
+    return out.withColumn("__p", F.when(wanted, F.array(*[grid_points(resolution, snap_box(*[b[c] for c in BOX], resolution)) for b in first.values()])))
+
+
+def tiled(rows: DataFrame, resolution: float) -> DataFrame:
+    """A row for each of the __n parts of a box: the part on the grid, each once, and its label __t2. Boxes with __n = 0 stay as they are.
+
+    Parts are products of ranges of latitudes and of longitudes. Those that are equal once they are on the grid are
+    neighbours, so a part that is there already has its predecessor's edges.
+    """
+    split = F.col("__n") > 0
+    count = lambda c: F.coalesce(*[F.when(F.col("__n") == n, F.col(f"__d{n}.{c}")) for n in DOUBLED], F.when(~split, F.lit(1)))
+    tall, wide = F.col("north") - F.col("south"), F.col("east") - F.col("west")
+    out = rows.withColumns({"__ny": count("ny"), "__nx": count("nx")}).withColumns({"__h": tall / F.col("__ny"), "__w": wide / F.col("__nx")})
+    on_grid = lambda y0, x0, y1, x1: snap_box(F.round(y0, 6), F.round(x0, 6), F.round(y1, 6), F.round(x1, 6), resolution)
+
+    def part(y: Column, x: Column) -> dict[str, Column]:
+        at = lambda k: F.col("north") - F.col("__h") * k, lambda k: F.col("west") + F.col("__w") * k
+        return on_grid(at[0](y), at[1](x), at[0](y + 1), at[1](x + 1))
+
+    for k, n, sides in (("__y", "__ny", ("north", "south")), ("__x", "__nx", ("west", "east"))):
+        out = out.withColumn(k, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+        own, before = part(F.col("__y"), F.col("__x")) if k == "__x" else part(F.col(k), F.col(k)), part(F.col(k) - 1, F.col(k) - 1)
+        out = out.withColumns({f"__{c}": F.when(split, own[c]).otherwise(F.col(c)) for c in sides})
+        out = out.where((F.col(k) == 0) | (F.col(f"__{sides[0]}") != before[sides[0]]) | (F.col(f"__{sides[1]}") != before[sides[1]]))
+    label = F.concat(F.lit("a-"), (F.col("__ny") * F.col("__nx")).cast("string"), F.lit("-part-"), (F.col("__y") * F.col("__nx") + F.col("__x") + 1).cast("string"))
+    return out.withColumns({c: F.col(f"__{c}") for c in BOX} | {"__t2": F.when(split, label)})
 
 
 def split_to_fit(seeds: DataFrame, resolution: float, limits: Limits = Limits()) -> DataFrame:
@@ -77,25 +106,38 @@ def split_to_fit(seeds: DataFrame, resolution: float, limits: Limits = Limits())
     Returns seed, chunk_id, year, month, variables, days, hours_mask, the box, points, fields, bytes, and error, which is
     null for pieces within the limits. chunk_id is the seed with a label for each tier that has split it, so pieces
     have different ones if seeds have. Seeds without days, hours or variables ask for nothing and give no piece.
+
+    What is found by going through days or divisions is found once a seed; blocks whose area needs as many parts share
+    these, and a piece is made from columns alone.
     """
     asked = F.aggregate("days", F.lit(0), lambda m, d: m.bitwiseOR(d["mask"]))
     out = seeds.select("seed", "year", "month", F.col("variables").alias("__v"), F.filter("days", lambda d: d["mask"] != 0).alias("__d"), *BOX, asked.alias("__m")).where("size(__v) > 0 and __m <> 0")
     out = out.withColumn("points", grid_points(resolution).cast("long"))
-    whole = F.array(F.struct(F.transform("__d", lambda d: d["day"]).alias("days"), F.col("__m").alias("mask")))
-    fits = limits.allow(fields_of(F.col("__v"), F.size("__d"), F.col("__m")), F.col("points"))
-    out = out.withColumn("__b", F.explode(F.when(fits, whole).otherwise(day_blocks(F.col("__d"), F.col("__v"), F.col("points"), limits))))
-    out = out.withColumns({"days": F.col("__b.days"), "hours_mask": F.col("__b.mask"), "__t1": F.when(~fits & (F.size("__d") > 1), F.format_string("d%02d-%02d", F.get("__b.days", F.lit(0)), F.get("__b.days", F.size("__b.days") - 1)))})
-    fields = fields_of(F.col("__v"), F.size("days"), F.col("hours_mask"))
-    fits = limits.allow(fields, F.col("points"))
-    box = F.struct(*BOX).alias("box")
-    one = F.array(F.struct(F.lit(1).alias("number"), F.lit(0).alias("of"), box))
-    out = out.withColumn("__a", F.explode(F.when(fits | (F.col("points") <= 1), one).otherwise(area_parts({c: F.col(c) for c in BOX}, fields, resolution, limits))))
-    out = out.withColumns({c: F.col(f"__a.box.{c}") for c in BOX} | {"__t2": F.when(F.col("__a.of") > 0, F.format_string("a-%d-part-%d", "__a.of", "__a.number"))})
-    out = out.withColumn("points", grid_points(resolution).cast("long"))
-    fits = limits.allow(fields, F.col("points"))
-    out = out.withColumn("variables", F.explode(F.when(fits, F.array("__v")).otherwise(F.transform("__v", lambda v: F.array(v)))))
+    out = out.withColumn("__whole", limits.allow(fields_of(F.col("__v"), F.size("__d"), F.col("__m")), F.col("points")))
+    whole = F.array(F.struct(F.lit(1).alias("first"), F.size("__d").alias("n"), F.col("__m").alias("mask")))
+    out = out.withColumn("__b", F.when(F.col("__whole"), whole).otherwise(day_blocks(F.col("__d"), F.col("__v"), F.col("points"), limits)))
+    out = divided(out.withColumn("__days", F.col("__d.day")), ~F.col("__whole"), resolution)
+
+    def planned(b: Column) -> Column:
+        fields = fields_of(F.col("__v"), b["n"], b["mask"])
+        parts = F.when(limits.allow(fields, F.col("points")) | (F.col("points") <= 1), 0)
+        for i, n in enumerate(DOUBLED[:-1]):
+            parts = parts.when(limits.allow(fields, F.get("__p", F.lit(i))), n)
+        day = lambda k: F.lpad(F.get("__days", k).cast("string"), 2, "0")
+        label = F.concat(F.lit("d"), day(b["first"] - 1), F.lit("-"), day(b["first"] + b["n"] - 2))
+        return F.struct(b["first"].alias("first"), b["n"].alias("n"), b["mask"].alias("mask"), parts.otherwise(MOST_PARTS).alias("parts"), F.when(~F.col("__whole") & (F.size("__d") > 1), label).alias("label"))
+
+    out = out.withColumn("__b", F.transform("__b", planned))
+    out = out.withColumn("__n", F.explode(F.array_distinct("__b.parts"))).withColumn("__b", F.filter("__b", lambda b: b["parts"] == F.col("__n")))
+    out = tiled(out, resolution)
+    out = out.withColumn("points", grid_points(resolution).cast("long")).withColumn("__b", F.explode("__b"))
+    out = out.withColumns({"days": F.slice("__days", F.col("__b.first"), F.col("__b.n")), "hours_mask": F.col("__b.mask"), "__t1": F.col("__b.label")})
+    fits = limits.allow(fields_of(F.col("__v"), F.col("__b.n"), F.col("hours_mask")), F.col("points"))
+    # one number for all variables, or one for each of them
+    out = out.withColumn("__k", F.explode(F.sequence(F.lit(0), F.when(fits, 0).otherwise(F.size("__v") - 1))))
+    out = out.withColumn("variables", F.when(fits, F.col("__v")).otherwise(F.array(F.get("__v", F.col("__k")))))
     alone = F.concat(F.lit("v-"), F.regexp_replace(F.get("variables", F.lit(0)), "[^0-9A-Za-z]", "-"))
-    out = out.withColumns({"__t3": F.when(F.size("__v") > F.size("variables"), alone), "fields": fields_of(F.col("variables"), F.size("days"), F.col("hours_mask"))})
+    out = out.withColumns({"__t3": F.when(F.size("__v") > F.size("variables"), alone), "fields": fields_of(F.col("variables"), F.col("__b.n"), F.col("hours_mask"))})
     out = out.withColumn("bytes", F.col("fields") * F.col("points") * 8)
     error = F.format_string(f"%d bytes of {limits.most_bytes}, %d fields of {limits.most_fields}", "bytes", "fields")
     return out.select("seed", F.concat_ws("_", "seed", "__t2", "__t1", "__t3").alias("chunk_id"), "year", "month", "variables", "days", "hours_mask", *BOX, "points", "fields", "bytes", F.when(~limits.allow(F.col("fields"), F.col("points")), error).alias("error"))
@@ -121,9 +163,14 @@ def _days(first: Column, last: Column, mask: Column) -> Column:
 
 
 def plan_requests(requests: DataFrame, resolution: float, limits: Limits = Limits()) -> DataFrame:
-    """A full plan of requests (request_id, variables, start, end, hours, a box): the box snapped outward, months apart, each split to fit."""
-    each = requests.withColumns(snap_box(*[F.col(c) for c in BOX], resolution)).join(months(requests), "request_id")
-    seeds = each.select(seed_of(F.col("request_id").cast("string"), _month()).alias("seed"), "year", "month", "variables", _days(F.dayofmonth("first_day"), F.dayofmonth("last_day"), hours_to_mask("hours")).alias("days"), *BOX)
+    """A full plan of requests (request_id, variables, start, end, hours, a box): the box snapped outward, months apart, each split to fit.
+
+    A request can become hundreds of pieces, so requests are dealt out by their ids first, be their files as few as they
+    may. Requests without an id have no piece; of rows that share one each has its own.
+    """
+    dealt = requests.where("request_id is not null").repartition("request_id")
+    each = by_months(dealt.withColumns(snap_box(*[F.col(c) for c in BOX], resolution) | {"__mask": hours_to_mask("hours")}))
+    seeds = each.select(seed_of(F.col("request_id").cast("string"), _month()).alias("seed"), "year", "month", "variables", _days(F.dayofmonth("first_day"), F.dayofmonth("last_day"), F.col("__mask")).alias("days"), *BOX)
     return split_to_fit(seeds, resolution, limits)
 
 

@@ -40,10 +40,18 @@ def cell_count(resolution: float) -> Column:
     return side("north", "south") * side("east", "west") * (F.datediff("end", "start") + 1) * F.size("variables")
 
 
+def by_months(requests: DataFrame) -> DataFrame:
+    """Requests once for each month that they have days of, the first and last clipped: year, month, first_day, last_day. No day is expanded, and nothing is shuffled."""
+    low, high = F.least("start", "end"), F.greatest("start", "end")
+    each = requests.where("start is not null and end is not null").withColumn("__m", F.explode(F.sequence(F.trunc(low, "month"), high, F.expr("interval 1 month"))))
+    return each.withColumns({"year": F.year("__m"), "month": F.month("__m"), "first_day": F.greatest("__m", low), "last_day": F.least(F.last_day("__m"), high)}).drop("__m")
+
+
 def months(requests: DataFrame) -> DataFrame:
     """A row for each month of a request, the first and last clipped: first_day, last_day, n_days."""
-    days = requests.select("request_id", F.explode(F.sequence("start", "end")).alias("day"))
-    return days.groupBy("request_id", F.year("day").alias("year"), F.month("day").alias("month")).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"))
+    days = by_months(requests.select("request_id", "start", "end"))
+    n = (F.datediff("last_day", "first_day") + 1).cast("long")
+    return days.groupBy("request_id", "year", "month").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum(n).alias("n_days"))
 
 
 def grid_points(resolution: float, box: dict[str, Column] | None = None) -> Column:
@@ -88,15 +96,16 @@ def splits_needed(ratio: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(F.round(ratio * 1.2, 9)))
 
 
-def division(tall: Column, wide: Column, parts: Column) -> Column:
-    """Struct (ny, nx) of rows and columns with at least so many cells: the side whose pieces are longer, or the height of equal ones, gets one more until that is so."""
-    start = F.struct(F.lit(1).alias("ny"), F.lit(1).alias("nx"))
+def division(tall: Column, wide: Column, parts: Column, start: Column | None = None) -> Column:
+    """Struct (ny, nx) of rows and columns with at least so many cells: the side whose pieces are longer, or the height of equal ones, gets one more until that is so. start: from where to go on."""
+    begun = F.struct(F.lit(1).alias("ny"), F.lit(1).alias("nx")) if start is None else start
 
     def more(s: Column) -> Column:
         higher = tall / s["ny"] >= wide / s["nx"]
         return F.struct((s["ny"] + higher.cast("int")).alias("ny"), (s["nx"] + (~higher).cast("int")).alias("nx"))
 
-    return F.aggregate(F.sequence(F.lit(1), parts.cast("int")), start, lambda s, _: F.when(s["ny"] * s["nx"] < parts, more(s)).otherwise(s))
+    steps = parts.cast("int") if start is None else parts.cast("int") - start["ny"] * start["nx"]  # each makes one cell more at least
+    return F.aggregate(F.sequence(F.lit(1), steps), begun, lambda s, _: F.when(s["ny"] * s["nx"] < parts, more(s)).otherwise(s))
 
 
 def tiles(box: dict[str, Column], parts: Column) -> Column:

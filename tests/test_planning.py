@@ -111,6 +111,24 @@ def test_plans_need_no_shuffle(spark):
     assert "Exchange" not in planning.split_to_fit(seeds, RES)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pieces_are_made_of_columns_alone(spark):
+    """Going through days and divisions is for seeds: nothing does so for a block, a part or a piece, of which there are many more."""
+    seeds = spark.createDataFrame([], "seed string, year int, month int, variables array<string>, days array<struct<day:int,mask:int>>, north double, west double, south double, east double")
+    plan = planning.split_to_fit(seeds, RES)._jdf.queryExecution().executedPlan().toString()
+    each = plan.split("Generate ")[:-1]  # all but the seeds
+    assert len(each) == 5 and not any("lambda" in x for x in each[:-1])
+    assert "aggregate(" not in each[-1] and "transform(" not in each[-1]  # blocks are picked by their number of parts here
+
+
+def test_requests_are_planned_by_their_own_days(spark):
+    import datetime as dt
+
+    rows = [(1, ["t"], dt.date(2024, 1, 30), dt.date(2024, 2, 1), [0], 1.0, 0.0, 0.0, 1.0), (1, ["u"], dt.date(2024, 1, 2), dt.date(2024, 1, 3), [0], 1.0, 0.0, 0.0, 1.0), (None, ["t"], dt.date(2024, 1, 1), dt.date(2024, 1, 1), [0], 1.0, 0.0, 0.0, 1.0), (2, ["t"], None, dt.date(2024, 1, 1), [0], 1.0, 0.0, 0.0, 1.0)]
+    plan = planning.plan_requests(spark.createDataFrame(rows, REQUEST), RES)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of requests, not of their days
+    assert sorted((r["chunk_id"], *r["variables"], r["days"]) for r in plan.collect()) == [("1_202401", "t", [30, 31]), ("1_202401", "u", [2, 3]), ("1_202402", "t", [1])]
+
+
 def test_what_is_stored_is_not_asked_again(spark):
     import datetime as dt
 
