@@ -169,7 +169,8 @@ def resolved_requests(boxes: DataFrame, requests: DataFrame) -> DataFrame:
     The smallest kind that is named decides; without any it is the country, COUNTRY unless named. Only municipio and
     uf may stand together, the state then telling towns of one name apart; parts of other countries are not known. A
     name that is nowhere, or in several places, is an error, as are requests that break these rules. Names are the same
-    whatever their case.
+    whatever their case. Places are counted by name before requests meet them, so each request meets one row and stays
+    one, whatever is asked most.
     """
     parts = KINDS[:-1]
     given = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in parts]), lambda k: k.isNotNull())
@@ -180,9 +181,13 @@ def resolved_requests(boxes: DataFrame, requests: DataFrame) -> DataFrame:
     name = F.coalesce(*[F.when(F.col("kind") == k, F.lower(k)) for k in parts], country)
     asked = requests.withColumn("given", given).withColumns({"broken": broken, "kind": kind}).withColumn("name", name)
     asked = asked.select("request_id", "kind", "name", "broken", F.when(F.col("kind") == "municipio", F.lower("uf")).alias("state")).alias("a")
-    places = boxes.select("kind", F.lower("name").alias("name"), F.lower("uf").alias("uf"), F.struct("north", "west", "south", "east").alias("box")).alias("b")
-    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.state").isNull() | (F.col("a.state") == F.col("b.uf")))
-    met = asked.join(places, same, "left").groupBy("request_id", "a.kind", "a.name", "broken").agg(F.count("box").alias("n"), F.min("box").alias("box"))
+    places = boxes.select("kind", F.lower("name").alias("name"), F.lower("uf").alias("uf"), F.struct("north", "west", "south", "east").alias("box"))
+    found = [F.count("*").alias("n"), F.min("box").alias("box")]
+    anywhere = places.groupBy("kind", "name").agg(*found).withColumn("state", F.lit(None).cast("string"))
+    known = anywhere.unionByName(places.where("uf is not null").groupBy("kind", "name", F.col("uf").alias("state")).agg(*found)).alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & F.col("a.state").eqNullSafe(F.col("b.state"))
+    # a row or two for each region of a country, thousands in all
+    met = asked.join(F.broadcast(known), same, "left").select("request_id", "a.kind", "a.name", "broken", F.coalesce("n", F.lit(0)).alias("n"), "box")
     error = F.coalesce("broken", F.when(F.col("n") == 0, F.concat(F.lit("unknown: "), "name")).when(F.col("n") > 1, F.concat(F.lit("in several places: "), "name")))
     out = met.withColumn("error", error)
     return out.select("request_id", "kind", *[F.when(F.col("error").isNull(), F.col(f"box.{c}")).alias(c) for c in ("north", "west", "south", "east")], "error")

@@ -40,6 +40,20 @@ def test_areas_by_name(spark):
     }
 
 
+def test_requests_for_a_name_meet_one_row(spark):
+    """Many requests for one name, which is that of many places: nothing is dealt by name, sorted or gathered by request."""
+    boxes = spark.range(200).selectExpr("'municipio' AS kind", "'Centro' AS name", "concat('S', id) AS uf", "double(id) AS north", "0D AS west", "0D AS south", "1D AS east")
+    null = "cast(null AS string) AS"
+    asked = spark.range(5_000).selectExpr("id AS request_id", f"{null} pais", "'centro' AS municipio", f"{null} rg_imediata", f"{null} rg_intermediaria", "if(id % 2 = 0, concat('s', id % 200), null) AS uf")
+    out = regions.resolved_requests(boxes, asked)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    own = plan[plan.index("BroadcastHashJoin") :]
+    assert "Aggregate" not in plan[: plan.index("BroadcastHashJoin")] and own.count("BroadcastHashJoin") == 1
+    rows = out.collect()
+    assert len(rows) == 5_000 and all(r["error"] == "in several places: centro" and r["north"] is None if r["request_id"] % 2 else r["error"] is None and r["north"] == r["request_id"] % 200 for r in rows)
+
+
 def test_what_stations_need(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "there"))
     spark.range(0).write.parquet(str(tmp_path / "empty"))
