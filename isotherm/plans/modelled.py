@@ -194,7 +194,7 @@ def narrow_row_groups(spark: SparkSession, sf: str) -> DataFrame:
     measured = []
     for rows in (storage.tile_order(wide, "no column"), wide):
         path = new_path(spark, "layout")
-        rows.write.options(**{"parquet.block.size": 1024, "parquet.page.size.row.check.min": 10, "parquet.block.size.row.check.min": 10, "parquet.block.size.row.check.max": 10}).parquet(path)
+        rows.write.options(**{"maxRecordsPerFile": layout.FILE_ROWS, "parquet.block.size": 1024, "parquet.page.size.row.check.min": 10, "parquet.block.size.row.check.min": 10, "parquet.block.size.row.check.max": 10}).parquet(path)
         measured.append(layout.widths(layout.row_groups(spark, path, ["longitude"]), "longitude", 11.0))
     tiled, plain = measured
     both = tiled.join(plain.select(F.col("mean_span").alias("plain")))  # one row each
@@ -205,7 +205,7 @@ def narrow_row_groups(spark: SparkSession, sf: str) -> DataFrame:
 def index_order(spark: SparkSession, sf: str) -> DataFrame:
     """The index of hours as it is stored: row groups in order of their days, which do not overlap."""
     path = new_path(spark, "index")
-    coverage.stored_order(masks_of(spark, sf)).write.option("parquet.block.size", 4096).parquet(path)
+    coverage.stored_order(masks_of(spark, sf)).write.options(**{"maxRecordsPerFile": layout.FILE_ROWS, "parquet.block.size": 4096}).parquet(path)
     groups = materialize(layout.row_groups(spark, path, ["date"]), "groups")
     day = lambda c: F.date_add(F.lit(dt.date(1970, 1, 1)), F.col(c).cast("int"))
     span = groups.agg(F.sum("n_rows").alias("n_rows"), F.min("date_min").alias("d0"), F.max("date_max").alias("d1"))

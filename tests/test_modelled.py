@@ -78,3 +78,38 @@ def test_row_groups_are_those_of_the_footers(spark, tmp_path):
     assert (w["row_groups"], w["n_rows"], w["share"], w["mean_span"]) == (4, 7, 0.5, 2.0)
     assert [r["row_group"] for r in layout.overlaps(groups.where("x_min is not null"), "x").collect()] == [2]
     assert layout.overlaps(groups, "d").count() == 0
+
+
+def test_row_groups_need_footers_only(spark, tmp_path):
+    """A file's pages don't reach Python, and its row groups come in batches; small row groups come in files of bounded size."""
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from isotherm.operators import layout
+    from isotherm.plans.queries import QUERIES
+    from isotherm.shared import clear, mark, shared_dir
+
+    path = tmp_path / "t"
+    path.mkdir()
+    pq.write_table(pa.table({"x": [float(k) for k in range(5_000)], "s": ["%d" % k * 100 for k in range(5_000)]}), path / "a.parquet", row_group_size=2, compression="none")
+    groups = layout.row_groups(spark, str(path), ["x"])
+    size, end = spark.read.format("binaryFile").load(str(path)).select("length", F.length(layout.footer(F.col("content")))).first()
+    assert end == pq.read_metadata(path / "a.parquet").serialized_size + 8 < size / 2
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert "footer" in plan[plan.index("MapInArrow") :] and "content" not in plan[plan.index("MapInArrow") : plan.index("Project", plan.index("MapInArrow"))]
+    rows = groups.orderBy("row_group").collect()
+    assert [r["row_group"] for r in rows] == list(range(2_500)) and [r["x_min"] for r in rows] == [2.0 * k for k in range(2_500)]
+    # the query's own files
+    begun, most = mark(), layout.FILE_ROWS
+    layout.FILE_ROWS = 500
+    try:
+        [r] = QUERIES["narrow_row_groups"](spark, "/root/testdata/sf0.001").collect()
+        files = [f for d in sorted(Path(shared_dir(spark).removeprefix("file://")).glob("layout-*"), key=lambda d: d.stat().st_mtime)[-2:] for f in d.glob("*.parquet")]
+        assert r["n_rows"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+        assert max(pq.read_metadata(f).num_rows for f in files) == 500
+    finally:
+        layout.FILE_ROWS = most
+        clear(spark, begun)
