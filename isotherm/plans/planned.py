@@ -41,7 +41,7 @@ pieces AS (SELECT *, concat_ws('_', seed, t2, t1, CASE WHEN nv > len(variables)
 
 
 def shown(pieces: DataFrame) -> DataFrame:
-    return pieces.withColumns({"variables": F.array_join("variables", ","), "days": F.array_join(F.transform("days", lambda d: d.cast("string")), ","), "too_large": F.col("error").isNotNull()}).drop("seed", "error")
+    return pieces.withColumns({"variables": F.array_join("variables", ","), "days": F.array_join(F.col("days").cast("array<string>"), ","), "too_large": F.col("error").isNotNull()}).drop("seed", "error")
 
 
 def shown_sql(most_bytes: int, most_fields: int) -> str:

@@ -90,6 +90,40 @@ def test_pieces_are_those_of_a_plain_cascade(spark, limits):
 REQUEST = "request_id int, variables array<string>, start date, end date, hours array<int>, north double, west double, south double, east double"
 
 
+def test_requests_are_split_as_a_plain_cascade_does(spark):
+    """Days with the same hours are put into blocks by dividing; limits on either side of a day, a block and a part."""
+    import datetime as dt
+
+    rnd, rows = random.Random(2), []
+    for k in range(24):
+        n, w, start = rnd.uniform(-10, 10), rnd.uniform(-10, 10), dt.date(2024, 1, rnd.randrange(1, 32))
+        rows.append((k, [f"v.{i}" for i in range(rnd.randrange(0, 4))], start, start + dt.timedelta(rnd.randrange(0, 40)), list(range(rnd.choice([0, 1, 5, 24]))), n + rnd.choice([0, 1, 9]), w, n, w + rnd.choice([0, 0.3, 12])))
+    rows.append((24, ["v"], dt.date(2024, 1, 1), dt.date(2024, 1, 3), [1], None, 0.0, 0.0, 1.0))
+    for limits in (planning.Limits(), planning.Limits(60_000, 150), planning.Limits(2_000, 50), planning.Limits(10**9, 5)):
+        want = []
+        for k, variables, start, end, hours, *box in rows[:-1]:
+            days = [start + dt.timedelta(i) for i in range((end - start).days + 1)]
+            for month in {d.month for d in days} if variables and hours else ():
+                pieces = plain(variables, [(d.day, sum(1 << h for h in hours)) for d in days if d.month == month], snapped(box), limits)
+                want += [(k, month, *p) for p in pieces]
+        got = planning.plan_requests(spark.createDataFrame(rows, REQUEST), RES, limits).collect()
+        assert sorted((int(r["chunk_id"].split("_")[0]), r["month"], tuple(r["days"]), r["hours_mask"], tuple(r["variables"]), tuple(r[c] for c in BOX)) for r in got) == sorted(want)
+        assert len({r["chunk_id"] for r in got}) == len(got)
+
+
+def test_requests_are_not_gone_through_by_days(spark):
+    """Blocks of days with the same hours need no step a day or block, and partitions of requests, small beside their pieces, stay as many as they are."""
+    plan = planning.plan_requests(spark.createDataFrame([], REQUEST), RES)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "filter(" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_areas_are_divided_no_further_than_needed(spark):
+    """Four parts fit, so a division in eight is not looked for."""
+    seed = spark.createDataFrame([(1000, 1681, 10.0, 0.0, 0.0, 10.0)], "__f long, points long, north double, west double, south double, east double")
+    [r] = planning.divided(seed, RES, planning.Limits(1000 * 8 * 500, 10**6)).collect()
+    assert (tuple(r["__d4"]), r["__p4"]) == ((2, 2), 441) and all(r[f"__d{n}"] is None for n in (8, 16, 32, 64))
+
+
 def test_months_are_clipped_and_what_cannot_fit_is_an_error(spark):
     import datetime as dt
 
